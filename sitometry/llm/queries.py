@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard, packing
+from . import bpe, imatch, jaccard, packing, sharding
 from .common import table
 
 
@@ -18,12 +18,20 @@ def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op7_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shuffled(table(spark, sf_dir, "documents"))
+
+
+def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op5_bpe_round_trip, op9_packing)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op5_bpe_round_trip, op7_hypergeometric_shards, op8_imatch, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
