@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,3 +43,24 @@ def cut(df: DataFrame) -> DataFrame:
 
 def buckets(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def bounded_sample(docs: DataFrame, label: str, rows: int, chars: int) -> list[tuple[str, object]]:
+    """(text, label) of at most ``rows`` labelled texts, shared out evenly among the labels.
+
+    A hash of the id chooses them, at a rate from the labels' counts; texts are cut at ``chars``.
+    """
+    good = docs.filter(F.col(label).isNotNull() & F.col("text").isNotNull())
+    counts = [(r[label], r["count"]) for r in good.groupBy(label).count().orderBy(F.desc("count"), label).limit(200).collect()]
+    if not counts:
+        return []
+    each = max(1, rows // len(counts))
+    unit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    rate = F.coalesce(*[F.when(F.col(label) == k, F.lit(min(1.0, each / n))) for k, n in counts])
+    found = good.filter(unit < rate).select(unit.alias("u"), F.left("text", F.lit(chars)).alias("text"), label).collect()
+    out, taken = [], dict.fromkeys((k for k, _ in counts), 0)
+    for r in sorted(found, key=lambda r: (r["u"], r["text"])):
+        if r["text"].strip() and taken[r[label]] < each:
+            taken[r[label]] += 1
+            out.append((r["text"], r[label]))
+    return out

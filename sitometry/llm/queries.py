@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, imatch, jaccard, packing, sharding
+from . import bpe, imatch, jaccard, langid, packing, pii, quality, sharding
 from .common import table
 
 
@@ -14,6 +15,18 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar(table(spark, sf_dir, "documents"))
 
 
+def op3_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", langid.held_out("doc_id", 3, 1))
+    net = langid.train(docs.filter("not held_out"))
+    return langid.identify(docs.select("doc_id", "held_out", "text"), net).drop("text")
+
+
+def op4_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", langid.held_out("doc_id", 5, 0))
+    labels = table(spark, sf_dir, "labels").filter(~langid.held_out("doc_id", 5, 0))
+    return quality.score(docs, quality.train(docs, labels)).select("doc_id", "held_out", "score", "predicted")
+
+
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
@@ -30,8 +43,26 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op10_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def listed(spans: str):
+        return F.array_join(F.transform(f"pii.{spans}", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    counts = [F.size(F.filter("pii.base", _of(k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    added = (F.size("pii.spans") - F.size("pii.base")).cast("long").alias("n_added")
+    return docs.select("doc_id", *counts, F.sha2(listed("base").cast("binary"), 256).alias("base_sha256"), listed("spans").alias("spans"), added)
+
+
+def _of(kind: str) -> Callable:
+    return lambda s: s["kind"] == kind
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op5_bpe_round_trip, op7_hypergeometric_shards, op8_imatch, op9_packing)}
+    return {
+        f.__name__: f
+        for f in (op1_ngram_jaccard_join, op3_byte_cnn_language, op4_quality_scores, op5_bpe_round_trip, op7_hypergeometric_shards, op8_imatch, op9_packing, op10_skip_chain_pii)
+    }
 
 
 def oracle_sql() -> dict[str, str]:

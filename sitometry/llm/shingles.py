@@ -38,16 +38,20 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 class Shingler:
-    """Hashes words by a rolling polynomial over their bytes, A-Z as a-z, and mixes five of them."""
+    """Hashes words by a rolling polynomial over their bytes, A-Z as a-z, and mixes five of them.
 
-    def __init__(self) -> None:
+    ``table``: another number for each byte, where other bytes are to count as equal.
+    """
+
+    def __init__(self, table: np.ndarray = _BYTE) -> None:
+        self.table = table
         self.up = self.down = np.ones(1, np.uint64)
 
     def _grow(self, n: int) -> None:
         if len(self.up) < n:
             self.up, self.down = _powers(_BASE, n), _powers(_UNBASE, n)
 
-    def _words(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    def words(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Hash and first byte of each word."""
         b = np.frombuffer(data, np.uint8)
         self._grow(len(b) + 1)
@@ -55,7 +59,7 @@ class Shingler:
         edge = np.flatnonzero(np.diff(np.concatenate(([True], space, [True])).view(np.int8)))
         start, end = edge[::2], edge[1::2]
         sums = np.zeros(len(b) + 1, np.uint64)
-        np.cumsum(_BYTE[b] * self.up[: len(b)], out=sums[1:])
+        np.cumsum(self.table[b] * self.up[: len(b)], out=sums[1:])
         return _mixed((sums[end] - sums[start]) * self.down[start] + _numbers(41, 1)), start
 
     def sets(self, texts: list[str | None]) -> Iterator[np.ndarray]:
@@ -70,7 +74,7 @@ class Shingler:
             yield from self._block(part)
 
     def _block(self, part: list[bytes]) -> Iterator[np.ndarray]:
-        words, start = self._words(b" ".join(part) + b" ")
+        words, start = self.words(b" ".join(part) + b" ")
         bounds = np.cumsum([0, *(len(p) + 1 for p in part)])
         cut = np.searchsorted(start, bounds)
         n = len(words)
