@@ -16,10 +16,10 @@ import hashlib
 import json
 import unicodedata
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
-from itertools import chain
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 #: Up to here normalisation and letter classes are the same in every Unicode version in use.
 PLAIN_LIMIT = "ɐ"
 BLOCK_CHARS = 1 << 16
-CACHE_WORDS = 350_000
-FITS = 400_000
+CACHE_WORDS = 500_000
+FITS = 1_000_000
 #: Words up to here are closed before any token could be called stable, so they are split whole.
 SHORT = 64
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
@@ -59,7 +59,14 @@ class MergeList:
         self.rank = {pair: k for k, pair in enumerate(merges)}
         self.lookahead, self.longest = self._measure(merges)
         self.window = 4 * (self.lookahead + self.longest)
-        self.fits: dict[tuple[str, str], bool] = {}
+        self.fits: dict[str, dict[str, bool]] = {"": {}}
+        self.known = 0
+        #: The widest token that begins with three given letters.
+        self.widest: dict[str, int] = {}
+        for token in vocab:
+            size = self._width(token)
+            if size >= 3 and size > self.widest.get(token[:3], 0):
+                self.widest[token[:3]] = size
 
     def _width(self, token: str) -> int:
         return len(token) - len(self.word_end) * token.endswith(self.word_end)
@@ -106,36 +113,41 @@ class MergeList:
         letters = list(whole.removesuffix(self.word_end)) if whole.endswith(self.word_end) else list(whole)
         if whole.endswith(self.word_end):
             letters[-1] += self.word_end
-        if len(self.fits) >= FITS:
-            self.fits.clear()
-        self.fits[a, b] = ok = self.merged(letters) == ([a, b] if a else [b])
+        ok = self.merged(letters) == ([a, b] if a else [b])
+        if self.known < FITS:
+            self.known += 1
+            self.fits.setdefault(a, {})[b] = ok
         return ok
 
     def split(self, letters: str) -> list[str]:
         """Full BPE of a short word. A split whose neighbours all fit is the one that BPE makes,
         so the longest fitting token is tried first and taken back where nothing follows it."""
-        vocab, fits, n, end = self.vocab, self.fits, len(letters), self.word_end
+        vocab, fits, n, end, widest = self.vocab, self.fits, len(letters), self.word_end, self.widest
         out: list[str] = []
         dead: set[int] = set()
-        last, i, size = "", 0, min(self.longest, n)
+        last, i, row = "", 0, fits[""]
+        size = min(widest.get(letters[:3], 2), n)
         while i < n:
             while size:
                 j = i + size
                 t = letters[i:j] if j < n else letters[i:] + end
                 if t in vocab and j not in dead:
-                    ok = fits.get((last, t))
+                    ok = row.get(t)
                     if self.fit(last, t) if ok is None else ok:
                         break
                 size -= 1
             if size:
                 out.append(t)
-                last, i = t, j
-                size = min(self.longest, n - i)
+                last, i, row = t, j, fits.get(t) or fits.setdefault(t, {})
+                size = widest.get(letters[i : i + 3], 2)
+                if size > n - i:
+                    size = n - i
             else:
                 dead.add(i)
                 t = out.pop()
                 i -= len(t)
                 size, last = len(t) - 1, out[-1] if out else ""
+                row = fits[last]
         return out
 
     def stream(self, letters: Iterable[str]) -> Iterator[str]:
@@ -182,52 +194,58 @@ class Transducer:
             self.token[i] = text
         self.id_text = [str(i) for i in range(size)]
         self.token_bytes = [t.encode() for t in self.token]
+        self.code = "H" if size <= 1 << 16 else "I"
         self.limit = cache_words
-        self.young: dict[str, tuple[int, ...]] = _Cache(self)
-        self.old: dict[str, tuple[int, ...]] = {}
-
-    def word(self, letters: str) -> list[int]:
-        vocab = self.vocab
-        if len(letters) <= SHORT:
-            return [vocab[t] for t in self.model.split(letters)]
-        return [vocab[t] for t in self.model.stream(letters)]
-
-    def pieces(self, piece: str) -> Iterator[int]:
+        #: Ids of pieces between white space and of words, as packed bytes; the older half goes when full.
+        self.young: dict[str, bytes] = _Cache(self)
+        self.old: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def word(self, letters: str) -> bytes:
+        found = self.words.get(letters)
+        if found is None:
+            model, vocab = self.model, self.vocab
+            short = len(letters) <= SHORT
+            found = array(self.code, [vocab[t] for t in (model.split(letters) if short else model.stream(letters))]).tobytes()
+            if short:
+                if len(self.words) >= self.limit // 2:
+                    self.words.clear()
+                self.words[letters] = found
+        return found
+
+    def plain(self, piece: str) -> bytes:
         """Ids of a piece without white space or special tokens, word by word."""
-        if max(piece) < PLAIN_LIMIT:
-            text = unicodedata.normalize("NFC", piece)
-            text = text.lower() if text.isascii() else "".join([c.lower() for c in text])
-            for m in WORDS.finditer(text):
-                w = m.group()
-                yield from self.word(w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(self.letters))
+        if piece.isascii():
+            text = piece.lower()
+            if text.isalpha():
+                return self.word(text)
+        elif max(piece) < PLAIN_LIMIT:
+            text = "".join([c.lower() for c in unicodedata.normalize("NFC", piece)])
         else:
-            for w, _ in self.pre_tokenize(self.normalise(piece)):
-                yield from self.word(w)
+            return b"".join([self.word(w) for w, _ in self.pre_tokenize(self.normalise(piece))]) if piece else b""
+        word, letters = self.word, self.letters
+        return b"".join([word(w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(letters)) for w in WORDS.findall(text)])
 
-    def missed(self, piece: str) -> tuple[int, ...]:
+    def missed(self, piece: str) -> bytes:
         ids = self.old.get(piece)
         if ids is None:
-            ids = tuple(self._plain(piece) if self.mark not in piece else self._marked(piece))
-        if len(piece) <= 64:
+            ids = self.plain(piece) if self.mark not in piece else self.marked(piece)
+        if len(piece) <= SHORT:
             if len(self.young) >= self.limit:
                 self.old = dict(self.young)
                 self.young.clear()
             self.young[piece] = ids
         return ids
 
-    def _plain(self, piece: str) -> Iterator[int]:
-        return self.pieces(piece) if piece else iter(())
-
-    def _marked(self, piece: str) -> Iterator[int]:
-        at = 0
+    def marked(self, piece: str) -> bytes:
+        out, at = [], 0
         for m in self.special_split.finditer(piece):
-            yield from self._plain(piece[at : m.start()])
-            yield self.special[m.group()]
+            out += [self.plain(piece[at : m.start()]), array(self.code, [self.special[m.group()]]).tobytes()]
             at = m.end()
-        yield from self._plain(piece[at:])
+        return b"".join([*out, self.plain(piece[at:])])
 
-    def encode(self, text: str | None) -> Iterator[list[int]]:
-        """Lists of ids, block by block; a block ends where white space does."""
+    def encode(self, text: str | None) -> Iterator[array]:
+        """Arrays of ids, block by block; a block ends where white space begins."""
         if not text:
             return
         at, n = 0, len(text)
@@ -239,17 +257,17 @@ class Transducer:
             block = text[at:end]
             at = end
             words = [w for w in SPACES.split(block) if w] if any(c in block for c in SEPARATORS) else block.split()
-            yield list(chain.from_iterable(map(self.young.__getitem__, words)))
+            yield array(self.code, b"".join(map(self.young.__getitem__, words)))
 
     def ids(self, text: str | None) -> list[int]:
-        return list(chain.from_iterable(self.encode(text)))
+        return [i for block in self.encode(text) for i in block]
 
 
 class _Cache(dict):
     def __init__(self, owner: Transducer):
         self.owner = owner
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
+    def __missing__(self, piece: str) -> bytes:
         return self.owner.missed(piece)
 
 
@@ -308,7 +326,7 @@ class Decoder:
             end = t.model.word_end
             self.parts = [x.encode() if i in t.special.values() else bytes(back[c] for c in x.removesuffix(end)) + b" " * x.endswith(end) for i, x in enumerate(t.token)]
 
-    def feed(self, ids: list[int]) -> str:
+    def feed(self, ids: Sequence[int]) -> str:
         if not ids:
             return ""
         glue = b"" if self.raw else b" "
@@ -388,8 +406,5 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 def id_bytes(t: Transducer, text: str | None, end_id: int) -> bytes:
     """Little-endian unsigned 32-bit ids, closed with ``end_id``."""
-    out = array("I")
-    for ids in t.encode(text):
-        out.extend(ids)
-    out.append(end_id)
-    return out.tobytes()
+    parts = [np.frombuffer(ids, t.code) for ids in t.encode(text)]
+    return np.concatenate([*parts, np.array([end_id], t.code)]).astype("<u4").tobytes()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, imatch, jaccard, langid, packing, pii, quality, sharding
+from . import ann, bpe, imatch, jaccard, langid, licenses, packing, pii, quality, sharding
 from .common import table
 
 
@@ -15,6 +15,10 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar(table(spark, sf_dir, "documents"))
 
 
+def op2_adaptive_scan_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op3_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", langid.held_out("doc_id", 3, 1))
     net = langid.train(docs.filter("not held_out"))
@@ -31,6 +35,10 @@ def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shuffled(table(spark, sf_dir, "documents"))
 
@@ -61,9 +69,9 @@ def _of(kind: str) -> Callable:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_ngram_jaccard_join, op3_byte_cnn_language, op4_quality_scores, op5_bpe_round_trip, op7_hypergeometric_shards, op8_imatch, op9_packing, op10_skip_chain_pii)
+        for f in (op1_ngram_jaccard_join, op2_adaptive_scan_ann, op3_byte_cnn_language, op4_quality_scores, op5_bpe_round_trip, op6_license_scan, op7_hypergeometric_shards, op8_imatch, op9_packing, op10_skip_chain_pii)
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_license_scan": licenses.sql()}
