@@ -3,12 +3,16 @@
 A text's lines are normalised to lower-case words; a template and a run of lines agree by
 ``2 |A & B| / (|A| + |B|)`` over their distinct word bigrams. Since the shared part is at most the
 smaller set, only templates whose size lies within [d / (2 - d), (2 - d) / d] of the passage's can
-reach Dice d; the others are not compared. Built-in functions only.
+reach Dice d; the others are not compared.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DICE = 0.8
@@ -28,27 +32,46 @@ TEMPLATES = {
 }
 
 
-def words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
+_WORD = re.compile("[a-z0-9]+")
 
 
-def bigrams(own: Column) -> Column:
+def bigrams(text: str) -> set[str]:
     """Distinct word pairs; a single word counts as a pair with nothing."""
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(own) - 1, F.lit(1))), lambda i: F.concat(F.get(own, i - 1), F.lit(" "), F.coalesce(F.get(own, i), F.lit(""))))
-    return F.when(F.size(own) > 0, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
+    w = _WORD.findall(text.lower())
+    return {f"{a} {b}" for a, b in zip(w, w[1:])} if len(w) != 1 else {f"{w[0]} "}
 
 
 def templates() -> list[tuple[str, str, list[str]]]:
-    """(licence, template id, distinct bigrams) as the column functions would make them."""
-    import re
-
-    out = []
-    for name, texts in TEMPLATES.items():
-        for k, t in enumerate(texts):
-            w = [x for x in re.split("[^a-z0-9]+", t.lower()) if x]
-            pairs = [f"{a} {b}" for a, b in zip(w, w[1:])] if len(w) > 1 else [f"{w[0]} "]
-            out.append((name, f"{name}#{k}", sorted(set(pairs))))
-    return out
+    """(licence, template id, distinct bigrams)."""
+    return [(name, f"{name}#{k}", sorted(bigrams(t))) for name, texts in TEMPLATES.items() for k, t in enumerate(texts)]
+
+
+class Matcher:
+    def __init__(self, least: float = DICE):
+        self.least, self.known = least, templates()
+        self.having: dict[str, list[int]] = {}
+        for k, (_, _, pairs) in enumerate(self.known):
+            for p in pairs:
+                self.having.setdefault(p, []).append(k)
+        low, high = least / (2 - least), (2 - least) / least
+        self.bounds = [(len(p) * low, len(p) * high) for _, _, p in self.known]
+        self.low, self.high = min(b for b, _ in self.bounds), max(b for _, b in self.bounds)
+
+    def best(self, line: str) -> tuple[str, str, float] | None:
+        own = bigrams(line)
+        n = len(own)
+        if not self.low <= n <= self.high:
+            return None
+        shared: dict[int, int] = {}
+        for p in own:
+            for k in self.having.get(p, ()):
+                if self.bounds[k][0] <= n <= self.bounds[k][1]:
+                    shared[k] = shared.get(k, 0) + 1
+        found = [(-2.0 * c / (n + len(self.known[k][2])), self.known[k][1], self.known[k][0]) for k, c in shared.items()]
+        if not found or -min(found)[0] < self.least:
+            return None
+        d, key, name = min(found)
+        return name, key, -d
 
 
 def scan(docs: DataFrame, least: float = DICE) -> DataFrame:
@@ -56,22 +79,22 @@ def scan(docs: DataFrame, least: float = DICE) -> DataFrame:
 
     Each line gives its best template (the first by id among equals). Lines are numbered from 1,
     empty ones included. Null and empty texts match nothing; repeated rows give repeated rows.
+    One pass over whole texts, no shuffle.
     """
-    lines = docs.select("doc_id", F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("line", "passage"))
-    known = templates()
-    sizes = [len(b) for _, _, b in known]
-    low, high = min(sizes) * least / (2 - least), max(sizes) * (2 - least) / least
-    # fewer words than the smallest bound allows, or more characters than the largest: no template
-    own = lines.withColumn("own", bigrams(words(F.col("passage")))).filter((F.size("own") >= low) & (F.size("own") <= high))
-    scores = []
-    for name, key, pairs in known:
-        n = len(pairs)
-        fits = (F.size("own") >= n * least / (2 - least)) & (F.size("own") <= n * (2 - least) / least)
-        shared = F.size(F.array_intersect("own", F.array(*[F.lit(p) for p in pairs])))
-        dice = 2.0 * shared / (F.size("own") + n)
-        scores.append(F.when(fits, F.struct((-dice).alias("d"), F.lit(key).alias("template"), F.lit(name).alias("license"))))
-    best = own.withColumn("best", F.array_min(F.array_compact(F.array(*scores)))).filter(F.col("best.d") <= -least)
-    return best.select("doc_id", F.col("best.license").alias("license"), F.col("best.template").alias("template"), (F.col("line") + 1).cast("int").alias("line"), (-F.col("best.d")).alias("dice"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        matcher = Matcher(least)
+        for b in batches:
+            rows = []
+            for d, text in zip(b["doc_id"], b["text"]):
+                for k, line in enumerate((text or "").split("\n"), 1):
+                    found = matcher.best(line)
+                    if found:
+                        rows.append((d, found[0], found[1], k, found[2]))
+            yield pd.DataFrame(rows, columns=["doc_id", "license", "template", "line", "dice"])
+
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return src.mapInPandas(run, "doc_id long, license string, template string, line int, dice double")
 
 
 def sql(least: float = DICE) -> str:
@@ -83,10 +106,10 @@ line AS (
   SELECT doc_id, CAST(i AS INTEGER) AS line, string_split(text, chr(10))[i] AS passage
   FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)
 ), worded AS (
-  SELECT doc_id, line, list_filter(regexp_split_to_array(lower(passage), '[^a-z0-9]+'), w -> w <> '') AS w FROM line
+  SELECT doc_id, line, list_filter(regexp_split_to_array(lower(passage), '[^a-z0-9]+'), lambda w: w <> '') AS w FROM line
 ), own AS (
-  SELECT doc_id, line, CASE WHEN len(w) = 1 THEN [w[1] || ' '] ELSE list_distinct(list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1])) END AS own
-  FROM worded WHERE len(w) BETWEEN 1 AND 400
+  SELECT doc_id, line, CASE WHEN len(w) = 1 THEN [w[1] || ' '] ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS own
+  FROM worded WHERE len(w) >= 1
 ), scored AS (
   SELECT o.doc_id, o.line, t.license, t.template,
          2.0::DOUBLE * len(list_intersect(o.own, t.pairs)) / (len(o.own) + len(t.pairs)) AS dice
