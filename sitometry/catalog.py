@@ -1,11 +1,282 @@
-"""The registered queries."""
+"""The registered queries over the driver's tables, each with its SQL equivalent where there is one.
+
+The price tables are played by line items: commodity = part type, unit price = extended price over
+quantity, place = nation, year = ship year; the text operators run over the documents with the
+``PROSE`` vocabulary.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import numbers, text
+from .operators import analysis, harvest, linking, recall, sampling, windows
+from .vocab import PROSE
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = _table(spark, sf_dir, "lineitem")
+    return items.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", F.year("l_shipdate").alias("year"), numbers.unit_price(F.col("l_extendedprice"), F.col("l_quantity")).alias("price"))
+
+
+_PRICES = "SELECT *, year(l_shipdate)::INTEGER AS year, CASE WHEN l_quantity > 0 THEN l_extendedprice / l_quantity END AS price FROM lineitem"
+_TREND = f"""p AS ({_PRICES}),
+t AS (SELECT year, count(price) AS n, quantile_cont(price, 0.5) AS median, quantile_cont(price, 0.25) AS q25, quantile_cont(price, 0.75) AS q75
+      FROM p WHERE price IS NOT NULL GROUP BY year),
+s AS (SELECT *, median(median) OVER (ORDER BY year ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS smooth FROM t)"""
+
+
+@_query(f"WITH {_TREND} SELECT year, n, round(median, 6) AS median, round(q25, 6) AS q25, round(q75, 6) AS q75, round(smooth, 6) AS smooth FROM s")
+def trend_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = analysis.trend(_prices(spark, sf_dir), "price", "year")
+    return out.select("year", "n", *[F.round(c, 6).alias(c) for c in ("median", "q25", "q75", "smooth")])
+
+
+@_query(f"""WITH {_TREND}, b AS (SELECT median(median) AS base FROM s WHERE year BETWEEN 1995 AND 1997)
+SELECT year, round(100.0::DOUBLE * median / base, 6) AS price_index, round(100.0::DOUBLE * smooth / base, 6) AS price_index_smooth FROM s, b""")
+def price_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = analysis.price_index(analysis.trend(_prices(spark, sf_dir), "price", "year"), "year", 1995, 1997)
+    return out.select("year", F.round("price_index", 6).alias("price_index"), F.round("price_index_smooth", 6).alias("price_index_smooth"))
+
+
+@_query(f"""WITH p AS ({_PRICES}), t AS (
+  SELECT n_name AS place, year, count(price) AS n, quantile_cont(price, 0.5) AS median
+  FROM p JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name, year)
+SELECT place, year, n, round(median, 6) AS median, round(median(median) OVER (PARTITION BY place ORDER BY year ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 6) AS smooth FROM t""")
+def trend_by_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = _table(spark, sf_dir, "supplier").join(F.broadcast(_table(spark, sf_dir, "nation")), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("l_suppkey"), F.col("n_name").alias("place"))
+    out = analysis.trend(_prices(spark, sf_dir).join(at, "l_suppkey"), "price", "year", ["place"])
+    return out.select("place", "year", "n", F.round("median", 6).alias("median"), F.round("smooth", 6).alias("smooth"))
+
+
+_MAD = """m AS (SELECT *, median(v) OVER (PARTITION BY g) AS med FROM x),
+d AS (SELECT *, median(abs(v - med)) OVER (PARTITION BY g) AS mad FROM m)"""
+
+
+@_query(f"""WITH p AS ({_PRICES}), x AS (SELECT p.*, price AS v, p_type AS g FROM p JOIN part ON l_partkey = p_partkey), {_MAD}
+SELECT l_orderkey, l_linenumber, round(0.6745::DOUBLE * (v - med) / nullif(mad, 0), 6) AS robust_z, coalesce(abs(0.6745::DOUBLE * (v - med) / nullif(mad, 0)) >= 1.5, false) AS outlier FROM d""")
+def group_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type")
+    out = analysis.robust_outliers(_prices(spark, sf_dir).join(kinds, "l_partkey"), ["p_type"], "price", 1.5)
+    return out.select("l_orderkey", "l_linenumber", F.round("robust_z", 6).alias("robust_z"), "outlier")
+
+
+@_query(f"""WITH p AS ({_PRICES}), x AS (SELECT year AS g, log10(price) AS v FROM p WHERE price > 0), {_MAD},
+k AS (SELECT * FROM d WHERE coalesce(0.6745::DOUBLE * abs(v - med) / nullif(mad, 0) <= 1.5, true))
+SELECT g AS year, count(v) AS n, round(pow(10.0::DOUBLE, quantile_cont(v, 0.5)), 6) AS median, round(pow(10.0::DOUBLE, quantile_cont(v, 0.25)), 6) AS q25, round(pow(10.0::DOUBLE, quantile_cont(v, 0.75)), 6) AS q75
+FROM k GROUP BY g HAVING count(v) >= 3""")
+def robust_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = analysis.robust_summary(_prices(spark, sf_dir), ["year"], "price", 1.5, least=3)
+    return out.select("year", "n", *[F.round(c, 6).alias(c) for c in ("median", "q25", "q75")])
+
+
+@_query("SELECT p_type AS value, count(*) AS n FROM part GROUP BY p_type ORDER BY n DESC, value LIMIT 10")
+def value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analysis.value_counts(_table(spark, sf_dir, "part"), "p_type", 10)
+
+
+_HISTOGRAM = """e AS (SELECT min(v) AS low, max(v) AS high FROM x),
+b AS (SELECT least(floor((v - low) / ((high - low) / 20)), 19)::INTEGER AS bin, low, high FROM x, e)
+SELECT bin, round(low + bin * (high - low) / 20, 6) AS edge, count(*) AS n FROM b GROUP BY bin, low, high"""
+
+
+@_query(f"WITH x AS (SELECT value AS v FROM events WHERE value IS NOT NULL), {_HISTOGRAM}")
+def histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analysis.histogram(_table(spark, sf_dir, "events"), "value", 20).withColumn("edge", F.round("edge", 6))
+
+
+@_query(f"""WITH v AS (SELECT value AS v FROM events WHERE value > 0), c AS (SELECT quantile_cont(v, 0.995) AS cut FROM v),
+x AS (SELECT log10(least(v, cut)) AS v FROM v, c), {_HISTOGRAM}""")
+def log_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analysis.histogram(_table(spark, sf_dir, "events"), "value", 20, True).withColumn("edge", F.round("edge", 6))
+
+
+@_query("""SELECT o_orderkey, CASE WHEN o_totalprice / 1000.0::DOUBLE >= 205 AND o_orderstatus <> 'P' THEN 'A' WHEN o_totalprice / 1000.0::DOUBLE >= 200 THEN 'B' ELSE 'C' END AS tier FROM orders""")
+def tiering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", (F.col("o_totalprice") / 1000.0).alias("score"))
+    return analysis.tiered(rows, "score", 200, F.col("o_orderstatus") == "P").select("o_orderkey", "tier")
+
+
+@_query(f"""WITH p AS ({_PRICES}), c AS (SELECT quantile_cont(price, 0.99) AS cut FROM p),
+r AS (SELECT l_orderkey, l_linenumber, l_quantity AS score, price, cut, l_returnflag = 'A' AS ambiguous, l_linenumber AS dist, l_discount AS strength FROM p, c),
+w AS (SELECT *, concat_ws('; ', CASE WHEN ambiguous THEN 'ambiguous' END, CASE WHEN score < 25 THEN 'low_score' END, CASE WHEN dist >= 35 THEN 'far_price' END, 'no_priceword', CASE WHEN strength < 0.5 THEN 'weak_signal' END, CASE WHEN price >= cut THEN 'top_price' END) AS reasons,
+  CASE WHEN ambiguous THEN 3.0::DOUBLE ELSE 0 END + CASE WHEN score < 25 THEN 2.5::DOUBLE ELSE 0 END + CASE WHEN dist >= 35 THEN 1.2::DOUBLE ELSE 0 END + 1.0::DOUBLE + CASE WHEN strength < 0.5 THEN 1.5::DOUBLE ELSE 0 END AS priority FROM r)
+SELECT l_orderkey, l_linenumber, reasons, priority FROM w ORDER BY priority DESC, score, l_orderkey, l_linenumber LIMIT 600""")
+def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "lineitem")
+    rows = rows.select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("score"), numbers.unit_price(F.col("l_extendedprice"), F.col("l_quantity")).alias("price"), (F.col("l_returnflag") == "A").alias("ambiguous"), F.col("l_linenumber").alias("dist"), F.col("l_discount").alias("strength"))
+    rows = rows.withColumns({"qty": F.lit(1.0), "span": F.lit(0), "priceword": F.lit(False), "outlier_raw": F.lit(False), "outlier_std": F.lit(False), "neg_signals": F.lit("")})
+    return analysis.review_queue(rows, 600, ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", "reasons", "priority")
+
+
+@_query("SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) = 1")
+def primary_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analysis.primary_rows(_table(spark, sf_dir, "lineitem"), ["l_orderkey"], "l_extendedprice", ["l_linenumber"]).select("l_orderkey", "l_linenumber", "l_extendedprice")
+
+
+@_query("""SELECT l_orderkey, l_linenumber, CASE l_linestatus WHEN 'O' THEN 'artaba' ELSE 'choenix' END AS unit, CASE l_returnflag WHEN 'A' THEN 'obol' WHEN 'N' THEN 'drachma' ELSE 'mina' END AS currency,
+round(l_quantity * CASE l_linestatus WHEN 'O' THEN 38.8::DOUBLE ELSE 1.08::DOUBLE END, 6) AS litres,
+round(l_extendedprice * CASE l_returnflag WHEN 'A' THEN 1.0::DOUBLE / 6.0::DOUBLE WHEN 'N' THEN 1.0::DOUBLE ELSE 100.0::DOUBLE END, 6) AS drachmas FROM lineitem""")
+def convert_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", text.by_prefix(F.col("l_linestatus"), (("O", "artaba"), ("F", "choenix"))).alias("unit"), text.by_prefix(F.col("l_returnflag"), (("A", "obol"), ("N", "drachma"), ("R", "mina"))).alias("currency"))
+    return rows.select("l_orderkey", "l_linenumber", "unit", "currency", F.round(numbers.in_litres(F.col("l_quantity"), F.col("unit")), 6).alias("litres"), F.round(numbers.in_drachmas(F.col("l_extendedprice"), F.col("currency")), 6).alias("drachmas"))
+
+
+_NORM = "trim(regexp_replace(replace(strip_accents(lower({0})), 'ß', 'ss'), '\\s+', ' ', 'g'))"
+
+
+@_query(f"SELECT doc_id, sha256({_NORM.format('text')}) AS norm_sha256 FROM documents")
+def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.normalized("text"), 256).alias("norm_sha256"))
+
+
+_LINES = "SELECT doc_id, i - 1 AS block_no, string_split(text, chr(10))[i] AS raw FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)"
+
+
+@_query(f"SELECT doc_id, block_no::INTEGER AS block_no, length(raw)::INTEGER AS chars FROM ({_LINES}) WHERE trim(raw) <> ''")
+def block_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return harvest.text_blocks(_table(spark, sf_dir, "documents"), "doc_id", "text").select(F.col("ddb_id").alias("doc_id"), "block_no", F.length("raw").alias("chars"))
+
+
+_EDGE = r"(^|[^\p{L}\p{N}_])"
+_HARVEST = rf"""b AS (SELECT doc_id, block_no, {_NORM.format('raw')} AS norm, raw FROM ({_LINES}) WHERE trim(raw) <> ''),
+h AS (SELECT *, regexp_matches(norm, '{_EDGE}(inge|onth)') AS u, regexp_matches(norm, '{_EDGE}(andr|thes)') AS m, regexp_matches(norm, 'thehe|ingre') AS p FROM b
+  WHERE len(list_filter(regexp_extract_all(norm, '{_EDGE}((erin|tion)[\p{{L}}\p{{N}}_]*)', 2), lambda w: NOT regexp_matches(w, '^(tionth|erinth)'))) > 0
+    AND (regexp_matches(raw, '[0-9]') OR regexp_matches(norm, '{_EDGE}[ivx]{{2,6}}($|[^\p{{L}}\p{{N}}_])')))"""
+
+
+@_query(f"WITH {_HARVEST} SELECT doc_id, count(*)::INTEGER AS block_match_count, bool_or(p) AS priceword_hit, bool_or(u)::INTEGER + bool_or(m)::INTEGER + bool_or(p)::INTEGER AS score FROM h WHERE m OR p GROUP BY doc_id")
+def harvest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = harvest.sieved(_table(spark, sf_dir, "documents"), "text", PROSE)
+    found = harvest.candidates(harvest.text_blocks(docs, "doc_id", "text"), PROSE)
+    return found.select(F.col("ddb_id").alias("doc_id"), "block_match_count", "priceword_hit", "score")
+
+
+@_query(rf"""WITH d AS (SELECT doc_id, {_NORM.format('text')} AS norm FROM documents),
+w AS (SELECT doc_id, norm, unnest(range(1, len(string_split(norm, ' ')) + 1)) AS i FROM d), t AS (SELECT doc_id, i - 1 AS tok, string_split(norm, ' ')[i] AS word FROM w)
+SELECT doc_id, tok::INTEGER AS tok, word FROM t WHERE regexp_matches(word, '^(inge|onth)')""")
+def token_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", text.normalized("text").alias("norm"))
+    found = docs.select("doc_id", "norm", F.explode(text.matches(F.col("norm"), "(?<![^ ])(inge|onth)[^ ]*")).alias("m"))
+    return found.select("doc_id", text.token_at(F.col("norm"), F.col("m.start")).alias("tok"), F.col("m.found").alias("word"))
+
+
+@_query(r"""WITH d AS (SELECT doc_id, regexp_matches(text, 'edth') AS tax, regexp_matches(text, 'lyed') AS loan, regexp_matches(text, 'of\s+th') AS receipt, regexp_matches(text, 'hand|hare') AS sale, regexp_matches(text, 'ouan') AS weak FROM documents),
+s AS (SELECT *, CASE WHEN receipt THEN 0.7::DOUBLE WHEN sale THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS raw FROM d),
+k AS (SELECT *, CASE WHEN weak AND raw > 0 THEN greatest(0.1::DOUBLE, raw - 0.4::DOUBLE) ELSE raw END AS strength FROM s)
+SELECT doc_id, CASE WHEN raw > 0 AND (NOT (tax OR loan) OR strength >= 0.6::DOUBLE) THEN 'PRICE' WHEN tax THEN 'TAX' WHEN loan THEN 'LOAN' ELSE 'OTHER' END AS context, round(strength, 6) AS strength FROM k""")
+def context_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dataclasses import replace
+
+    p = replace(PROSE, weakener="ouan", negative={"TAX": "edth", "LOAN": "lyed"}, positive={"receipt_price": (r"of\s+th", 0.7), "sale_verb": ("hand|hare", 0.5)})
+    out = _table(spark, sf_dir, "documents").select("doc_id", linking.classified(F.col("text"), p).alias("c"))
+    return out.select("doc_id", "c.context", F.round("c.strength", 6).alias("strength"))
+
+
+@_query("""WITH r AS (SELECT l_orderkey, l_linenumber, l_discount * 10 AS strength, l_linenumber AS dp, CASE WHEN l_returnflag <> 'A' THEN (l_quantity)::INTEGER END AS dq, l_linestatus = 'O' AS has_unit, l_returnflag = 'R' AS boundary, l_linenumber AS competing FROM lineitem),
+s AS (SELECT *, (30.0::DOUBLE * exp(-dp / 12.0::DOUBLE) + 10.0::DOUBLE * CASE WHEN dq IS NULL THEN 0.3::DOUBLE ELSE exp(-dq / 20.0::DOUBLE) END + 30.0::DOUBLE * strength)
+ * greatest(0.5::DOUBLE, 1.0::DOUBLE - CASE WHEN has_unit THEN 0.0::DOUBLE ELSE 0.15::DOUBLE END - CASE WHEN boundary THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END) * greatest(0.7::DOUBLE, 1.0::DOUBLE - 0.05::DOUBLE * greatest(0, competing - 1)) AS v FROM r)
+SELECT l_orderkey, l_linenumber, round(least(greatest(CASE WHEN strength < 0.1::DOUBLE THEN least(v, 40) ELSE v END, 0), 100), 6) AS score FROM s""")
+def score_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col
+    s = linking.score(c("l_discount") * 10, c("l_linenumber"), F.when(c("l_returnflag") != "A", c("l_quantity").cast("int")), c("l_linestatus") == "O", c("l_returnflag") == "R", c("l_linenumber"))
+    return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(s, 6).alias("score"))
+
+
+@_query("""WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos FROM events),
+p AS (SELECT a.event_id, b.event_id AS price_id, abs(a.pos - b.pos) AS dist, row_number() OVER (PARTITION BY a.event_id ORDER BY abs(a.pos - b.pos), b.event_id) AS k
+  FROM e a JOIN e b ON a.user_id = b.user_id AND abs(a.pos - b.pos) <= 80 AND a.event_type = 'view' AND b.event_type = 'purchase')
+SELECT event_id, price_id, dist::INTEGER AS dist FROM p WHERE k = 1""")
+def nearest_event_link(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest by position: the last purchase before and the first after, by two window scans."""
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = _table(spark, sf_dir, "events").withColumn("pos", F.row_number().over(order))
+    hit = F.when(F.col("event_type") == "purchase", F.struct("pos", "event_id"))
+    by_pos = Window.partitionBy("user_id").orderBy("pos")
+    e = e.withColumns({"before": F.last(hit, True).over(by_pos.rowsBetween(Window.unboundedPreceding, -1)), "after": F.first(hit, True).over(by_pos.rowsBetween(1, Window.unboundedFollowing))})
+    near = F.array_min(F.array_compact(F.transform(F.array("before", "after"), lambda s: F.when(s.isNotNull(), F.struct(F.abs(s["pos"] - F.col("pos")).alias("dist"), s["event_id"].alias("price_id"))))))
+    out = e.filter("event_type = 'view'").withColumn("near", near).filter("near.dist <= 80")
+    return out.select("event_id", "near.price_id", F.col("near.dist").cast("int").alias("dist"))
+
+
+@_query()
+def linked_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = harvest.text_blocks(harvest.sieved(_table(spark, sf_dir, "documents"), "text", PROSE), "doc_id", "text")
+    m = linking.mentions(linking.events(blocks, PROSE), PROSE)
+    return linking.linked(m, PROSE, least=0.0).select("ddb_id", "block_no", "grain.form", "price.value", "score")
+
+
+@_query()
+def rejected_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = harvest.text_blocks(harvest.sieved(_table(spark, sf_dir, "documents"), "text", PROSE), "doc_id", "text")
+    m = linking.mentions(linking.events(blocks, PROSE), PROSE)
+    return linking.rejected(m).select("ddb_id", "block_no", "grain.form", "class.context", "class.reason", "context_window")
+
+
+@_query()
+def topk_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ddb_id"), "text")
+    return windows.judged(windows.asked(windows.top_windows(windows.windows(docs, PROSE)), None))
+
+
+@_query()
+def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_totalprice") / 5000).alias("score"), F.when(F.col("o_orderstatus") == "P", "yes").otherwise("no").alias("ambiguous"))
+    return sampling.by_score_and_clarity(rows, 20, "o_orderkey", fill=True)
+
+
+@_query("SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'B' ELSE 'A' END AS stratum FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id")
+def semi_anti_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents").select("doc_id"), _table(spark, sf_dir, "labels").select("doc_id").distinct()
+    return docs.join(labels, "doc_id", "left_semi").withColumn("stratum", F.lit("A")).union(docs.join(labels, "doc_id", "left_anti").withColumn("stratum", F.lit("B")))
+
+
+@_query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def resume_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.resumed(_table(spark, sf_dir, "documents").select("doc_id"), _table(spark, sf_dir, "labels"), "doc_id")
+
 
-def queries() -> dict:
-    return {}
+@_query("""WITH k AS (SELECT DISTINCT left(p_name, greatest(length(p_name) - i, 0)) AS name FROM part, range(0, 4) r(i)), e AS (SELECT p_partkey, left(p_name, length(p_name) - (p_partkey % 6)::INTEGER) AS name FROM part)
+SELECT p_partkey, name FROM e WHERE name <> '' AND name IN (SELECT name FROM k)""")
+def prefix_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = _table(spark, sf_dir, "part")
+    entries = part.select("p_partkey", F.left("p_name", F.length("p_name") - (F.col("p_partkey") % 6).cast("int")).alias("name"))
+    return recall.found_in(entries, part.select("p_name"), "name", "p_name").select("p_partkey", "name")
 
 
-def oracle_sql() -> dict:
-    return {}
+@_query("""WITH r AS (SELECT l.quality = 1 AS truth, d.n_chars >= 1500 AS predicted FROM labels l JOIN documents d USING (doc_id)),
+c AS (SELECT count(*) FILTER (predicted AND truth) AS tp, count(*) FILTER (predicted AND NOT truth) AS fp, count(*) FILTER (NOT predicted AND truth) AS fn, count(*) FILTER (NOT predicted AND NOT truth) AS tn FROM r)
+SELECT tp, fp, fn, tn, round(tp::DOUBLE / nullif(tp + fp, 0), 6) AS precision, round(tp::DOUBLE / nullif(tp + fn, 0), 6) AS recall FROM c""")
+def precision_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "labels").join(_table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
+    out = sampling.confusion(rows, F.col("n_chars") >= 1500, F.col("quality") == 1)
+    return out.withColumns({"precision": F.round("precision", 6), "recall": F.round("recall", 6)})
