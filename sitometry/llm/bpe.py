@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 #: Up to here normalisation and letter classes are the same in every Unicode version in use.
 PLAIN_LIMIT = "ɐ"
 BLOCK_CHARS = 1 << 16
-CACHE_WORDS = 500_000
+CACHE_WORDS = 800_000
 FITS = 1_000_000
 #: Words up to here are closed before any token could be called stable, so they are split whole.
 SHORT = 64
@@ -208,7 +208,7 @@ class Transducer:
             short = len(letters) <= SHORT
             found = array(self.code, [vocab[t] for t in (model.split(letters) if short else model.stream(letters))]).tobytes()
             if short:
-                if len(self.words) >= self.limit // 2:
+                if len(self.words) >= self.limit:
                     self.words.clear()
                 self.words[letters] = found
         return found

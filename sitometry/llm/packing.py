@@ -26,7 +26,7 @@ WINDOW = 4096
 END_ID = 2
 GRAIN = 8
 #: Ranks within one length are counted in so many parts, so no length gathers in one task.
-SALTS = 64
+SALTS = 16
 
 
 def combinations(cells: int) -> list[dict[int, int]]:
@@ -166,7 +166,7 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, end_id:
     steps = plan(hist, window)
     offsets = counts.withColumn("base", F.sum("count").over(Window.partitionBy("length").orderBy("salt")) - F.col("count")).drop("count")
     part = Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32")
-    # offsets has at most window * SALTS rows of three numbers: 6 MB at the defaults
+    # offsets has at most window * SALTS rows of three numbers: 2 MB at the defaults
     ranked = cut.withColumn("k", F.row_number().over(part) - 1).join(F.broadcast(offsets), ["length", "salt"])
     ranked = ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("k") + F.col("base")).alias("rank"))
     key = steps["length"].to_numpy() * (1 << 40) + steps["lo"].to_numpy()
