@@ -280,3 +280,31 @@ def precision_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "labels").join(_table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
     out = sampling.confusion(rows, F.col("n_chars") >= 1500, F.col("quality") == 1)
     return out.withColumns({"precision": F.round("precision", 6), "recall": F.round("recall", 6)})
+
+
+@_query("SELECT event_id, json_extract_string(props, '$.k')::INTEGER AS k FROM events")
+def json_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = F.from_json(text.json_object(F.concat(F.lit("```json "), F.col("props"), F.lit(" ```"))), "k int")
+    return _table(spark, sf_dir, "events").select("event_id", found["k"].alias("k"))
+
+
+@_query(f"""WITH c AS (SELECT conv_id, turn, {_NORM.format('text')} AS norm FROM conversations)
+SELECT conv_id, count(*)::INTEGER AS turns, count(*) FILTER (regexp_matches(norm, '{_EDGE}(erin|tion)'))::INTEGER AS with_grain FROM c GROUP BY conv_id""")
+def chat_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", text.normalized("text").alias("norm"))
+    return turns.groupBy("conv_id").agg(F.count(F.lit(1)).cast("int").alias("turns"), F.count_if(F.col("norm").rlike(PROSE.grain)).cast("int").alias("with_grain"))
+
+
+@_query("SELECT CASE WHEN n_chars <= 10 THEN '00-10' WHEN n_chars > 80 THEN NULL ELSE printf('%02d-%02d', ((n_chars - 1) // 10 * 10 + 1)::INTEGER, ((n_chars - 1) // 10 * 10 + 10)::INTEGER) END AS bin, count(*) AS n FROM documents GROUP BY 1")
+def score_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").groupBy(numbers.score_bin(F.col("n_chars")).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query()
+def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text blocks of web pages: tags off, entities of the common kind read, one row a block."""
+    html = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1>", " "), r"(?is)</?(p|div|li|h[1-6]|tr|br|ul|ol|table|section|article|title|body|head)\b[^>]*>", "\n")
+    bare = F.regexp_replace(html, r"(?s)<[^>]+>", "")
+    for name, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+        bare = F.replace(bare, F.lit(name), F.lit(sign))
+    return harvest.text_blocks(_table(spark, sf_dir, "pages").withColumn("bare", bare), "page_id", "bare").select(F.col("ddb_id").alias("page_id"), "block_no", text.collapsed(F.col("raw")).alias("raw"))

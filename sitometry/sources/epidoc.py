@@ -20,17 +20,39 @@ def read_xml(spark: SparkSession, root: str) -> DataFrame:
     return files.select(F.replace("path", F.lit("\\"), F.lit("/")).alias("path"), F.decode("content", "UTF-8").alias("xml"))
 
 
+HEADER = ("ddb_id", "title", "place", "date_text", "date_when", "date_notbefore", "date_notafter")
+
+
+def header(xml: str) -> tuple[str, ...] | None:
+    """Id, title, place and dates of a document's header, or None where it does not parse."""
+    try:
+        root = ET.fromstring(xml)
+    except (ET.ParseError, ValueError):
+        return None
+    first = lambda path: next(iter(root.iterfind(path, {"t": TEI[1:-1]})), None)
+    text = lambda path: "" if (n := first(path)) is None else _flat(n)
+    date = first(".//t:origDate")
+    dates = ["" if date is None else (date.get(k) or "").strip() for k in ("when", "notBefore", "notAfter")]
+    return (_ident(root), text(".//t:titleStmt/t:title"), text(".//t:origPlace"), text(".//t:origDate"), *dates)
+
+
+def _ident(root: ET.Element) -> str:
+    ids = list(root.iter(TEI + "idno"))
+    own = [i for i in ids if i.get("type") == "ddb-hybrid"] or ids
+    return _flat(own[0]) if own else ""
+
+
 def metadata(files: DataFrame) -> DataFrame:
-    """Header fields of each document; of files with one id the last by path counts."""
-    text = lambda p: F.trim(F.regexp_replace(F.coalesce(F.xpath_string("xml", F.lit(p)), F.lit("")), r"\s+", " "))
-    fields = {
-        "title": '//titleStmt/title', "place": "//origPlace", "date_text": "//origDate", "date_when": "//origDate/@when",
-        "date_notbefore": "//origDate/@notBefore", "date_notafter": "//origDate/@notAfter",
-    }
-    ident = F.coalesce(F.nullif(text('//idno[@type="ddb-hybrid"][1]'), F.lit("")), text("//idno[1]"))
-    rows = files.filter(F.expr("try_element_at(array(xml), 1) is not null")).select("path", ident.alias("ddb_id"), *[text(p).alias(k) for k, p in fields.items()])
+    """Header fields of each document that parses; of files with one id the last by path counts."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(p, *h) for p, x in zip(b["path"], b["xml"]) if (h := header(x or "")) and h[0]]
+            yield pd.DataFrame(rows, columns=["path", *HEADER])
+
+    rows = files.select("path", "xml").mapInPandas(run, ", ".join(f"{c} string" for c in ("path", *HEADER)))
     last = Window.partitionBy("ddb_id").orderBy(F.desc("path"))
-    return rows.filter("ddb_id <> ''").withColumn("_n", F.row_number().over(last)).filter("_n = 1").drop("_n", "path")
+    return rows.withColumn("_n", F.row_number().over(last)).filter("_n = 1").drop("_n", "path")
 
 
 def _flat(node: ET.Element) -> str:
@@ -66,8 +88,6 @@ def parse(xml: str, commentary: bool = False) -> tuple[str, list[dict]] | None:
         root = ET.fromstring(xml)
     except (ET.ParseError, ValueError):
         return None
-    ids = list(root.iter(TEI + "idno"))
-    own = [i for i in ids if i.get("type") == "ddb-hybrid"] or ids
     kinds = ("edition", "commentary") if commentary else ("edition",)
     blocks = []
     for d, div in enumerate(x for k in kinds for x in root.iter(TEI + "div") if x.get("type") == k):
@@ -81,7 +101,7 @@ def parse(xml: str, commentary: bool = False) -> tuple[str, list[dict]] | None:
                         "num_values": [v for n in tagged if (v := n.get("value").strip())], "num_texts": [t for n in tagged if (t := _flat(n))],
                     }
                 )
-    return (_flat(own[0]) if own else "", blocks)
+    return (_ident(root), blocks)
 
 
 def parsed(files: DataFrame, commentary: bool = False) -> DataFrame:
