@@ -20,8 +20,10 @@ from .common import stored
 
 #: The centroids are fitted on about so many vectors at most; every vector is indexed.
 TRAIN_ROWS, ROUNDS, SEED = 20_000, 8, 17
-#: Lists a sample row makes, lists at most, and the part of them that a query probes.
-ROWS_A_LIST, MOST_LISTS, PROBED = 100, 1024, 0.35
+#: Sample rows for each list, and lists at most.
+ROWS_A_LIST, MOST_LISTS = 100, 1024
+#: A query probes as many lists as so many sample queries needed for that recall of so many nearest.
+TRIALS, RECALL, NEAREST = 256, 0.97, 5
 #: Columns scanned between tests, and how sure a test must be: larger abandons less.
 BLOCK, SURE = 16, 2.1
 #: Vectors and queries that meet in one task, about.
@@ -32,10 +34,7 @@ CELL_ROWS, CELL_QUERIES = 20_000, 2_000
 class Index:
     rotation: np.ndarray
     centroids: np.ndarray
-
-    @property
-    def probes(self) -> int:
-        return max(1, int(np.ceil(PROBED * len(self.centroids))))
+    probes: int
 
 
 def usable(vectors: Column) -> Column:
@@ -62,7 +61,23 @@ def fit(sample: np.ndarray, seed: int = SEED) -> Index:
         np.add.at(total, near, x)
         size = np.sqrt((total * total).sum(1, keepdims=True))
         centroids = np.where(size > 1e-9, total / np.maximum(size, 1e-9), centroids)
-    return Index(rotation, centroids)
+    return Index(rotation, centroids, probes_needed(x, centroids, rng))
+
+
+def probes_needed(x: np.ndarray, centroids: np.ndarray, rng: np.random.Generator) -> int:
+    """The fewest lists, nearest first, that hold the share RECALL of sample queries' true neighbours.
+
+    The sample is sparser than the corpus, so its neighbours are farther: the number errs upwards.
+    """
+    if len(x) <= NEAREST:
+        return len(centroids)
+    own = (x @ centroids.T).argmax(1)
+    trial = rng.choice(len(x), min(TRIALS, len(x)), replace=False)
+    near = x[trial] @ x.T
+    near[np.arange(len(trial)), trial] = -np.inf
+    true = np.argpartition(-near, NEAREST - 1, 1)[:, :NEAREST]
+    place = np.argsort(np.argsort(-(x[trial] @ centroids.T), 1), 1)
+    return int(np.quantile(np.take_along_axis(place, own[true], 1), RECALL, method="higher")) + 1
 
 
 def scan(index: Index, ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[int, int, float]]:
