@@ -51,13 +51,19 @@ def matches(text: Column, pattern: str, groups: int = 0) -> Column:
     between = F.split(text, pattern, -1)
     wholes = [F.regexp_extract_all(text, F.lit(pattern), k) for k in range(1, groups + 1)]
 
-    def at(i: Column) -> Column:
-        before = F.aggregate(F.slice(between, F.lit(1), i + 1), F.lit(0), lambda a, x: a + F.length(x))
-        earlier = F.aggregate(F.slice(found, F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x))
+    def step(acc: Column, i: Column) -> Column:
+        start = acc["end"] + F.length(F.get(between, i))
+        return F.struct((start + F.length(F.get(found, i))).alias("end"), F.concat(acc["starts"], F.array(start)).alias("starts"))
+
+    none = F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("starts"))
+
+    def made(start: Column, i: Column) -> Column:
         parts = [F.get(w, i).alias(f"g{k}") for k, w in enumerate(wholes, 1)]
-        return F.struct(F.get(found, i).alias("found"), (before + earlier).alias("start"), *parts)
+        return F.struct(F.get(found, i).alias("found"), start.alias("start"), *parts)
 
-    return F.when(F.size(found) > 0, F.transform(F.sequence(F.lit(0), F.size(found) - 1), at)).otherwise(F.array())
+    count = F.size(found)
+    starts = F.aggregate(F.sequence(F.lit(0), count - 1), none, step, lambda acc: acc["starts"])
+    return F.when(count > 0, F.transform(starts, made)).otherwise(F.array())
 
 
 def token_at(text: Column, start: Column) -> Column:
