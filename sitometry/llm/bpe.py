@@ -28,8 +28,7 @@ from pyspark.sql import functions as F
 #: Up to here normalisation and letter classes are the same in every Unicode version in use.
 PLAIN_LIMIT = "ɐ"
 BLOCK_CHARS = 1 << 16
-CACHE_WORDS = 800_000
-FITS = 1_000_000
+CACHE_WORDS = 500_000
 #: Words up to here are closed before any token could be called stable, so they are split whole.
 SHORT = 64
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
@@ -60,7 +59,7 @@ class MergeList:
         self.lookahead, self.longest = self._measure(merges)
         self.window = 4 * (self.lookahead + self.longest)
         self.fits: dict[str, dict[str, bool]] = {"": {}}
-        self.known = 0
+        self.known, self.most_known = 0, CACHE_WORDS
         #: The widest token that begins with three given letters.
         self.widest: dict[str, int] = {}
         for token in vocab:
@@ -114,7 +113,7 @@ class MergeList:
         if whole.endswith(self.word_end):
             letters[-1] += self.word_end
         ok = self.merged(letters) == ([a, b] if a else [b])
-        if self.known < FITS:
+        if self.known < self.most_known:
             self.known += 1
             self.fits.setdefault(a, {})[b] = ok
         return ok
@@ -195,7 +194,7 @@ class Transducer:
         self.id_text = [str(i) for i in range(size)]
         self.token_bytes = [t.encode() for t in self.token]
         self.code = "H" if size <= 1 << 16 else "I"
-        self.limit = cache_words
+        self.limit = self.model.most_known = cache_words
         #: Ids of pieces between white space and of words, as packed bytes; the older half goes when full.
         self.young: dict[str, bytes] = _Cache(self)
         self.old: dict[str, bytes] = {}
@@ -271,10 +270,10 @@ class _Cache(dict):
         return self.owner.missed(piece)
 
 
-@lru_cache(maxsize=2)
-def transducer(path: str) -> Transducer:
+@lru_cache(maxsize=1)
+def transducer(path: str, cache_words: int = CACHE_WORDS) -> Transducer:
     """One for each Python worker."""
-    return Transducer(path)
+    return Transducer(path, cache_words)
 
 
 class ByteText:

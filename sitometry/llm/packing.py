@@ -133,11 +133,11 @@ def plan(counts: dict[int, int], window: int = WINDOW, grain: int = GRAIN) -> pd
     return pd.DataFrame(rows, columns=["length", "lo", "hi", "first", "times", "at"], dtype="int64").sort_values(["length", "lo"], ignore_index=True)
 
 
-def pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
+def pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID, cache_words: int = bpe.CACHE_WORDS) -> DataFrame:
     """``doc_id, start, length, ids_crc32, doc_tokens``: each document's ids cut at the window."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        t = bpe.transducer(path)
+        t = bpe.transducer(path, cache_words)
         for b in batches:
             rows = []
             for d, text in zip(b["doc_id"], b["text"]):
@@ -150,16 +150,16 @@ def pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_I
     return src.mapInPandas(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
-def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, end_id: int = END_ID, cache_words: int = bpe.CACHE_WORDS) -> DataFrame:
     """One row per piece with its sequence and its place there.
 
     Null and empty texts are documents of the end id alone. Repeated rows are separate documents;
     rows that agree in all columns may change places. Null ids are packed too. An empty table gives
     no rows. Only the histogram (at most ``window`` cells) and the plan, whose rows do not grow
-    with the corpus, pass through the driver.
+    with the corpus, pass through the driver. ``cache_words`` bounds the encoder's caches: memory for time only.
     """
     spark = docs.sparkSession
-    cut = stored(pieces(docs, path or bpe.default_path(), window, end_id), "pieces")
+    cut = stored(pieces(docs, path or bpe.default_path(), window, end_id, cache_words), "pieces")
     cut = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(SALTS)).cast("int"))
     counts = cut.groupBy("length", "salt").count()
     hist = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}
