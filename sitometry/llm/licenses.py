@@ -1,14 +1,19 @@
 """Licence scan: passages compared with licence templates by Dice over word bigrams.
 
-A text's lines are normalised to lower-case words; a template and a run of lines agree by
+A text is normalised to lower-case words; a template and a passage agree by
 ``2 |A & B| / (|A| + |B|)`` over their distinct word bigrams. Since the shared part is at most the
 smaller set, only templates whose size lies within [d / (2 - d), (2 - d) / d] of the passage's can
-reach Dice d; the others are not compared.
+reach Dice d; the others are not compared. Passages are the lines, and besides them every window of
+consecutive words of the whole text, so a notice may be wrapped over lines or stand among other
+words. Windows that begin and end with a bigram of the template suffice: cutting other words off the
+ends raises Dice.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -56,6 +61,7 @@ class Matcher:
         low, high = least / (2 - least), (2 - least) / least
         self.bounds = [(len(p) * low, len(p) * high) for _, _, p in self.known]
         self.low, self.high = min(b for b, _ in self.bounds), max(b for _, b in self.bounds)
+        self.pairs = {tuple(p.split(" ")): ks for p, ks in self.having.items()}
 
     def best(self, line: str) -> tuple[str, str, float] | None:
         own = bigrams(line)
@@ -73,13 +79,91 @@ class Matcher:
         d, key, name = min(found)
         return name, key, -d
 
+    def windows(self, pairs: list[tuple[str, str]], hits: list[int], reach: set[int]) -> Iterator[tuple[int, int, int, float]]:
+        """(first pair, last pair, template, Dice) of the windows that match, by first pair.
+
+        A window whose first or last pair is in it twice says no more than the shorter one. So at
+        any place each template has at most one window growing for each of its pairs.
+        """
+        for s in hits:
+            for k in self.pairs[pairs[s]]:
+                if k not in reach:
+                    continue
+                m, own, shared = len(self.known[k][2]), set(), 0
+                for e in range(s, len(pairs)):
+                    p = pairs[e]
+                    if p in own:
+                        if p == pairs[s]:
+                            break
+                        continue
+                    own.add(p)
+                    if 2.0 * m / (m + len(own)) < self.least:
+                        break
+                    if k in self.pairs.get(p, ()):
+                        shared += 1
+                        dice = 2.0 * shared / (m + len(own))
+                        if dice >= self.least:
+                            yield s, e, k, dice
+
+    def found(self, text: str) -> list[tuple[str, str, int, float]]:
+        """(licence, template, line, Dice) of the lines that match, and of the windows beside them."""
+        lines, words, starts = text.split("\n"), [], []
+        for line in lines:
+            starts.append(len(words))
+            words += _WORD.findall(line.lower())
+        pairs = list(zip(words, words[1:]))
+        hits = [i for i, p in enumerate(pairs) if p in self.pairs]
+        counts = Counter(k for p in {pairs[i] for i in hits} for k in self.pairs[p])
+        reach = {k for k, c in counts.items() if 2.0 * c / (c + len(self.known[k][2])) >= self.least}
+        if not reach:
+            return []
+        out, whole = [], []
+        starts.append(len(words))
+        at = {key: k for k, (_, key, _) in enumerate(self.known)}
+        for n in sorted({bisect_right(starts, i) - 1 for i in hits}):
+            best = self.best(lines[n])
+            if best:
+                out.append((best[0], best[1], n + 1, best[2]))
+                inside = [i for i in range(starts[n], starts[n + 1] - 1) if at[best[1]] in self.pairs.get(pairs[i], ())]
+                whole.append((inside[0], inside[-1] + 1))
+        group, end, done = [], -1, 0
+
+        def choose() -> None:
+            # words that a matching line shares with its template are taken; both lists are in order
+            nonlocal done
+            while done < len(whole) and whole[done][1] < group[0][0]:
+                done += 1
+            first, n = group[0][0], done
+            taken = bytearray(end - first + 1)
+            while n < len(whole) and whole[n][0] <= end:
+                a, b = max(whole[n][0], first) - first, min(whole[n][1], end) - first + 1
+                taken[a:b] = b"\1" * (b - a)
+                n += 1
+            for s, e, k, dice in sorted(group, key=lambda g: (-g[3] * len(self.known[g[2]][2]), g[1] - g[0], g[0], self.known[g[2]][1])):
+                a, b = s - first, e + 2 - first
+                if 1 not in taken[a:b]:
+                    taken[a:b] = b"\1" * (b - a)
+                    out.append((self.known[k][0], self.known[k][1], bisect_right(starts, s), dice))
+
+        for w in self.windows(pairs, hits, reach):
+            if group and w[0] > end:  # windows that share no word with the earlier ones
+                choose()
+                group = []
+            group.append(w)
+            end = max(end, w[1] + 1)
+        if group:
+            choose()
+        return out
+
 
 def scan(docs: DataFrame, least: float = DICE) -> DataFrame:
-    """``doc_id, license, template, line, dice``: the lines of each text that match a template.
+    """``doc_id, license, template, line, dice``: the passages of each text that match a template.
 
-    Each line gives its best template (the first by id among equals). Lines are numbered from 1,
-    empty ones included. Null and empty texts match nothing; repeated rows give repeated rows.
-    One pass over whole texts, no shuffle.
+    Each line gives its best template (the first by id among equals). Of the windows that share no
+    word with what such a line has of its template, those with the largest Dice times template size
+    are taken one after another, none sharing a word with one taken before; ``line`` is where it
+    begins. Lines are numbered from 1, empty ones included. Null and empty texts match nothing;
+    repeated rows give repeated rows. One pass over whole texts, no shuffle.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -87,10 +171,7 @@ def scan(docs: DataFrame, least: float = DICE) -> DataFrame:
         for b in batches:
             rows = []
             for d, text in zip(b["doc_id"], b["text"]):
-                for k, line in enumerate((text or "").split("\n"), 1):
-                    found = matcher.best(line)
-                    if found:
-                        rows.append((d, found[0], found[1], k, found[2]))
+                rows += [(d, *found) for found in matcher.found(text or "")]
             yield pd.DataFrame(rows, columns=["doc_id", "license", "template", "line", "dice"])
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -98,7 +179,7 @@ def scan(docs: DataFrame, least: float = DICE) -> DataFrame:
 
 
 def sql(least: float = DICE) -> str:
-    """DuckDB's equivalent of ``scan`` over the documents table."""
+    """DuckDB's equivalent of ``scan`` over the documents table, where notices are whole lines."""
     rows = ", ".join("('%s', '%s', [%s])" % (n, k, ", ".join(f"'{p}'" for p in b)) for n, k, b in templates())
     return f"""
 WITH template(license, template, pairs) AS (VALUES {rows}),

@@ -134,3 +134,34 @@ def test_licences(spark):
     con.register("documents", pd.DataFrame({"doc_id": range(len(texts)), "text": texts}))
     want = con.execute(licenses.sql()).df()
     assert sorted(map(tuple, want[got.columns.tolist()].values.tolist())) == sorted(map(tuple, got.values.tolist()))
+
+
+def test_licences_wrapped_and_embedded():
+    m = licenses.Matcher()
+
+    def found(text):
+        return sorted((name, line) for name, _, line, _ in m.found(text))
+
+    for name, texts in licenses.TEMPLATES.items():
+        for t in texts:
+            w = t.split()
+            for width in (2, 5, 9, 12):
+                assert found("Some words.\n\n# " + "\n# ".join(" ".join(w[i : i + width]) for i in range(0, len(w), width))) in ([(name, 3)], [(name, 4)]), (t, width)
+            assert found(f"The authors wrote this a while ago. {t} More words follow here, on the same line.") == [(name, 1)], t
+    assert found("Copyright 2020 Acme Inc. All rights reserved.") == [("Proprietary", 1)]
+    assert found("This work is licensed under a Creative Commons Attribution 4.0 International License. All rights reserved.") == [("CC-BY-4.0", 1), ("Proprietary", 1)]
+    assert found("Copyright Acme. All rights\nreserved. Released under the MIT\nLicense. All rights reserved. Licensed under\nCC BY-SA 4.0.") == [("CC-BY-SA-4.0", 4), ("MIT", 2), ("Proprietary", 1), ("Proprietary", 3)]
+    assert found("Some rights are reserved; this license is version 2 of the license.") == []
+
+
+def test_licence_windows_against_all_windows():
+    m = licenses.Matcher()
+    rng = sharding.random.Random(3)
+    t = licenses.TEMPLATES["MPL-2.0"][0].split()
+    for _ in range(40):
+        w = [x if rng.random() < 0.93 else rng.choice(["odd", "the", "source code"]) for x in t]
+        text = " ".join(["z", "the"] * rng.randrange(3) + w + ["the", "terms", "of"] * rng.randrange(3))
+        words = licenses._WORD.findall(text.lower())
+        want = max(2 * len(own & set(p)) / (len(own) + len(p)) for i in range(len(words)) for j in range(i + 2, len(words) + 1) for own in [licenses.bigrams(" ".join(words[i:j]))] for p in [licenses.bigrams(licenses.TEMPLATES["MPL-2.0"][0])])
+        got = [d for _, key, _, d in m.found("\n".join(text.split())) if key == "MPL-2.0#0"]
+        assert got == ([want] if want >= 0.8 else [])
