@@ -1,10 +1,11 @@
 """I-Match fingerprints over randomised lexicons, and their likeness, in DataFrame functions alone.
 
 The lexicon holds the terms whose document frequency lies within a band of inverse document
-frequency, counted over all documents. A text's distinct lexicon terms, sorted, are hashed once
+frequency, counted over distinct texts, so copies of a text do not push its terms out of the band;
+texts with the same set of terms count as one. A text's distinct lexicon terms, sorted, are hashed once
 for each of several random subsets of the lexicon; subsets of several sizes serve short and long
-texts alike. Since a term of the band is in a fixed share of the documents, the lexicon has at
-most (distinct terms a document) / (least share) terms, however many documents there are.
+texts alike. Since a term of the band is in a fixed share of the distinct texts, the lexicon has
+at most (distinct terms a text) / (least share) terms, however many documents there are.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import buckets, stored
 
-#: A lexicon term is in at least one of 100 documents and at most one of 20.
+#: A lexicon term is in at least one of 100 distinct texts and at most one of 20.
 LEAST, MOST = 0.01, 0.05
 #: Independent draws of subsets, and the share of the lexicon in each size of subset: one of these.
 DRAWS, SHARES = 4, (8, 32, 128, 512)
@@ -30,10 +31,14 @@ def terms(text: Column) -> Column:
 
 def lexicon(docs: DataFrame, least: float = LEAST, most: float = MOST) -> DataFrame:
     """``term`` hashes within the band."""
-    n = docs.agg(F.count(F.lit(1)).alias("docs"))
-    seen = docs.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    own = docs.select(F.sort_array(terms(F.col("text"))).alias("own")).select(F.xxhash64("own").alias("key"), "own")
+    # map-side aggregation leaves one row of a text in each task
+    own = own.groupBy("key").agg(F.first("own").alias("own"))
+    # each distinct text also counts once under null, so the null row has their number
+    seen = own.select(F.explode(F.concat("own", F.array(F.lit(None).cast("long")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    n = seen.agg(F.max(F.when(F.col("term").isNull(), F.col("df"))).alias("docs"))
     # one row against the terms
-    return seen.join(F.broadcast(n)).filter((F.col("df") >= least * F.col("docs")) & (F.col("df") <= F.greatest(F.lit(1.0), most * F.col("docs")))).select("term")
+    return seen.join(F.broadcast(n)).filter(F.col("term").isNotNull() & (F.col("df") >= least * F.col("docs")) & (F.col("df") <= F.greatest(F.lit(1.0), most * F.col("docs")))).select("term")
 
 
 def kept(text: Column, words: Column) -> Column:

@@ -126,6 +126,21 @@ def test_fingerprints(spark):
     assert imatch.fingerprints(frame(spark, [])).count() == 0
 
 
+def test_lexicon_counts_distinct_texts(spark):
+    # each term is in one of 96 texts; then the first text also makes a third of all rows
+    texts = [" ".join(f"w{k}x{j}" for j in range(40)) for k in range(96)]
+    assert imatch.lexicon(frame(spark, [None])).count() == 0
+    copies = [f"{t}{end}" for t in texts[:1] for end in ["", "!"] * 24]
+    alone, repeated = ({r["term"] for r in imatch.lexicon(frame(spark, t)).collect()} for t in (texts, texts + copies))
+    assert alone == repeated and len(alone) == 96 * 40
+    near = texts[0] + " and then a word more"
+    got = imatch.fingerprints(frame(spark, [*texts, *copies, near])).toPandas().set_index("doc_id").sort_index()
+    of_copies = got.loc[[0, *range(96, 144)]]
+    assert of_copies.fingerprint.nunique() == 1 and not of_copies.fingerprint[0].startswith("t")
+    assert (of_copies.near_edited > 0).all()
+    assert got.near_next[144] > 0  # its next row is a copy
+
+
 def test_licences(spark):
     texts = [*ODD, "x\nLicensed under the Apache License, Version 2.0.", "All rights reserved!", "all rights are reserved by nobody here"]
     got = licenses.scan(frame(spark, texts)).toPandas()
