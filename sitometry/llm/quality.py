@@ -9,7 +9,7 @@ labelled texts kept aside makes the logit a probability.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,12 +17,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
 from .shingles import _BYTE, Shingler, _numbers
 
 #: Word and shape vectors are kept for hashed words, so the model's size is fixed.
 BUCKETS, DIM, ONES, REACH = 1 << 15, 48, 4, 2
-#: Fitted on at most so many labelled texts, and so many characters of each.
-TRAIN_ROWS, TRAIN_CHARS = 6000, 20_000
+#: Fitted on at most so many labelled texts, read whole by so many tasks.
+TRAIN_ROWS, TRAIN_TASKS = 6000, 8
 HIDDEN, EPOCHS, BATCH, RATE, SEED = 32, 30, 64, 0.004, 9
 CUT = 0.3
 BLOCK = 1 << 18
@@ -84,27 +85,25 @@ class Model:
 def pooled(reader: Reader, word: np.ndarray, shape: np.ndarray, text: str | None) -> np.ndarray:
     """The document vector; zeros without words."""
     out, n = np.zeros(2 * DIM + 4, np.float64), 0
-    again = fresh = 0
-    seen = np.zeros(0, np.uint64)
+    again, seen, last = 0, [], None
     for full, w, s in reader.blocks(text or ""):
         n += len(full)
         out[:DIM] += word[w].sum(0)
         out[DIM : 2 * DIM] += shape[s].sum(0)
-        again += int((full[1:] == full[:-1]).sum())
-        kinds = np.unique(full)
-        fresh += len(kinds)
+        again += int((full[1:] == full[:-1]).sum()) + int(last == full[0])
+        seen, last = [np.unique(np.concatenate([*seen, full]))], full[-1]
     if not n:
         return out.astype(np.float32)
     out /= n
-    pairs = fresh / n
+    pairs = len(seen[0]) / n
     out[2 * DIM :] = again / n, pairs, np.log1p(n), np.log1p(n) * pairs
     return out.astype(np.float32)
 
 
-def word_vectors(reader: Reader, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of the neighbours' index vectors, scaled to unit length; unseen buckets stay zero."""
+def beside(reader: Reader, texts: Iterable[str]) -> np.ndarray:
+    """For words, then for shapes, the sums of the index vectors beside them: whole numbers."""
     index, other = index_vectors(SEED), index_vectors(SEED + 1)
-    word, shape = np.zeros((BUCKETS, DIM), np.float32), np.zeros((BUCKETS, DIM), np.float32)
+    sums = np.zeros((2, BUCKETS, DIM), np.float32)
     for t in texts:
         for _, w, s in reader.blocks(t):
             near = index[w] + other[s]
@@ -112,22 +111,34 @@ def word_vectors(reader: Reader, texts: list[str]) -> tuple[np.ndarray, np.ndarr
             for k in range(1, REACH + 1):
                 total[k:] += near[:-k]
                 total[:-k] += near[k:]
-            np.add.at(word, w, total)
-            np.add.at(shape, s, total)
+            np.add.at(sums[0], w, total)
+            np.add.at(sums[1], s, total)
+    return sums
+
+
+def word_vectors(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the neighbours' index vectors, scaled to unit length; unseen buckets stay zero."""
+    word, shape = sums
     for m in (word, shape):
         m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-6)
-    return word + 0.5 * index, shape + 0.5 * other
+    return word + 0.5 * index_vectors(SEED), shape + 0.5 * index_vectors(SEED + 1)
 
 
 def fit(texts: list[str], labels: list[int], prior: float | None = None, seed: int = SEED) -> Model:
-    """``prior``: the share of label 1 where the scores will be used; by default that of ``labels``.
+    """A model of texts at hand; see ``fit_pooled``."""
+    reader = Reader()
+    word, shape = word_vectors(beside(reader, texts))
+    x = np.stack([pooled(reader, word, shape, t) for t in texts]) if texts else np.zeros((0, 2 * DIM + 4), np.float32)
+    return fit_pooled(word, shape, x, labels, prior, seed)
+
+
+def fit_pooled(word: np.ndarray, shape: np.ndarray, x: np.ndarray, labels: list[int], prior: float | None = None, seed: int = SEED) -> Model:
+    """``x``: document vectors. ``prior``: the share of label 1 where the scores will be used; by default that of ``labels``.
 
     The sample may be balanced; each text is weighted so that the classes have the prior's shares.
     """
-    rng, reader = np.random.default_rng(seed), Reader()
-    word, shape = word_vectors(reader, texts)
+    rng = np.random.default_rng(seed)
     y = np.asarray(labels, np.float32)
-    x = np.stack([pooled(reader, word, shape, t) for t in texts]) if texts else np.zeros((0, 2 * DIM + 4), np.float32)
     model = Model(word, shape, x.mean(0) if len(x) else np.zeros(2 * DIM + 4), (x.std(0) if len(x) else 1.0) + 1e-3, [(rng.standard_normal((2 * DIM + 4, HIDDEN)) / 10).astype(np.float32), np.zeros(HIDDEN, np.float32), (rng.standard_normal(HIDDEN) / 6).astype(np.float32), np.zeros(1, np.float32)])
     if len(x) < 10 or y.min() == y.max():
         model.layers[2][:] = 0
@@ -168,7 +179,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """Fit on ``docs(doc_id, text)`` with ``labels(doc_id, quality)``: about ``rows`` texts at most.
 
     A hash of the id picks them among the labels, at a rate from the labels' counts; the picked ids
-    (their number bounded by ``rows``) are broadcast to the documents. Ids whose labels disagree,
+    (their number bounded by ``rows``) are broadcast to the documents. Their texts are read whole in
+    executors; the driver gets tables of fixed size and one vector a text. Ids whose labels disagree,
     and null labels, are not used.
     """
     agreed = labels.filter("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("_most")).filter("quality = _most").drop("_most")
@@ -177,10 +189,33 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     each = rows // max(1, len(share))
     rate = F.coalesce(*[F.when(F.col("quality") == k, F.lit(min(1.0, each / n))) for k, n in share.items()], F.lit(0.0))
     picked = agreed.filter(unit < rate)
-    found = docs.select("doc_id", F.left("text", F.lit(TRAIN_CHARS)).alias("text")).join(F.broadcast(picked), "doc_id").filter("trim(text) != ''").collect()
-    found.sort(key=lambda r: (r["doc_id"], r["text"]))
+    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").filter("trim(text) != ''")
+    found = stored(found.select("doc_id", "text", "quality").repartition(TRAIN_TASKS), "labelled")
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = beside(Reader(), (t for b in batches for t in b["text"])).reshape(TRAIN_TASKS, -1)
+        yield pd.DataFrame({"part": range(TRAIN_TASKS), "sums": [x.tobytes() for x in sums]})
+
+    def added(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"part": [key[0]], "sums": [np.sum([np.frombuffer(x, np.float32) for x in part["sums"]], 0).astype(np.float32).tobytes()]})
+
+    sums = found.repartition(TRAIN_TASKS).mapInPandas(partial, "part int, sums binary").groupBy("part").applyInPandas(added, "part int, sums binary")
+    parts = {r["part"]: bytes(r["sums"]) for r in sums.collect()}
+    total = np.frombuffer(b"".join(parts[k] for k in sorted(parts)), np.float32) if parts else np.zeros(2 * BUCKETS * DIM, np.float32)
+    word, shape = word_vectors(total.reshape(2, BUCKETS, DIM).copy())
+    shared = docs.sparkSession.sparkContext.broadcast((word, shape))
+
+    def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        reader = Reader()
+        for b in batches:
+            yield pd.DataFrame({"doc_id": b["doc_id"], "quality": b["quality"], "x": [pooled(reader, *shared.value, t).tobytes() for t in b["text"]]})
+
+    kind = dict(found.dtypes)
+    made = found.mapInPandas(vectors, f"doc_id {kind['doc_id']}, quality {kind['quality']}, x binary").collect()
+    made.sort(key=lambda r: (r["doc_id"], bytes(r["x"])))
+    x = np.stack([np.frombuffer(bytes(r["x"]), np.float32) for r in made]) if made else np.zeros((0, 2 * DIM + 4), np.float32)
     prior = share.get(1, 0) / max(1, sum(share.values()))
-    return fit([r["text"] for r in found], [int(r["quality"] == 1) for r in found], prior)
+    return fit_pooled(word, shape, x, [int(r["quality"] == 1) for r in made], prior)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

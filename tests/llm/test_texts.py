@@ -49,6 +49,24 @@ def test_quality_rows(spark):
     assert got.count() == 5 and got.filter("score between 0 and 1 and predicted is not null").count() == 5
 
 
+def test_quality_reads_whole_texts(spark):
+    pad = "common words stand here again and again. " * 600  # over 20,000 characters
+    texts = [pad + ("calm plain prose follows at the end " if k % 2 else "BUY CHEAP STUFF NOW!! ") * 200 + f"n{k}" for k in range(60)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int")
+    model, plain = quality.train(frame(spark, texts), labels), quality.fit(texts, [k % 2 for k in range(60)], 0.5)
+    assert abs(model.word - plain.word).max() == 0 and abs(model.mean - plain.mean).max() < 1e-5
+    got = quality.score(frame(spark, texts), model).toPandas()
+    assert ((got.score > 0.5) == (got.doc_id % 2 == 1)).all()
+
+
+def test_quality_counts_words_once_over_blocks(monkeypatch):
+    reader, word = quality.Reader(), quality.index_vectors()
+    text = "one two three three four " * 50
+    want = quality.pooled(reader, word, word, text)
+    monkeypatch.setattr(quality, "BLOCK", 40)
+    assert abs(quality.pooled(reader, word, word, text) - want).max() < 1e-4
+
+
 def test_base_spans():
     t = "a.b@c.de, 1.2.3.256; 1.2.3.4; 4111 1111-1111 1111; +1 (988) 555-2485; +12"
     assert [(k, t[s:e]) for k, s, e in pii.base_spans(t)] == [("email", "a.b@c.de"), ("ip", "1.2.3.4"), ("card", "4111 1111-1111 1111"), ("phone", "+1 (988) 555-2485")]
