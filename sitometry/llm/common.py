@@ -49,16 +49,20 @@ def bounded_sample(docs: DataFrame, label: str, rows: int, chars: int) -> list[t
     """(text, label) of at most ``rows`` labelled texts, shared out evenly among the labels.
 
     A hash of the id chooses them, at a rate from the labels' counts; texts are cut at ``chars``.
+    Every label takes part, with one text at least, so more labels than ``rows`` give as many texts;
+    the driver holds the labels, as a model of them does.
     """
-    good = docs.filter(F.col(label).isNotNull() & F.col("text").isNotNull())
-    counts = [(r[label], r["count"]) for r in good.groupBy(label).count().orderBy(F.desc("count"), label).limit(200).collect()]
+    unit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    good = docs.filter(F.col(label).isNotNull() & F.col("text").isNotNull() & F.left("text", F.lit(chars)).rlike(r"\S")).withColumn("_unit", unit)
+    counts = good.groupBy(label).agg(F.count(F.lit(1)).alias("count"), F.min("_unit").alias("least")).orderBy(F.desc("count"), label).collect()
     if not counts:
         return []
     each = max(1, rows // len(counts))
-    unit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rate = F.coalesce(*[F.when(F.col(label) == k, F.lit(min(1.0, each / n))) for k, n in counts])
-    found = good.filter(unit < rate).select(unit.alias("u"), F.left("text", F.lit(chars)).alias("text"), label).collect()
-    out, taken = [], dict.fromkeys((k for k, _ in counts), 0)
+    # the least hash of a label takes part at any rate
+    rates = docs.sparkSession.createDataFrame([(r[label], min(1.0, each / r["count"]), r["least"]) for r in counts], f"_label {dict(docs.dtypes)[label]}, _rate double, _least double")
+    found = good.join(F.broadcast(rates), F.col(label) == F.col("_label")).filter("_unit < _rate or _unit = _least")
+    found = found.select(F.col("_unit").alias("u"), F.left("text", F.lit(chars)).alias("text"), label).collect()
+    out, taken = [], dict.fromkeys((r[label] for r in counts), 0)
     for r in sorted(found, key=lambda r: (r["u"], r["text"])):
         if r["text"].strip() and taken[r[label]] < each:
             taken[r[label]] += 1

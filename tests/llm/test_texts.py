@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 
 from sitometry.llm import imatch, langid, licenses, pii, quality, sharding
+from sitometry.llm.common import bounded_sample
 
 ODD = [None, "", " ", "123 !!", "x" * 3000]
 
@@ -20,6 +21,12 @@ def test_language():
     assert found == ["de", "en", "en", "und", "und", "und", "und"] and all(0 <= s <= 1 for s in scores)
 
 
+def test_every_label_is_sampled(spark):
+    rows = [(k, f"text {k}", f"l{k % 300}") for k in range(900)]
+    found = bounded_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "lang", 300, 100)
+    assert len({label for _, label in found}) == len(found) == 300
+
+
 def test_windows_cover_the_text():
     for n in (0, 1, 255, 256, 257, 506, 507, 5000):
         x, own = langid.windows("a" * n)
