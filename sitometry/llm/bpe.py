@@ -1,39 +1,48 @@
 """Byte pair encoding as a bounded-lookahead streaming transducer, and incremental decoding.
 
-A merge can change how the characters left of it are split only through a chain of merges, each
-ranked before the one that it disturbs and each starting in the right part of that one. The
-longest such chain, in characters, is the merge list's *sufficient lookahead*: a token that ends
-that far from the end of what has been read keeps its place whatever follows. The transducer
-reads a text in blocks, closes a word where the pre-tokenizer does, and within a word emits each
-token as soon as it is stable, so its state never exceeds a fixed window.
-
-Words repeat, so their ids are remembered in a cache of bounded size; the cache only saves time.
+Every prefix of a word has one last token, and a sequence of tokens is the one that BPE makes just
+when all its neighbours fit together. So the transducer reads letters, finds the last token of each
+prefix from those of shorter ones, and emits a token as soon as the encodings of all prefixes that a
+later token could begin at agree on it, or the pre-tokenizer has closed the word.
+
+A merge can change how the letters left of it are split only through a chain of merges, each ranked
+before the one that it disturbs and each starting in the right part of that one. The longest such
+chain, in letters, is the merge list's *sufficient lookahead*: encodings agree on every token that
+ends so far from the end of what has been read. It bounds what the transducer holds, whatever the
+length of a word. Texts are read in blocks, which may end within a word.
+
+Words repeat, so the ids of short ones are remembered in a cache of bounded size; that only saves time.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Up to here normalisation and letter classes are the same in every Unicode version in use.
-PLAIN_LIMIT = "ɐ"
+#: Below, texts are in composed form, and lower case and letter classes are the same in every Unicode version in use.
+PLAIN_LIMIT = "\u0230"
 BLOCK_CHARS = 1 << 16
 CACHE_WORDS = 500_000
-#: Words up to here are closed before any token could be called stable, so they are split whole.
+#: Longer words are not remembered.
 SHORT = 64
-WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-#: White space to the tokenizer; str.split() also takes the four separators U+001C to U+001F.
-SEPARATORS = "\x1c\x1d\x1e\x1f"
+#: Stands for the word end within the automaton's keys.
+END = "\0"
+_NEVER = 1 << 60
+_OF = {k: "".join(re.escape(chr(c)) for c in range(ord(PLAIN_LIMIT)) if regex.match(k, chr(c))) for k in (r"\p{L}", r"\p{N}", r"[^\S\x1c-\x1f]")}
+PLAIN_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_OF[r'\p{L}']}]+|[{_OF[r'\p{N}']}]|[^{''.join(_OF.values())}]+")
+#: White space to the tokenizer: not the four separators U+001C to U+001F.
 SPACES = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
 
 
@@ -51,21 +60,40 @@ def _byte_letters() -> list[str]:
 
 
 class MergeList:
-    """Vocabulary and ranked merges of a word-end BPE, with the lookahead that they need."""
+    """Vocabulary and ranked merges of a word-end BPE, with the lookahead that they need.
+
+    A list in which two merges make one token, or a merge comes before one of its parts', is refused:
+    a token's history would not be unique.
+    """
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], word_end: str):
         self.vocab, self.word_end = vocab, word_end
-        self.rank = {pair: k for k, pair in enumerate(merges)}
+        self.span = max(vocab.values()) + 2
+        self.first = self.span - 1
+        #: By token: the rank of its merge (-1 for letters) and its two parts.
+        self.made, self.left, self.right = [-1] * self.span, [-1] * self.span, [-1] * self.span
+        self.rank: dict[int, int] = {}
+        for k, (a, b) in enumerate(merges):
+            x, y, t = vocab[a], vocab[b], vocab[a + b]
+            if self.made[t] >= 0:
+                raise ValueError(f"two merges make {a + b!r}")
+            self.rank[x * self.span + y] = k
+            self.made[t], self.left[t], self.right[t] = k, x, y
+        if any(max(self.made[self.left[t]], self.made[self.right[t]]) > self.made[t] for t in vocab.values() if self.made[t] >= 0):
+            raise ValueError("a merge comes before one of its parts'")
+        #: Places that a token takes in its word; the mark at the word's end takes one.
+        self.size = {i: self._width(t) + (bool(word_end) and t.endswith(word_end)) for t, i in vocab.items()}
         self.lookahead, self.longest = self._measure(merges)
-        self.window = 4 * (self.lookahead + self.longest)
-        self.fits: dict[str, dict[str, bool]] = {"": {}}
-        self.known, self.most_known = 0, CACHE_WORDS
-        #: The widest token that begins with three given letters.
-        self.widest: dict[str, int] = {}
-        for token in vocab:
-            size = self._width(token)
-            if size >= 3 and size > self.widest.get(token[:3], 0):
-                self.widest[token[:3]] = size
+        #: What a word's transducer holds at most, in letters.
+        self.window = self.lookahead + 5 * self.longest
+        self.fits: dict[int, bool] = {}
+        self.most_known = CACHE_WORDS
+        self.automaton = ahocorasick.Automaton()
+        for text, i in vocab.items():
+            if self.made[i] < 0 or self._apart(self.left[i], self.right[i], self.made[i]):
+                key = text.removesuffix(word_end) + END if word_end and text.endswith(word_end) else text
+                self.automaton.add_word(key, (i, len(key)))
+        self.automaton.make_automaton()
 
     def _width(self, token: str) -> int:
         return len(token) - len(self.word_end) * token.endswith(self.word_end)
@@ -89,90 +117,118 @@ class MergeList:
                 most = max(most, need)
         return most, longest
 
-    def merged(self, symbols: list[str]) -> list[str]:
-        """Full BPE of a short symbol list: the lowest rank first, leftmost among equals."""
-        rank, none = self.rank, 1 << 60
-        ranks = [rank.get(p, none) for p in zip(symbols, symbols[1:])]
-        while ranks:
-            best = min(ranks)
-            if best == none:
-                break
-            i = ranks.index(best)
-            symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
-            del ranks[i]
-            if i < len(ranks):
-                ranks[i] = rank.get((symbols[i], symbols[i + 1]), none)
-            if i:
-                ranks[i - 1] = rank.get((symbols[i - 1], symbols[i]), none)
-        return symbols
-
-    def fit(self, a: str, b: str) -> bool:
-        """Whether BPE leaves exactly these two tokens of their joint text ("" for no first one)."""
-        whole = a + b
-        letters = list(whole.removesuffix(self.word_end)) if whole.endswith(self.word_end) else list(whole)
-        if whole.endswith(self.word_end):
-            letters[-1] += self.word_end
-        ok = self.merged(letters) == ([a, b] if a else [b])
-        if self.known < self.most_known:
-            self.known += 1
-            self.fits.setdefault(a, {})[b] = ok
+    def _apart(self, x: int, y: int, until: int = _NEVER) -> bool:
+        """Whether nothing merges across the edge between two tokens before rank ``until``.
+
+        Goes back in time: undoes the later made of the two tokens at the edge and asks whether
+        the pair that then stood there would have merged sooner. Of equal merges the left goes first.
+        """
+        rank, made, span = self.rank, self.made, self.span
+        while True:
+            if rank.get(x * span + y, _NEVER) < until:
+                return False
+            if made[x] > made[y]:
+                until, x = made[x], self.right[x]
+            elif made[y] >= 0:
+                until, y = made[y] + 1, self.left[y]
+            else:
+                return True
+
+    def fit(self, key: int) -> bool:
+        """Whether BPE leaves two neighbours as they are; ``key`` is the first times span, plus the second."""
+        x, y = divmod(key, self.span)
+        ok = x == self.first or self._apart(x, y)
+        if len(self.fits) >= self.most_known:
+            self.fits.clear()
+        self.fits[key] = ok
         return ok
 
-    def split(self, letters: str) -> list[str]:
-        """Full BPE of a short word. A split whose neighbours all fit is the one that BPE makes,
-        so the longest fitting token is tried first and taken back where nothing follows it."""
-        vocab, fits, n, end, widest = self.vocab, self.fits, len(letters), self.word_end, self.widest
-        out: list[str] = []
-        dead: set[int] = set()
-        last, i, row = "", 0, fits[""]
-        size = min(widest.get(letters[:3], 2), n)
-        while i < n:
-            while size:
-                j = i + size
-                t = letters[i:j] if j < n else letters[i:] + end
-                if t in vocab and j not in dead:
-                    ok = row.get(t)
-                    if self.fit(last, t) if ok is None else ok:
-                        break
-                size -= 1
-            if size:
-                out.append(t)
-                last, i, row = t, j, fits.get(t) or fits.setdefault(t, {})
-                size = widest.get(letters[i : i + 3], 2)
-                if size > n - i:
-                    size = n - i
-            else:
-                dead.add(i)
-                t = out.pop()
-                i -= len(t)
-                size, last = len(t) - 1, out[-1] if out else ""
-                row = fits[last]
+    def word(self, letters: str) -> list[int]:
+        """Ids of a whole word."""
+        s = Stream(self)
+        out = s.feed(letters)
+        return out + s.close() if out else s.close()
+
+
+class Stream:
+    """The transducer of one word: letters in, ids out once they are stable."""
+
+    def __init__(self, model: MergeList):
+        self.model = model
+        #: The last token of each held prefix, after the token that ends where holding begins.
+        self.last = [model.first]
+        self.shift, self.read, self.search = 0, 0, None
+        self.check = 4 * model.longest
+
+    def feed(self, letters: str) -> list[int]:
+        out: list[int] = []
+        step = 2 * self.model.longest
+        if len(letters) <= step and len(self.last) <= self.check - step:
+            if letters:
+                self._advance(letters)
+            return out
+        for at in range(0, len(letters), step):
+            self._advance(letters[at : at + step])
+            if len(self.last) > self.check:
+                out += self._stable()
         return out
 
-    def stream(self, letters: Iterable[str]) -> Iterator[str]:
-        """Tokens of one word, read letter by letter, each emitted once it is stable."""
-        held: list[str] = []
-        last = None
-        for letter in letters:
-            if last is not None:
-                held.append(last)
-            last = letter
-            if len(held) >= self.window:
-                at, stable = 0, len(held) - self.lookahead
-                for token in self.merged(held[:]):
-                    if at + len(token) > stable:
-                        break
-                    at += len(token)
-                    yield token
-                del held[:at]
-        if last is not None:
-            yield from self.merged([*held, last + self.word_end])
+    def close(self) -> list[int]:
+        """The word ends here: the tokens not yet emitted."""
+        if not self.read:
+            return []
+        if self.model.word_end:
+            self._advance(END)
+        return self._traced(len(self.last) - 1)
+
+    def _advance(self, part: str) -> None:
+        if self.search is None:
+            self.search = self.model.automaton.iter(part)
+        else:
+            self.search.set(part, False)
+        self.read += len(part)
+        last, fits, fit, span, shift = self.last, self.model.fits, self.model.fit, self.model.span, self.shift - 1
+        known = len(last)
+        for end, (token, size) in self.search:
+            at = end - shift
+            if at < known or size > at:
+                continue
+            key = last[at - size] * span + token
+            ok = fits.get(key)
+            if fit(key) if ok is None else ok:
+                last.append(token)
+                known += 1
+
+    def _stable(self) -> list[int]:
+        """Tokens on which all prefixes agree that a later token could begin at; they are let go."""
+        last, size = self.last, self.model.size
+        n = len(last) - 1
+        heads = set(range(max(0, n - self.model.longest + 1), n + 1))
+        while len(heads) > 1:
+            top = max(heads)
+            heads.discard(top)
+            heads.add(top - size[last[top]])
+        edge = heads.pop()
+        out = self._traced(edge)
+        if edge:
+            del last[:edge]
+            self.shift += edge
+        self.check = len(last) + 2 * self.model.longest
+        return out
+
+    def _traced(self, at: int) -> list[int]:
+        """Ids from where holding begins to prefix ``at``."""
+        out, last, size = [], self.last, self.model.size
+        while at:
+            out.append(last[at])
+            at -= size[last[at]]
+        return out[::-1]
 
 
 class Transducer:
     """Text blocks in, token ids out; equal to the tokenizer file's own encoding."""
 
-    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+    def __init__(self, path: str, cache_words: int = CACHE_WORDS, by_library: bool = False):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -183,8 +239,14 @@ class Transducer:
         self.model = MergeList(self.vocab, merges, model["end_of_word_suffix"] or "")
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_split = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
+        self.special_width = max(map(len, self.special), default=0)
         self.mark = "<|"
         library = Tokenizer.from_file(path)
+        library.no_truncation()
+        library.no_padding()
+        #: Where only the ids matter, the library may split new words.
+        bpe = library.model
+        self.split = (lambda letters: [t.id for t in bpe.tokenize(letters)]) if by_library else self.model.word
         self.normalise, self.pre_tokenize = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         self.letters = {b: c for b, c in enumerate(_byte_letters())}
         size = max([*self.vocab.values(), *self.special.values()]) + 1
@@ -195,75 +257,122 @@ class Transducer:
         self.token_bytes = [t.encode() for t in self.token]
         self.code = "H" if size <= 1 << 16 else "I"
         self.limit = self.model.most_known = cache_words
-        #: Ids of pieces between white space and of words, as packed bytes; the older half goes when full.
+        #: Ids of words as packed bytes; the older half goes when full.
         self.young: dict[str, bytes] = _Cache(self)
         self.old: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-
-    def word(self, letters: str) -> bytes:
-        found = self.words.get(letters)
-        if found is None:
-            model, vocab = self.model, self.vocab
-            short = len(letters) <= SHORT
-            found = array(self.code, [vocab[t] for t in (model.split(letters) if short else model.stream(letters))]).tobytes()
-            if short:
-                if len(self.words) >= self.limit:
-                    self.words.clear()
-                self.words[letters] = found
-        return found
-
-    def plain(self, piece: str) -> bytes:
-        """Ids of a piece without white space or special tokens, word by word."""
-        if piece.isascii():
-            text = piece.lower()
-            if text.isalpha():
-                return self.word(text)
-        elif max(piece) < PLAIN_LIMIT:
-            text = "".join([c.lower() for c in unicodedata.normalize("NFC", piece)])
-        else:
-            return b"".join([self.word(w) for w, _ in self.pre_tokenize(self.normalise(piece))]) if piece else b""
-        word, letters = self.word, self.letters
-        return b"".join([word(w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(letters)) for w in WORDS.findall(text)])
 
-    def missed(self, piece: str) -> bytes:
-        ids = self.old.get(piece)
+    def missed(self, word: str) -> bytes:
+        ids = self.old.get(word)
         if ids is None:
-            ids = self.plain(piece) if self.mark not in piece else self.marked(piece)
-        if len(piece) <= SHORT:
+            ids = array(self.code, self.split(self.spelt(word))).tobytes()
+        if len(word) <= SHORT:
             if len(self.young) >= self.limit:
                 self.old = dict(self.young)
                 self.young.clear()
-            self.young[piece] = ids
+            self.young[word] = ids
         return ids
 
-    def marked(self, piece: str) -> bytes:
-        out, at = [], 0
-        for m in self.special_split.finditer(piece):
-            out += [self.plain(piece[at : m.start()]), array(self.code, [self.special[m.group()]]).tobytes()]
-            at = m.end()
-        return b"".join([*out, self.plain(piece[at:])])
+    def spelt(self, word: str) -> str:
+        """A letter for each of the word's bytes."""
+        return word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.letters)
+
+    def words(self, text: str) -> list[str]:
+        """The normalised words of a text without special tokens."""
+        if text.isascii() or max(text) < PLAIN_LIMIT:
+            return PLAIN_WORDS.findall(text.lower())
+        out = []
+        for piece in SPACES.split(text):
+            if piece and max(piece) < PLAIN_LIMIT:
+                out += PLAIN_WORDS.findall(piece.lower())
+            elif piece:
+                plain = self.normalise(piece)
+                out += [plain[s:e] for _, (s, e) in self.pre_tokenize(plain)]
+        return out
 
-    def encode(self, text: str | None) -> Iterator[array]:
-        """Arrays of ids, block by block; a block ends where white space begins."""
-        if not text:
-            return
+    def items(self, text: str) -> list[str | int]:
+        """The words of a text, and its special tokens' ids."""
+        out: list[str | int] = []
+        at = 0
+        if self.mark in text:
+            for m in self.special_split.finditer(text):
+                out += [*self.words(text[at : m.start()]), self.special[m.group()]]
+                at = m.end()
+        return [*out, *self.words(text[at:])] if at < len(text) else out
+
+    def packed(self, items: Iterable[str | int]) -> bytes:
+        return b"".join([self.young[x] if isinstance(x, str) else array(self.code, [x]).tobytes() for x in items])
+
+    def inside(self, text: str, at: int) -> int:
+        """The first place from ``at`` on where a block may end within a run without white space.
+
+        What stands on either side there is normalised alone and belongs to one kind of word; no
+        special token and no contraction spans it. A run without such a place is held whole.
+        """
+        for p in range(max(at, 1), len(text)):
+            a, b = text[p - 1], text[p]
+            if SPACES.match(a + b, 1) or SPACES.match(a):
+                return p
+            if a.isascii() and b.isascii():
+                kind = (a.isalpha(), a.isdigit()) == (b.isalpha(), b.isdigit())
+            else:
+                tail = a
+                for q in range(p - 2, max(p - 34, -1), -1):
+                    if not unicodedata.combining(tail[0]):
+                        break
+                    tail = text[q] + tail
+                kind = _kind(self.normalise(tail)[-1:]) == _kind(self.normalise(b)[:1]) and not unicodedata.combining(b) and self.normalise(tail + b) == self.normalise(tail) + self.normalise(b)
+            if not kind or "'" in text[max(0, p - 3) : p + 1]:
+                continue
+            low = max(0, p - self.special_width)
+            if any(m.start() <= p <= m.end() for m in self.special_split.finditer(text, low, p + self.special_width)):
+                continue
+            return p
+        return len(text)
+
+    def blocks(self, text: str) -> Iterator[tuple[str, bool]]:
+        """The text in blocks, and whether the word at a block's end goes on in the next one."""
         at, n = 0, len(text)
         while at < n:
-            end = min(n, at + BLOCK_CHARS)
+            end, goes_on = min(n, at + BLOCK_CHARS), False
             if end < n:
-                m = SPACES.search(text, end)
-                end = m.start() if m else n
-            block = text[at:end]
+                m = SPACES.search(text, end, min(n, end + BLOCK_CHARS))
+                end = m.start() if m else self.inside(text, end)
+                goes_on = not m and end < n and not SPACES.search(text, end - 1, end + 1) and _kind(self.normalise(text[end])[:1]) != "N"
+            yield text[at:end], goes_on
             at = end
-            words = [w for w in SPACES.split(block) if w] if any(c in block for c in SEPARATORS) else block.split()
-            yield array(self.code, b"".join(map(self.young.__getitem__, words)))
+
+    def encode(self, text: str | None) -> Iterator[array]:
+        """Arrays of ids, block by block."""
+        word: Stream | None = None
+        for block, goes_on in self.blocks(text) if text else ():
+            if word is None and not goes_on and self.mark not in block:
+                yield array(self.code, b"".join(map(self.young.__getitem__, self.words(block))))
+                continue
+            items, out = self.items(block), array(self.code)
+            if word is not None:
+                if items:
+                    out.extend(word.feed(self.spelt(items.pop(0))))
+                if items or not goes_on:
+                    out.extend(word.close())
+                    word = None
+            last = items.pop() if goes_on and items else None
+            out.frombytes(self.packed(items))
+            if last is not None:
+                word = Stream(self.model)
+                out.extend(word.feed(self.spelt(last)))
+            yield out
 
     def ids(self, text: str | None) -> list[int]:
         return [i for block in self.encode(text) for i in block]
 
 
+def _kind(c: str) -> str:
+    return "L" if regex.match(r"\p{L}", c) else "N" if regex.match(r"\p{N}", c) else "S" if c.isspace() else "P"
+
+
 class _Cache(dict):
     def __init__(self, owner: Transducer):
+        super().__init__()
         self.owner = owner
 
     def __missing__(self, piece: str) -> bytes:
@@ -271,9 +380,9 @@ class _Cache(dict):
 
 
 @lru_cache(maxsize=1)
-def transducer(path: str, cache_words: int = CACHE_WORDS) -> Transducer:
+def transducer(path: str, cache_words: int = CACHE_WORDS, by_library: bool = False) -> Transducer:
     """One for each Python worker."""
-    return Transducer(path, cache_words)
+    return Transducer(path, cache_words, by_library)
 
 
 class ByteText:
@@ -388,8 +497,9 @@ def decode_ids(encoded: DataFrame, path: str | None = None, raw: bool = False, i
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Per document: number of ids, digest of the ids and of the decoded text.
 
-    Encodes and decodes block by block in one pass over the rows, with no shuffle; a null text
-    counts as empty.
+    Encodes and decodes block by block in one pass over the rows, with no shuffle, so a very long
+    text costs no more memory than itself. A null text counts as empty; repeated rows give repeated
+    rows, an empty table none. Other columns of the input are not read, whatever their names.
     """
     path = path or default_path()
 

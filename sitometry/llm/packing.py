@@ -25,8 +25,8 @@ from .common import stored
 WINDOW = 4096
 END_ID = 2
 GRAIN = 8
-#: Ranks within one length are counted in so many parts, so no length gathers in one task.
-SALTS = 16
+#: Ranks within one length are counted in parts of about so many pieces, so no length gathers in one task.
+PART_ROWS = 100_000
 
 
 def combinations(cells: int) -> list[dict[int, int]]:
@@ -137,7 +137,7 @@ def pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_I
     """``doc_id, start, length, ids_crc32, doc_tokens``: each document's ids cut at the window."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        t = bpe.transducer(path, cache_words)
+        t = bpe.transducer(path, cache_words, True)
         for b in batches:
             rows = []
             for d, text in zip(b["doc_id"], b["text"]):
@@ -155,19 +155,24 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, end_id:
 
     Null and empty texts are documents of the end id alone. Repeated rows are separate documents;
     rows that agree in all columns may change places. Null ids are packed too. An empty table gives
-    no rows. Only the histogram (at most ``window`` cells) and the plan, whose rows do not grow
-    with the corpus, pass through the driver. ``cache_words`` bounds the encoder's caches: memory for time only.
+    no rows. A very long text is read in blocks and its pieces are rows like any others. Other columns
+    of the input are not read, whatever their names. Only the histogram (at most ``window`` cells) and
+    the plan, whose rows do not grow with the corpus, pass through the driver. ``cache_words`` bounds
+    the encoder's caches: memory for time only.
     """
     spark = docs.sparkSession
     cut = stored(pieces(docs, path or bpe.default_path(), window, end_id, cache_words), "pieces")
-    cut = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(SALTS)).cast("int"))
-    counts = cut.groupBy("length", "salt").count()
-    hist = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}
+    hist = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}
     steps = plan(hist, window)
+    split = [-(-hist.get(n, 1) // PART_ROWS) for n in range(window + 1)]
+    cut = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.get(F.lit(split).cast("array<int>"), F.col("length").cast("int"))).cast("int"))
+    counts = cut.groupBy("length", "salt").count()
     offsets = counts.withColumn("base", F.sum("count").over(Window.partitionBy("length").orderBy("salt")) - F.col("count")).drop("count")
     part = Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32")
-    # offsets has at most window * SALTS rows of three numbers: 2 MB at the defaults
-    ranked = cut.withColumn("k", F.row_number().over(part) - 1).join(F.broadcast(offsets), ["length", "salt"])
+    ranked = cut.withColumn("k", F.row_number().over(part) - 1)
+    # a row for each length and each PART_ROWS pieces: beyond a million the join shuffles instead
+    small = window + sum(hist.values()) / PART_ROWS < 1_000_000
+    ranked = ranked.join(F.broadcast(offsets) if small else offsets, ["length", "salt"])
     ranked = ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("k") + F.col("base")).alias("rank"))
     key = steps["length"].to_numpy() * (1 << 40) + steps["lo"].to_numpy()
     table = {c: steps[c].to_numpy() for c in ("lo", "first", "times", "at")}

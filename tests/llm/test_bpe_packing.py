@@ -35,18 +35,63 @@ def test_any_text(library, text):
     assert bpe.transducer(bpe.default_path()).ids(text) == library.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="abth'Éß!1. \n\u0301\u00e9\u1100\u1161\u4e2d<|>", max_size=80) | st.lists(st.sampled_from(["<|endoftext|>", "th", "'s", "é", "\u0301", " ", "!!", "ing"]), max_size=30).map("".join), st.integers(3, 20))
+def test_blocks_that_end_within_words(library, text, size):
+    t, whole = bpe.transducer(bpe.default_path()), bpe.BLOCK_CHARS
+    bpe.BLOCK_CHARS = size
+    try:
+        assert t.ids(text) == library.encode(text, add_special_tokens=False).ids
+        assert "".join(b for b, _ in t.blocks(text)) == text
+    finally:
+        bpe.BLOCK_CHARS = whole
+
+
 @settings(max_examples=20, deadline=None)
 @given(st.lists(st.sampled_from(["th", "in", "an", "er", "ing", "s", "zq", "ation"]), min_size=700, max_size=1500))
-def test_streamed_word_equals_whole(library, parts):
+def test_tokens_are_emitted_while_a_word_is_open(library, parts):
+    model, word, out = bpe.transducer(bpe.default_path()).model, "".join(parts), []
+    s, most = bpe.Stream(model), 0
+    for k in range(0, len(word), 50):
+        out += s.feed(word[k : k + 50])
+        most = max(most, len(s.last))
+    early = len(out)
+    out += s.close()
+    assert out == library.encode(word, add_special_tokens=False).ids
+    assert early > 0.8 * len(out) and most <= model.window
+
+
+def test_spaceless_text_is_read_in_blocks(library):
     t = bpe.transducer(bpe.default_path())
-    word = "".join(parts)
-    assert [t.vocab[x] for x in t.model.stream(word)] == library.encode(word, add_special_tokens=False).ids
+    for text in ("thheingble" * 30_000, "中文" * 80_000, "<|endoftext|>" + "a" * 200_000 + "<|endoftext|>"):
+        assert max(len(b) for b, _ in t.blocks(text)) < bpe.BLOCK_CHARS + 100
+        assert t.ids(text) == library.encode(text, add_special_tokens=False).ids
+
+
+def test_library_splits_alike():
+    t, u = bpe.Transducer(bpe.default_path(), 50), bpe.Transducer(bpe.default_path(), 50, True)
+    for x in TEXTS:
+        assert t.ids(x) == u.ids(x)
 
 
 def test_lookahead_of_a_small_list():
     vocab = {c: i for i, c in enumerate(["a", "b", "c", "a</w>", "b</w>", "c</w>", "bc", "ab"])}
     m = bpe.MergeList(vocab, [("b", "c"), ("a", "b")], "</w>")
-    assert m.lookahead == 2 and list(m.stream("abc")) == m.merged(["a", "b", "c</w>"])
+    # "bc" merges first, which needs the second letter after "a"; the last letter carries the mark
+    assert m.lookahead == 2 and m.word("abca") == [vocab[x] for x in ("a", "bc", "a</w>")]
+    with pytest.raises(ValueError):
+        bpe.MergeList({**vocab, "abc": 8}, [("b", "c"), ("a", "b"), ("ab", "c"), ("a", "bc")], "</w>")
+
+
+def test_raw_decoding_by_parts_of_letters(library):
+    t = bpe.transducer(bpe.default_path())
+    ids = t.ids("中文 é ñandú 😀")
+    d = bpe.Decoder(t, raw=True)
+    parts, held = [], 0
+    for i in ids:
+        parts.append(d.feed([i]))
+        held = max(held, len(d.machine.tail))
+    assert "".join(parts) + d.finish() == "中文 é ñandú 😀 " and held > 0
 
 
 @settings(max_examples=200, deadline=None)
