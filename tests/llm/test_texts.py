@@ -1,10 +1,14 @@
+import re
+import time
 import zlib
 
 import duckdb
 import pandas as pd
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
-from sitometry.llm import imatch, langid, licenses, pii, quality, sharding
+from sitometry.llm import imatch, langid, licenses, pii, quality, queries, sharding
 from sitometry.llm.common import bounded_sample
 
 ODD = [None, "", " ", "123 !!", "x" * 3000]
@@ -98,13 +102,68 @@ def test_loops_agree_with_enumeration(field):
     score = field.unary[pii.word_features(words)].sum(1)
     total = pii.np.zeros((5, 5))
     for labels in pii.np.ndindex(*[5] * 5):
-        v = sum(score[k, y] for k, y in enumerate(labels)) + sum(field.chain[a, b] for a, b in zip(labels, labels[1:])) + field.skip[labels[1], labels[3]]
+        v = sum(score[k, y] for k, y in enumerate(labels)) + sum(field.chain[a, b] for a, b in zip(labels, labels[1:])) + field.skip[pii.REPEATED][labels[1], labels[3]]
         for k, y in enumerate(labels):
             total[k, y] += pii.np.exp(v - 50)
     want = total / total.sum(1, keepdims=True)
     assert pii.np.abs(pii.beliefs(field, words, joined) - want).max() < 0.1
 
 
+# the patterns as stated, one regular expression each
+STATED = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def stated_spans(text):
+    out = []
+    for kind, pattern in STATED.items():
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m.group())
+            luhn = sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(reversed(digits))) % 10 == 0
+            if {"email": True, "ip": kind == "ip" and all(int(x) <= 255 for x in m.group().split(".")), "card": 16 <= len(digits) <= 19 and luhn, "phone": 8 <= len(digits) <= 15}[kind]:
+                out.append((kind, *m.span()))
+    return out
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="0129.@+- ()ab_%é", max_size=60) | st.lists(st.sampled_from(["a.b@c.de", "_x@y.z", "@", "1.2.3.4", ".5", "+1 (988) 555-2485", "4111 1111 1111 1111", "-", " ", "0"]), max_size=12).map("".join))
+def test_base_spans_are_the_stated_patterns(text):
+    assert pii.base_spans(text) == stated_spans(text)
+
+
+def test_spans_found_by_a_skip_link_alone(field):
+    text = "Call me at +1 (988) 555-2485 tomorrow. My code there is 9885552485 as said"
+    unlinked = pii.Field(field.unary, field.chain, field.skip * 0)
+    base, spans = pii.find(field, text)
+    assert [text[s:e] for _, s, e in set(spans) - set(base)] == ["9885552485"]
+    assert pii.find(unlinked, text)[1] == base and pii.find(field, "order 9885552485 was sent, and later order 9885552485 came back") == ([], [])
+    # learned, not set: repeated words agree in their labels more than chance has it
+    for kind in (pii.REPEATED, pii.SIMILAR):
+        assert field.skip[kind][0, 0] > 0.5 and field.skip[kind][4, 4] > 0.3 > field.skip[kind][0, 4]
+
+
+def test_long_runs(field):
+    began = time.time()
+    assert pii.base_spans("0" * 5000 + ".1.1.1") == [("ip", 0, 5006)]
+    for text in ("1" * 1_000_000, "a" * 1_000_000, "a@" * 300_000, "1." * 200_000):
+        pii.find(field, text)
+    assert time.time() - began < 60
+
+
+def test_pii_query(spark, field, tmp_path, monkeypatch):
+    texts = [*ODD, "write a@b.co now", "write a@b.co now", "Call +1 (988) 555-2485; then 9885552485, 1.2.3.4, 4111 1111 1111 1111"]
+    monkeypatch.setattr(pii, "train", lambda: field)
+    rows = [(None if k == 6 else k, t, "x", {"masked": k}) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, n_email string, pii map<string,int>").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.op10_skip_chain_pii(spark, str(tmp_path)).collect()}
+    assert len(got) == len(texts)
+    for k, t in enumerate(texts):
+        r, want = got[None if k == 6 else k], stated_spans(t or "")
+        assert [r[f"n_{kind}"] for kind in pii.KINDS] == [sum(x[0] == kind for x in want) for kind in pii.KINDS]
+        assert r["base_sha256"] == pii.digest(pii.listed(want)) and set(pii.listed(want).split(",")) <= set(r["spans"].split(","))
+    assert got[7]["n_added"] == 1 and got[0]["spans"] == ""
+    assert pii.detect(frame(spark, []), field).count() == 0
+
+
 def test_pii_rows(spark, field):
     got = pii.detect(frame(spark, [*ODD, "write a@b.co now"]), field).orderBy("doc_id").collect()
     assert got[0]["pii"]["masked"] is None and got[5]["pii"]["masked"] == "write <email> now"
