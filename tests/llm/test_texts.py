@@ -150,7 +150,7 @@ def test_long_runs(field):
 
 
 def test_pii_query(spark, field, tmp_path, monkeypatch):
-    texts = [*ODD, "write a@b.co now", "write a@b.co now", "Call +1 (988) 555-2485; then 9885552485, 1.2.3.4, 4111 1111 1111 1111"]
+    texts = [*ODD, "write a@b.co now", "write a@b.co now", "Call me at +1 (988) 555-2485 tomorrow. My code there is 9885552485 as said by 1.2.3.4"]
     monkeypatch.setattr(pii, "train", lambda: field)
     rows = [(None if k == 6 else k, t, "x", {"masked": k}) for k, t in enumerate(texts)]
     spark.createDataFrame(rows, "doc_id long, text string, n_email string, pii map<string,int>").write.parquet(f"{tmp_path}/documents.parquet")
