@@ -15,7 +15,7 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
 
 
-def brute(texts, ids):
+def brute(texts, ids, percent=75):
     sets = [shingles(t) for t in texts]
     up = list(range(len(ids)))
 
@@ -25,7 +25,7 @@ def brute(texts, ids):
         return i
 
     for i, j in combinations(range(len(ids)), 2):
-        if sets[i] and sets[j] and (both := len(sets[i] & sets[j])) and 100 * both >= 75 * len(sets[i] | sets[j]):
+        if sets[i] and sets[j] and (both := len(sets[i] & sets[j])) and 100 * both >= percent * len(sets[i] | sets[j]):
             up[top(i)] = top(j)
     low = {}
     for i, d in enumerate(ids):
@@ -63,6 +63,48 @@ def test_jaccard_against_brute_force(spark, monkeypatch, seed, run):
     assert sorted(tuple(r) for r in jaccard.similar(docs).collect()) == brute(texts, ids)
 
 
+def test_three_orders_meet_before_texts_are_fetched(spark, monkeypatch):
+    """Pairs that fail the second or third order never reach the texts; linked ones always do."""
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        a = np.unique(rng.integers(0, 1 << 63, 80).astype(np.uint64))
+        b = np.unique(np.concatenate((rng.choice(a, 72, replace=False), rng.integers(0, 1 << 63, rng.integers(1, 12)).astype(np.uint64))))
+        if jaccard.linked(a, b)[0]:
+            assert jaccard.candidate(jaccard.ends(a), jaccard.ends(b))
+    far = [np.unique(rng.integers(0, 1 << 63, 80).astype(np.uint64)) for _ in range(2)]
+    assert not jaccard.candidate(*map(jaccard.ends, far))
+    monkeypatch.setattr(jaccard, "candidate", lambda a, b: False)
+    docs = spark.createDataFrame([(1, "a b c d e f g h i j k"), (2, "a b c d e f g h i j k l")], "doc_id long, text string")
+    assert {r["component_id"] for r in jaccard.similar(docs).collect()} == {1, 2}
+
+
+def test_linked_nodes_are_not_paired_under_a_hub():
+    n = 20_000
+    cols = [np.full(n, 7), np.arange(n), np.full(n, 60), np.full(n, 5), np.full(n, -3), np.full(n, 99)]
+    row = lambda k, least: [np.array([x]) for x in (7, k, 60, 5, least, 99)]
+    batches = [[np.concatenate(c) for c in zip(row(n, 3), row(n + 1, 3), [c[:9000] for c in cols])], [c[9000:] for c in cols]]
+    made = [b for b in jaccard._runs(32, 75)(iter([jaccard._batch(jaccard._POSTING, *b) for b in batches]))]
+    assert sum(b.num_rows for b in made) == 2 * n + 1 and not any(b["hot"].to_pylist()[0] for b in made)
+    only = [jaccard._batch(jaccard._POSTING, *cols)]
+    assert list(jaccard._runs(32, 75)(iter(only))) == []
+
+
+@pytest.mark.parametrize("percent", [60, 85])
+def test_other_thresholds(spark, monkeypatch, percent):
+    monkeypatch.setattr(jaccard, "RUN", 8)
+    texts = corpus(4)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(tuple(r) for r in jaccard.similar(docs, percent).collect()) == brute(texts, range(len(texts)), percent)
+
+
+def test_very_long_and_empty_texts(spark):
+    long = " ".join(f"w{k % 5000}x{k // 5000}" for k in range(120_000))
+    rows = [(3, long, 1), (1, long + " end", 2), (2, "", 3), (None, "a b", 4), (None, None, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, component_id long")
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.similar(docs).collect()}
+    assert got == {(3, 119_996, 1), (1, 119_997, 1), (2, 0, 2), (None, 1, None), (None, 0, None)}
+
+
 def test_jaccard_empty(spark):
     assert jaccard.similar(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     rows = jaccard.similar(spark.createDataFrame([(5, "a b c d e"), (5, "a b c d e"), (7, None)], "doc_id long, text string")).collect()
