@@ -57,6 +57,7 @@ def corpus(seed):
 @pytest.mark.parametrize(("seed", "run"), [(1, 32), (2, 4), (3, 2)])
 def test_jaccard_against_brute_force(spark, monkeypatch, seed, run):
     monkeypatch.setattr(jaccard, "RUN", run)
+    monkeypatch.setattr(jaccard, "HUB_RUN", run if run > 2 else jaccard.HUB_RUN)
     texts = corpus(seed)
     ids = random.Random(seed).sample(range(10_000), len(texts))
     docs = spark.createDataFrame(list(zip(ids, texts, ["x"] * len(ids))), "doc_id long, text string, node string")
@@ -83,10 +84,10 @@ def test_linked_nodes_are_not_paired_under_a_hub():
     cols = [np.full(n, 7), np.arange(n), np.full(n, 60), np.full(n, 5), np.full(n, -3), np.full(n, 99)]
     row = lambda k, least: [np.array([x]) for x in (7, k, 60, 5, least, 99)]
     batches = [[np.concatenate(c) for c in zip(row(n, 3), row(n + 1, 3), [c[:9000] for c in cols])], [c[9000:] for c in cols]]
-    made = [b for b in jaccard._runs(32, 75)(iter([jaccard._batch(jaccard._POSTING, *b) for b in batches]))]
+    made = [b for b in jaccard._runs(32, 75, 32)(iter([jaccard._batch(jaccard._POSTING, *b) for b in batches]))]
     assert sum(b.num_rows for b in made) == 2 * n + 1 and not any(b["hot"].to_pylist()[0] for b in made)
     only = [jaccard._batch(jaccard._POSTING, *cols)]
-    assert list(jaccard._runs(32, 75)(iter(only))) == []
+    assert list(jaccard._runs(32, 75, 32)(iter(only))) == []
 
 
 @pytest.mark.parametrize("percent", [60, 85])
