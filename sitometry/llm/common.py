@@ -16,11 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it.
 
-    Only where ``spark.checkpoint.dir`` is unset (tests, one machine) a temporary folder is made.
+    Only where ``spark.checkpoint.dir`` is unset and all runs on one machine (tests) a temporary folder
+    is made; on a cluster the setting is required.
     """
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not where:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="sitometry-")
         sc.setCheckpointDir(where)
         where = sc.getCheckpointDir()
@@ -45,26 +48,29 @@ def buckets(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def bounded_sample(docs: DataFrame, label: str, rows: int, chars: int) -> list[tuple[str, object]]:
-    """(text, label) of at most ``rows`` labelled texts, shared out evenly among the labels.
+def spare(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, so that no column of its own is touched."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
-    A hash of the id chooses them, at a rate from the labels' counts; texts are cut at ``chars``.
-    Every label takes part, with one text at least, so more labels than ``rows`` give as many texts;
-    the driver holds the labels, as a model of them does.
+
+def bounded_sample(docs: DataFrame, label: str, rows: int) -> DataFrame:
+    """``text, label`` of about ``rows`` labelled texts at most, shared out evenly among the labels.
+
+    A hash of id and text chooses them, at a rate from the labels' counts; texts stay whole. Every
+    label takes part, with one text at least, so more labels than ``rows`` give as many texts; the
+    driver holds the labels, as a model of them does.
     """
-    unit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    good = docs.filter(F.col(label).isNotNull() & F.col("text").isNotNull() & F.left("text", F.lit(chars)).rlike(r"\S")).withColumn("_unit", unit)
-    counts = good.groupBy(label).agg(F.count(F.lit(1)).alias("count"), F.min("_unit").alias("least")).orderBy(F.desc("count"), label).collect()
+    text = F.col("text").cast("string")
+    good = docs.select(text.alias("text"), F.col(label).alias("label"), (F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))).alias("unit"))
+    good = good.filter(F.col("label").isNotNull() & F.col("text").rlike(r"\S"))
+    counts = good.groupBy("label").agg(F.count(F.lit(1)).alias("count"), F.min("unit").alias("least")).collect()
+    kind = dict(good.dtypes)["label"]
     if not counts:
-        return []
+        return good.select("text", "label")
     each = max(1, rows // len(counts))
     # the least hash of a label takes part at any rate
-    rates = docs.sparkSession.createDataFrame([(r[label], min(1.0, each / r["count"]), r["least"]) for r in counts], f"_label {dict(docs.dtypes)[label]}, _rate double, _least double")
-    found = good.join(F.broadcast(rates), F.col(label) == F.col("_label")).filter("_unit < _rate or _unit = _least")
-    found = found.select(F.col("_unit").alias("u"), F.left("text", F.lit(chars)).alias("text"), label).collect()
-    out, taken = [], dict.fromkeys((r[label] for r in counts), 0)
-    for r in sorted(found, key=lambda r: (r["u"], r["text"])):
-        if r["text"].strip() and taken[r[label]] < each:
-            taken[r[label]] += 1
-            out.append((r["text"], r[label]))
-    return out
+    rates = docs.sparkSession.createDataFrame([(r["label"], min(1.0, each / r["count"]), r["least"]) for r in counts], f"label {kind}, rate double, least double")
+    return good.join(F.broadcast(rates), "label").filter("unit < rate or unit = least").select("text", "label")

@@ -2,11 +2,13 @@
 
 Byte embeddings, filters of several widths, rectification, maximum over a fixed-length window and
 softmax. A text is read whole, in windows that overlap by the widest filter less one; its windows'
-log probabilities, weighted by their share of the text, are added up.
+log probabilities, weighted by their share of the text, are added up. Filters stand at every second
+byte of a window.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,12 +18,12 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample
+from .common import bounded_sample, spare, stored
 
 WINDOW, STEP, DEPTH, FILTERS = 256, 2, 8, 24
 WIDTHS = (3, 5, 7)
-#: The network is fitted on the beginnings of at most so many labelled texts.
-TRAIN_ROWS, TRAIN_CHARS = 3000, 2000
+#: The network is fitted on about so many labelled texts, and so many windows of them, spread over whole texts.
+TRAIN_ROWS, TRAIN_WINDOWS = 3000, 40_000
 EPOCHS, BATCH, RATE, SEED = 4, 64, 0.004, 5
 UNDECIDED = "und"
 _LETTER = regex.compile(r"\p{L}")
@@ -76,16 +78,20 @@ def windows(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(texts: list[str], labels: list[str], epochs: int = EPOCHS, seed: int = SEED) -> Network:
+    """Fit on all windows of whole texts."""
+    langs = sorted(set(labels))
+    made = [(windows(t)[0], langs.index(y)) for t, y in zip(texts, labels)]
+    x = np.concatenate([w for w, _ in made]) if made else np.zeros((0, WINDOW), np.uint8)
+    return fit_windows(langs, x, np.concatenate([np.full(len(w), k) for w, k in made]) if made else np.zeros(0, int), epochs, seed)
+
+
+def fit_windows(langs: list[str], x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> Network:
     """Adam on cross entropy, classes weighted alike."""
     rng = np.random.default_rng(seed)
-    langs = sorted(set(labels))
     put = lambda *shape: (rng.standard_normal(shape) / np.sqrt(shape[0] if len(shape) > 1 else 1)).astype(np.float32)
     net = Network(langs, put(256, DEPTH) * 4, [put(w * DEPTH, FILTERS) for w in WIDTHS], [np.zeros(FILTERS, np.float32) for _ in WIDTHS], put(len(WIDTHS) * FILTERS, len(langs)), np.zeros(len(langs), np.float32))
-    made = [(windows(t[:TRAIN_CHARS])[0], langs.index(y)) for t, y in zip(texts, labels)]
-    if not made:
+    if not len(x):
         return net
-    x = np.concatenate([w for w, _ in made])
-    y = np.concatenate([np.full(len(w), k) for w, k in made])
     share = np.bincount(y, minlength=len(langs))
     weight = (len(y) / len(langs) / np.maximum(share, 1)).astype(np.float32)
     first = [np.zeros_like(p) for p in net.parts()]
@@ -121,10 +127,33 @@ def fit(texts: list[str], labels: list[str], epochs: int = EPOCHS, seed: int = S
     return net
 
 
-def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Network:
-    """Fit on labelled ``docs(text, lang)``: at most ``rows`` texts, shared out among languages."""
-    found = bounded_sample(docs, "lang", rows, TRAIN_CHARS)
-    return fit([t for t, _ in found], [k for _, k in found])
+def train(docs: DataFrame, rows: int = TRAIN_ROWS, most: int = TRAIN_WINDOWS) -> Network:
+    """Fit on labelled ``docs(doc_id, text, lang)``.
+
+    About ``rows`` texts, shared out among languages, are cut to windows in the executors, whole; where
+    that makes more than ``most`` windows, a hash of each window keeps about as many of them, wherever
+    they stand. So the driver holds at most about ``most`` windows of fixed size.
+    """
+    found = stored(bounded_sample(docs, "lang", rows), "language_sample")
+    stride = WINDOW - max(WIDTHS) + 1
+    total = found.agg(F.sum(F.ceil(F.octet_length("text") / stride))).collect()[0][0] or 0
+    rate = min(1.0, most / max(1, total))
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            labels, kept = [], []
+            for text, label in zip(b["text"], b["label"]):
+                for w in windows(text)[0]:
+                    raw = w.tobytes()
+                    if rate == 1 or zlib.crc32(raw) < rate * (1 << 32):
+                        kept.append(raw)
+                        labels.append(label)
+            yield pd.DataFrame({"label": labels, "raw": kept})
+
+    got = sorted((r["label"], bytes(r["raw"])) for r in found.mapInPandas(cut, f"label {dict(found.dtypes)['label']}, raw binary").collect())
+    langs = sorted({k for k, _ in got})
+    x = np.frombuffer(b"".join(raw for _, raw in got), np.uint8).reshape(-1, WINDOW)
+    return fit_windows(langs, x, np.array([langs.index(k) for k, _ in got], int))
 
 
 def _predict(net: Network, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -164,13 +193,8 @@ def _predict(net: Network, texts: list[str | None]) -> tuple[list[str], list[flo
     return langs, scores
 
 
-def identify(docs: DataFrame, net: Network) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``, in one pass over whole texts.
-
-    ``und`` with score 0 where the text is null or has no letter, or nothing was learned.
-    Other columns pass through, whatever their names, except these two, which are replaced.
-    """
-    src = docs.drop("lang_pred", "score")
+def predictor(docs: DataFrame, net: Network) -> Column:
+    """``struct(lang_pred, score)`` of the column ``text``, for use under any name."""
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     @F.pandas_udf("lang_pred string, score double")
@@ -179,7 +203,20 @@ def identify(docs: DataFrame, net: Network) -> DataFrame:
             langs, scores = _predict(shared.value, [x if isinstance(x, str) else None for x in t])
             yield pd.DataFrame({"lang_pred": langs, "score": scores})
 
-    return src.withColumn("_p", predict(F.col("text").cast("string"))).select(*[src[c] for c in src.columns], F.col("_p.lang_pred").alias("lang_pred"), F.col("_p.score").alias("score"))
+    return predict(F.col("text").cast("string"))
+
+
+def identify(docs: DataFrame, net: Network) -> DataFrame:
+    """``docs`` with ``lang_pred`` and ``score``, in one pass over whole texts, however long.
+
+    ``und`` with score 0 where the text is null or has no letter, or nothing was learned; of languages
+    alike in probability the first by name. Each row stands alone: repeated rows give repeated rows, an
+    empty table an empty one. Other columns pass through, whatever their names, except these two, which
+    are replaced.
+    """
+    src = docs.drop("lang_pred", "score")
+    p = spare(src, "_p")
+    return src.withColumn(p, predictor(docs, net)).select(*[F.col(f"`{c}`") for c in src.columns], F.col(f"{p}.lang_pred").alias("lang_pred"), F.col(f"{p}.score").alias("score"))
 
 
 def held_out(id_col: str, modulus: int, rest: int) -> Column:

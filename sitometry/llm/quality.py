@@ -9,12 +9,13 @@ labelled texts kept aside makes the logit a probability.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -28,6 +29,7 @@ HIDDEN, EPOCHS, BATCH, RATE, SEED = 32, 30, 64, 0.004, 9
 CUT = 0.3
 BLOCK = 1 << 18
 
+_WHITE = re.compile(rb"[\x09-\x0d ]")
 _EXACT = _BYTE.copy()
 _EXACT[65:91] = _numbers(51, 26)
 _SHAPE = _BYTE.copy()
@@ -55,8 +57,9 @@ class Reader:
         while at < len(raw):
             end = min(len(raw), at + BLOCK)
             if end < len(raw):
-                stop = raw.rfind(b" ", at, end)
-                end = stop + 1 if stop > at else end
+                # a block ends at white space: no word is cut, however long
+                stop = _WHITE.search(raw, end)
+                end = stop.start() if stop else len(raw)
             part = raw[at:end]
             at = end
             full, _ = self.exact.words(part)
@@ -219,12 +222,19 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``score`` and ``predicted``; whole texts, one pass, no shuffle.
+    """``docs`` with ``score`` and ``predicted``; whole texts, however long, one pass, no shuffle.
 
-    Null, empty and wordless texts get the score of a document without words. Columns of these two
-    names are replaced; all others pass through.
+    Null, empty and wordless texts get the score of a document without words. Each row stands alone:
+    repeated rows give repeated rows, an empty table an empty one. Columns of these two names are
+    replaced; all others pass through.
     """
     src = docs.drop("score", "predicted")
+    out = src.withColumn("score", scorer(docs, model))
+    return out.withColumn("predicted", (F.col("score") >= CUT).cast("int"))
+
+
+def scorer(docs: DataFrame, model: Model) -> Column:
+    """The score of the column ``text``, for use under any name."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
@@ -234,5 +244,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             x = np.stack([pooled(reader, m.word, m.shape, v if isinstance(v, str) else None) for v in t]) if len(t) else np.zeros((0, 2 * DIM + 4))
             yield pd.Series(m.score(x).astype(float) if len(x) else [], dtype="float64")
 
-    out = src.withColumn("score", rate(F.col("text").cast("string")))
-    return out.withColumn("predicted", (F.col("score") >= CUT).cast("int"))
+    return rate(F.col("text").cast("string"))

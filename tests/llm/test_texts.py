@@ -1,3 +1,4 @@
+import os
 import re
 import time
 import zlib
@@ -27,8 +28,8 @@ def test_language():
 
 def test_every_label_is_sampled(spark):
     rows = [(k, f"text {k}", f"l{k % 300}") for k in range(900)]
-    found = bounded_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "lang", 300, 100)
-    assert len({label for _, label in found}) == len(found) == 300
+    found = bounded_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "lang", 300).collect()
+    assert len({r["label"] for r in found}) == 300
 
 
 def test_windows_cover_the_text():
@@ -45,6 +46,34 @@ def test_language_rows(spark):
     assert langid.train(frame(spark, []).selectExpr("doc_id", "text", "score AS lang")).langs == []
 
 
+def test_language_learns_from_whole_texts(spark):
+    pad = "0123 4567 " * 900  # what tells the languages apart stands after 9,000 bytes
+    rows = [(k, pad + ("das ist nicht der " if k % 2 else "the of that was ") * 40, "de" if k % 2 else "en") for k in range(60)]
+    net = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert langid._predict(net, ["das ist nicht der das ist", "that was the of that"])[0] == ["de", "en"]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no tables here")
+def test_held_out_accuracy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = queries.op3_byte_cnn_language(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").filter("held_out and lang is not null").toPandas()
+    assert len(got) > 200 and (got.lang == got.lang_pred).mean() > 0.97
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    got = queries.op4_quality_scores(spark, "/root/testdata/sf0.01").join(labels, "doc_id").filter("held_out and quality is not null").toPandas()
+    good, bad = got.score[got.quality == 1].to_numpy(), got.score[got.quality == 0].to_numpy()
+    assert len(got) > 40 and (good[:, None] > bad[None]).mean() > 0.95 and ((got.score >= 0.3) == (got.predicted == 1)).all()
+
+
+def test_clashing_names_long_texts_and_repeats(spark):
+    rows = [(1, "one two three " * 30_000, "x", "y", 2.0), (2, "un deux", "x", "y", 2.0), (2, "un deux", "x", "y", 2.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score string, lang_pred string, predicted double")
+    net = langid.fit(["un deux trois", "one two three"], ["fr", "en"], epochs=1)
+    got = langid.identify(docs, net)
+    assert got.count() == 3 and dict(got.dtypes)["score"] == "double" and langid.identify(docs.limit(0), net).count() == 0
+    model = quality.fit(["a b", "c d"], [1, 0])
+    assert quality.score(docs, model).select("predicted").distinct().count() >= 1 and quality.score(docs.limit(0), model).count() == 0
+
+
 def test_quality():
     good = [f"{a}n ordinary line about {a} things, with words that differ {k}." for k, a in enumerate("abcdefghijklmnopqrst" * 4)]
     bad = [f"BUY!! {a.upper()}!! NOW!! " * 12 for a in "abcdefghijklmnopqrst" * 4]
@@ -74,8 +103,11 @@ def test_quality_counts_words_once_over_blocks(monkeypatch):
     reader, word = quality.Reader(), quality.index_vectors()
     text = "one two three three four " * 50
     want = quality.pooled(reader, word, word, text)
+    long = "\n".join("x" * k for k in range(1, 400))
+    whole = quality.pooled(reader, word, word, long)
     monkeypatch.setattr(quality, "BLOCK", 40)
     assert abs(quality.pooled(reader, word, word, text) - want).max() < 1e-4
+    assert abs(quality.pooled(reader, word, word, long) - whole).max() < 1e-4
 
 
 def test_base_spans():
