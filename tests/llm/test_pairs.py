@@ -141,6 +141,35 @@ def test_neighbours(spark):
     assert [i for _, i, _ in sorted(got[0])] == [700, 701, 702, 703, 704]
 
 
+def test_the_bound_falls_and_abandons():
+    rng = np.random.default_rng(4)
+    x, q = rng.standard_normal((2000, 64)), rng.standard_normal((20, 64))
+    index = ann.fit(x)
+    ids, asks = np.arange(2000), np.arange(5000, 5020)
+    all_rows, tally, late = [], [], []
+    sure = ann.SURE
+    try:
+        ann.SURE = 1e9  # the test never abandons: only whole distances count
+        whole = ann.scan(index, ids, x, asks, q, 5, tally=all_rows)
+    finally:
+        ann.SURE = sure
+    got = ann.scan(index, ids, x, asks, q, 5, tally=tally)
+    assert len(set(got) & set(whole)) >= 0.9 * len(whole)
+    bounds = np.array([2 - 2 * min(s for j, _, s in whole if j == i) for i in asks])
+    again = ann.scan(index, ids, x, asks, q, 5, bounds, tally=late)
+    assert set(again) <= set(whole) and sum(late) < sum(tally) < 20 * 2000 / 10
+    assert tally[0] > 4 * tally[-1]
+
+
+def test_probes_until_enough_are_found_and_lengths(spark):
+    v = [[1.0, 0.001 * i, 0.0] for i in range(40)] + [[0.0, 0.0, 1.0 + i] for i in range(3)]
+    rows = [(i, x) for i, x in enumerate(v)] + [(99, [1.0, 2.0]), (None, [1.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.search(df, F.col("vec_id").isin(41, 99), probes=1).collect()
+    assert sorted(r["rank"] for r in got) == [1, 2, 3, 4, 5] and {r["query_id"] for r in got} == {41}
+    assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"])][:2] == [40, 42]
+
+
 def test_few_or_no_vectors(spark):
     two = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<float>")
     assert [(r["query_id"], r["vec_id"]) for r in ann.search(two, F.col("vec_id") == 0).collect()] == [(0, 1)]
