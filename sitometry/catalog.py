@@ -126,16 +126,28 @@ def tiering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analysis.tiered(rows, "score", 200, F.col("o_orderstatus") == "P").select("o_orderkey", "tier")
 
 
+_REASONS = (
+    ("ambiguous", "l_returnflag = 'A'", 3.0), ("low_score(<25)", "l_quantity < 25", 2.5), ("missing_or_bad_qty", "l_partkey % 7 = 0 OR l_partkey % 11 = 0", 2.0),
+    ("wide_span(>=60)", "l_suppkey % 80 >= 60", 1.5), ("far_grain_price(>=35)", "l_partkey % 50 >= 35", 1.2), ("no_priceword_near", "l_linestatus <> 'O'", 1.0),
+    ("weak_signal(<0.5)", "l_discount * 10 < 0.5", 0.0), ("has_negative_signals", "l_tax >= 0.05", 1.5), ("group_outlier_raw_unitprice", "l_quantity > 45", 2.0),
+    ("group_outlier_std_price_per_liter", "l_linenumber = 5", 2.0), ("unitprice_top1pct", "price >= cut", 0.0),
+)
+
+
 @_query(f"""WITH p AS ({_PRICES}), c AS (SELECT quantile_cont(price, 0.99) AS cut FROM p),
-r AS (SELECT l_orderkey, l_linenumber, l_quantity AS score, price, cut, l_returnflag = 'A' AS ambiguous, l_linenumber AS dist, l_discount AS strength FROM p, c),
-w AS (SELECT *, concat_ws('; ', CASE WHEN ambiguous THEN 'ambiguous' END, CASE WHEN score < 25 THEN 'low_score' END, CASE WHEN dist >= 35 THEN 'far_price' END, 'no_priceword', CASE WHEN strength < 0.5 THEN 'weak_signal' END, CASE WHEN price >= cut THEN 'top_price' END) AS reasons,
-  CASE WHEN ambiguous THEN 3.0::DOUBLE ELSE 0 END + CASE WHEN score < 25 THEN 2.5::DOUBLE ELSE 0 END + CASE WHEN dist >= 35 THEN 1.2::DOUBLE ELSE 0 END + 1.0::DOUBLE + CASE WHEN strength < 0.5 THEN 1.5::DOUBLE ELSE 0 END AS priority FROM r)
-SELECT l_orderkey, l_linenumber, reasons, priority FROM w ORDER BY priority DESC, score, l_orderkey, l_linenumber LIMIT 600""")
+w AS (SELECT l_orderkey, l_linenumber, l_quantity AS score, concat_ws('; ', {', '.join(f"CASE WHEN {t} THEN '{k}' END" for k, t, _ in _REASONS)}) AS reasons,
+  {' + '.join(f"CASE WHEN {t} THEN {w}::DOUBLE ELSE 0 END" for _, t, w in _REASONS)} + CASE WHEN l_discount * 10 < 0.5 THEN 1.5::DOUBLE ELSE 0 END AS priority FROM p, c)
+SELECT l_orderkey, l_linenumber, reasons, round(priority, 6) AS priority FROM w WHERE reasons <> '' ORDER BY priority DESC, score, l_orderkey, l_linenumber LIMIT 600""")
 def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col
     rows = _table(spark, sf_dir, "lineitem")
-    rows = rows.select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("score"), numbers.unit_price(F.col("l_extendedprice"), F.col("l_quantity")).alias("price"), (F.col("l_returnflag") == "A").alias("ambiguous"), F.col("l_linenumber").alias("dist"), F.col("l_discount").alias("strength"))
-    rows = rows.withColumns({"qty": F.lit(1.0), "span": F.lit(0), "priceword": F.lit(False), "outlier_raw": F.lit(False), "outlier_std": F.lit(False), "neg_signals": F.lit("")})
-    return analysis.review_queue(rows, 600, ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", "reasons", "priority")
+    rows = rows.select(
+        "l_orderkey", "l_linenumber", c("l_quantity").alias("score"), numbers.unit_price(c("l_extendedprice"), c("l_quantity")).alias("price"), (c("l_returnflag") == "A").alias("ambiguous"),
+        F.when(c("l_partkey") % 7 == 0, None).when(c("l_partkey") % 11 == 0, 0.0).otherwise(1.0).alias("qty"), (c("l_suppkey") % 80).alias("span"), (c("l_partkey") % 50).alias("dist"),
+        (c("l_linestatus") == "O").alias("priceword"), (c("l_discount") * 10).alias("strength"), F.when(c("l_tax") >= 0.05, "TAX").otherwise("").alias("neg_signals"),
+        (c("l_quantity") > 45).alias("outlier_raw"), (c("l_linenumber") == 5).alias("outlier_std"),
+    )
+    return analysis.review_queue(rows, 600, ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", "reasons", F.round("priority", 6).alias("priority"))
 
 
 @_query("SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) = 1")
@@ -217,12 +229,12 @@ p AS (SELECT a.event_id, b.event_id AS price_id, abs(a.pos - b.pos) AS dist, row
   FROM e a JOIN e b ON a.user_id = b.user_id AND abs(a.pos - b.pos) <= 80 AND a.event_type = 'view' AND b.event_type = 'purchase')
 SELECT event_id, price_id, dist::INTEGER AS dist FROM p WHERE k = 1""")
 def nearest_event_link(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nearest by position: the last purchase before and the first after, by two window scans."""
+    """Nearest by position: the last purchase before, from either end, by two running windows."""
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     e = _table(spark, sf_dir, "events").withColumn("pos", F.row_number().over(order))
     hit = F.when(F.col("event_type") == "purchase", F.struct("pos", "event_id"))
     by_pos = Window.partitionBy("user_id").orderBy("pos")
-    e = e.withColumns({"before": F.last(hit, True).over(by_pos.rowsBetween(Window.unboundedPreceding, -1)), "after": F.first(hit, True).over(by_pos.rowsBetween(1, Window.unboundedFollowing))})
+    e = e.withColumns({"before": F.last(hit, True).over(by_pos.rowsBetween(Window.unboundedPreceding, -1)), "after": F.last(hit, True).over(Window.partitionBy("user_id").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1))})
     near = F.array_min(F.array_compact(F.transform(F.array("before", "after"), lambda s: F.when(s.isNotNull(), F.struct(F.abs(s["pos"] - F.col("pos")).alias("dist"), s["event_id"].alias("price_id"))))))
     out = e.filter("event_type = 'view'").withColumn("near", near).filter("near.dist <= 80")
     return out.select("event_id", "near.price_id", F.col("near.dist").cast("int").alias("dist"))
@@ -300,6 +312,38 @@ def score_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").groupBy(numbers.score_bin(F.col("n_chars")).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@_query("""WITH f AS (SELECT p_partkey, p_brand, p_type, p_name FROM part), l AS (SELECT DISTINCT p_brand, left(p_name, 2 + p_size % 4) AS label_form, p_size AS priority FROM part WHERE p_partkey % 20 = 0),
+g AS (SELECT p_brand, left(label_form, 4) AS begins, priority, 'L' || priority || left(label_form, 4) AS label FROM l)
+SELECT f.p_partkey, (SELECT min_by(g.label, (g.priority, g.begins)) FROM g WHERE g.p_brand = f.p_brand AND starts_with(f.p_name, g.begins)) AS label FROM f""")
+def label_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = _table(spark, sf_dir, "part")
+    form = F.left("p_name", (F.lit(2) + F.col("p_size") % 4).cast("int"))
+    labels = part.filter("p_partkey % 20 = 0").select("p_brand", form.alias("label_form"), F.col("p_size").alias("priority"), F.concat(F.lit("L"), F.col("p_size"), F.left(form, F.lit(4))).alias("label")).distinct()
+    return sampling.with_labels(part.select("p_partkey", "p_brand", "p_name"), labels, "p_brand", "p_name").select("p_partkey", "label")
+
+
+@_query(f"""WITH p AS ({_PRICES}), k AS (SELECT p_type FROM p JOIN part ON l_partkey = p_partkey GROUP BY p_type ORDER BY count(*) DESC, p_type LIMIT 3),
+x AS (SELECT p_type AS g, log10(price) AS v FROM p JOIN part ON l_partkey = p_partkey WHERE price > 0 AND p_type IN (SELECT p_type FROM k)), {_MAD},
+t AS (SELECT * FROM d WHERE coalesce(0.6745::DOUBLE * abs(v - med) / nullif(mad, 0) <= 3.5, true))
+SELECT g AS p_type, count(v) AS n, round(pow(10.0::DOUBLE, quantile_cont(v, 0.5)), 6) AS median FROM t GROUP BY g""")
+def top_group_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type")
+    rows = analysis.top_groups(_prices(spark, sf_dir).join(kinds, "l_partkey"), "p_type", 3)
+    return analysis.robust_summary(rows, ["p_type"], "price").select("p_type", "n", F.round("median", 6).alias("median"))
+
+
+@_query("SELECT l_orderkey, l_linenumber, l_shipdate IS NOT NULL AND l_quantity >= 30 AND l_returnflag <> 'R' AS main FROM lineitem WHERE l_quantity >= 30 AND l_returnflag <> 'R' AND year(l_shipdate) BETWEEN 1994 AND 1996")
+def main_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "lineitem").withColumn("year", F.year("l_shipdate"))
+    rows = analysis.year_range(analysis.main_dataset(rows, "l_quantity", 30, ambiguous=F.col("l_returnflag") == "R"), "year", 1994, 1996)
+    return rows.select("l_orderkey", "l_linenumber", F.lit(True).alias("main"))
+
+
+@_query("SELECT event_id, user_id, value FROM events WHERE value IS NOT NULL ORDER BY value DESC, event_id LIMIT 25")
+def extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analysis.extremes(_table(spark, sf_dir, "events"), "value", 25, ["event_id"]).select("event_id", "user_id", "value")
+
+
 @_query()
 def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text blocks of web pages: tags off, entities of the common kind read, one row a block."""

@@ -158,18 +158,19 @@ def review_queue(df: DataFrame, n: int, tie: list[str], low_score: float = 25.0)
     rows = df.join(F.broadcast(cut))
     bad_qty = c("qty").isNull() | (c("qty") <= 0)
     neg = F.coalesce(c("neg_signals"), F.lit("")) != ""
+    # The reasons as they are shown, in their order, and their weights
     listed = [
         ("ambiguous", no(c("ambiguous")), 3.0),
-        ("low_score", no(c("score") < low_score), 2.5),
-        ("bad_qty", bad_qty, 2.0),
-        ("wide_span", no(c("span") >= 60), 1.5),
-        ("far_price", no(c("dist") >= 35), 1.2),
-        ("no_priceword", ~no(c("priceword")), 1.0),
-        ("outlier_raw", no(c("outlier_raw")), 2.0),
-        ("outlier_std", no(c("outlier_std")), 2.0),
-        ("weak_signal", no(c("strength") < 0.5), 0.0),
-        ("neg_signals", neg, 1.5),
-        ("top_price", no(c("price") >= c("_cut")), 0.0),
+        ("low_score(<25)", no(c("score") < low_score), 2.5),
+        ("missing_or_bad_qty", bad_qty, 2.0),
+        ("wide_span(>=60)", no(c("span") >= 60), 1.5),
+        ("far_grain_price(>=35)", no(c("dist") >= 35), 1.2),
+        ("no_priceword_near", ~no(c("priceword")), 1.0),
+        ("weak_signal(<0.5)", no(c("strength") < 0.5), 0.0),
+        ("has_negative_signals", neg, 1.5),
+        ("group_outlier_raw_unitprice", no(c("outlier_raw")), 2.0),
+        ("group_outlier_std_price_per_liter", no(c("outlier_std")), 2.0),
+        ("unitprice_top1pct", no(c("price") >= c("_cut")), 0.0),
     ]
     weight = sum((F.when(t, w).otherwise(0.0) for _, t, w in listed), F.when(F.coalesce(c("strength"), F.lit(0.0)) < 0.5, 1.5).otherwise(0.0))
     reasons = F.array_join(F.array_compact(F.array(*[F.when(t, F.lit(k)) for k, t, _ in listed])), "; ")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import clamp, int_and_fractions, prox, shown
-from ..functions.text import matches, normalized, token_at, token_window
+from ..functions.text import collapsed, matches, normalized, token_at, token_window
 from ..vocab import Profile
 
 NOT_W = r"[^\p{L}\p{N}_]"
@@ -44,7 +44,8 @@ def events(blocks: DataFrame, profile: Profile) -> DataFrame:
     so is a price that repeats a quantity's value within three tokens.
     """
     b = blocks.withColumn("norm", normalized("value_text")).filter(F.col("norm").rlike(profile.grain))
-    b = b.withColumn("tokens", F.split("norm", " "))
+    # windows for readers show the text as it was written; the gate's unit word is looked for in the raw text
+    b = b.withColumns({"tokens": F.split("norm", " "), "value_tokens": F.split(collapsed(F.col("value_text")), " "), "has_unit": normalized("raw").rlike(profile.unit)})
     norm = F.col("norm")
     near = F.transform(matches(norm, profile.near_admin), lambda m: token_at(norm, m["start"]))
     b = b.withColumns({"_near": near, "_grains": F.transform(matches(norm, profile.grain), lambda m: F.struct(token_at(norm, m["start"]).alias("tok"), m["found"].alias("form"), m["start"].alias("start")))})
@@ -102,7 +103,7 @@ def score(strength: Column, d_price: Column, d_qty: Column, has_unit: Column, bo
 def rejected(m: DataFrame) -> DataFrame:
     """Mentions with negative evidence and hardly any positive one, with wider context."""
     gone = m.filter(_refused())
-    return gone.withColumn("context_window", F.left(token_window(F.col("tokens"), F.col("grain.tok") - 8, F.col("grain.tok") + 8), F.lit(500)))
+    return gone.withColumn("context_window", F.left(token_window(F.col("value_tokens"), F.col("grain.tok") - 8, F.col("grain.tok") + 8), F.lit(500)))
 
 
 def _refused() -> Column:
@@ -131,10 +132,10 @@ def linked(m: DataFrame, profile: Profile, window: int = 80, least: float = 25.0
             "priceword_near": F.coalesce(F.array_min(F.transform("pricewords", lambda t: F.abs(t - F.col("price.tok")))) <= 8, F.lit(False)),
         }
     )
-    has_unit = F.col("norm").rlike(profile.unit) | F.col("qty").isNotNull()
+    has_unit = F.col("has_unit") | F.col("qty").isNotNull()
     k = k.withColumn("score", score(F.col("class.strength"), d_price, d_qty, has_unit, F.col("boundary"), F.col("competing")))
     low, high = F.least(tok, F.col("price.tok"), F.coalesce(F.col("qty.tok"), tok)), F.greatest(tok, F.col("price.tok"), F.coalesce(F.col("qty.tok"), tok))
-    k = k.filter(F.col("score") >= least).withColumn("context_window", F.left(token_window(F.col("tokens"), low - 8, high + 8), F.lit(2000)))
+    k = k.filter(F.col("score") >= least).withColumn("context_window", F.left(token_window(F.col("value_tokens"), low - 8, high + 8), F.lit(2000)))
     return k.withColumns({"candidate_rank": F.lit(1), "is_primary": F.lit("yes"), "ambiguous": F.lit("no")})
 
 

@@ -32,49 +32,35 @@ def roman(text: str) -> str:
     return str(total) if plain == text.lower() else text.lower()
 
 
-def _collection(text: str) -> tuple[str, str] | None:
-    """The longest known collection at the beginning, and what follows it."""
-    letters, best = "", None
-    for k, c in enumerate(text):
-        if c in ". ":
-            if letters in COLLECTIONS:
-                best = (letters, k)
-            continue
-        if c.isdigit() and letters + c not in ("pgen2",):
-            break
-        letters += c
-        if letters in COLLECTIONS and not text[k + 1 : k + 2].isalpha():
-            best = (letters, k + 1)
-    return (COLLECTIONS[best[0]], text[best[1] :].lstrip(" .;")) if best else None
-
-
-def document_id(reference: str) -> str:
-    """One printed reference as an id ``collection;volume;number``; unknown ones in lower case."""
-    text = " ".join(reference.lower().split())
-    found = _collection(text)
-    if not found:
-        return text
-    name, rest = found
-    rest = re.sub(r"\s+(recto|verso|r|v)\b.*$", "", rest)
-    numeral = re.match(r"([ivxlcdm]+)\s+(\d+)", rest)
-    if numeral:
-        return f"{name};{roman(numeral[1])};{numeral[2]}"
-    parts = [p.strip() for p in rest.split(".")]
-    first = lambda p: p.split(" ")[0]
-    if name in WITHOUT_VOLUME or len(parts) == 1:
-        return f"{name};;{first(parts[0])}"
-    return f"{name};{parts[0]};{first(parts[1])}"
+#: A collection's letters with points and blanks anywhere between them; the longest name wins.
+_COLLECTION = re.compile("(?:" + "|".join("[. ]*".join(k) for k in sorted(COLLECTIONS, key=len, reverse=True)) + ")(?![a-z])")
+#: What follows it: ``volume.number`` or ``numeral number``, or without a volume ``number``; more is ignored.
+_PLACE = re.compile(r"(?:(?P<numeral>[ivxlcdm]+)\s+(?P<counted>\d+)|(?P<first>[^.]*)(?:\.(?P<second>[^.]*))?)")
+_LIST = re.compile(r"\d+(?:,\s*\d+)+")
 
 
 def document_ids(reference: str | None) -> list[str]:
-    """All ids of a printed reference: the first of equated ones, every number of a list."""
-    text = re.sub(r"\([^)]*\)", "", (reference or "").strip().split(" = ")[0]).strip()
-    if not text:
-        return []
-    more = re.fullmatch(r"(.+?\.)(\d+)((?:,\s*\d[\d,\s]*)?)", text)
-    if more:
-        return [x for x in (document_id(more[1] + n) for n in [more[2], *re.findall(r"\d+", more[3])]) if x]
-    return [x for x in [document_id(text)] if x]
+    """The ids ``collection;volume;number`` of a printed reference; an unknown one is its own id.
+
+    Of equated references the first counts, remarks in brackets do not, and a list of numbers gives an
+    id for each.
+    """
+    text = " ".join(re.sub(r"\([^)]*\)", "", (reference or "").partition(" = ")[0]).lower().split())
+    known = _COLLECTION.match(text)
+    if not known:
+        return [text] if text else []
+    name = COLLECTIONS[re.sub("[. ]", "", known.group())]
+    tail = text[known.end() :].lstrip(" .;")
+    place = _PLACE.match(tail)
+    if place["numeral"]:
+        volume, numbers = roman(place["numeral"]), place["counted"]
+    elif name in WITHOUT_VOLUME or place["second"] is None:
+        volume, numbers = "", place["first"].strip()
+    else:
+        volume, numbers = place["first"].strip(), place["second"].strip()
+    # a list ends the reference; if more follows, its comma stays with the first number
+    each = re.findall(r"\d+", numbers) if _LIST.fullmatch(numbers) and place.end() == len(tail) else numbers.split()[:1] or [""]
+    return [f"{name};{volume};{n}" for n in each]
 
 
 @F.pandas_udf(ArrayType(StringType()))

@@ -14,8 +14,13 @@ def drawn(df: DataFrame, strata: list[str], quota: Column | int, key: str, seed:
     return df.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= quota).drop("_n")
 
 
-def by_score_and_clarity(df: DataFrame, per_bin: int, key: str, score: str = "score", ambiguous: str = "ambiguous", fill: bool = False, most: int = 80, seed: int = 42) -> DataFrame:
-    """Half of each score bin from clear rows and half from ambiguous ones; ``fill`` tops up."""
+def by_score_and_clarity(df: DataFrame, per_bin: int, key: str, score: str = "score", ambiguous: str = "ambiguous", fill: bool = False, most: int = 80, seed: int = 42, primary: str | None = None) -> DataFrame:
+    """Half of each score bin from clear rows and half from ambiguous ones; ``fill`` tops up.
+
+    ``primary``: a column that must say "yes", where there is one.
+    """
+    if primary:
+        df = df.filter(F.lower(F.trim(primary)) == "yes")
     rows = df.withColumns({"bin": score_bin(F.col(score), most), "group": ambiguous_group(F.col(ambiguous))}).filter(F.col("bin").isin(bin_labels(most)))
     quota = F.when(F.col("group") == "ambiguous_yes", per_bin // 2).otherwise(per_bin - per_bin // 2)
     picked = drawn(rows, ["bin", "group"], quota, key, seed)
@@ -53,12 +58,14 @@ def with_first_row(sample: DataFrame, rows: DataFrame, key: str, order: list[str
 
 
 def with_labels(df: DataFrame, labels: DataFrame, key: str, form: str, width: int = 4) -> DataFrame:
-    """The first label, by priority, of the same id whose form shares the first ``width`` letters.
+    """The first label, by priority, of the same id whose first ``width`` letters begin the form.
 
-    ``labels(key, label_form, label, priority)`` is a hand-made list; an equi join on id and prefix.
+    ``labels(key, label_form, label, priority)`` is a hand-made list, gathered to one row a key; a
+    shorter label form must begin the form whole.
     """
-    known = labels.withColumn("_p", F.left("label_form", F.lit(width))).groupBy(key, "_p").agg(F.min_by("label", "priority").alias("label"))
-    return df.withColumn("_p", F.left(form, F.lit(width))).join(known, [key, "_p"], "left").drop("_p")
+    known = labels.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("priority", F.left("label_form", F.lit(width)).alias("begins"), "label"))).alias("_known"))
+    first = F.get(F.filter("_known", lambda k: F.col(form).startswith(k["begins"])), F.lit(0))
+    return df.join(known, key, "left").withColumn("label", first["label"]).drop("_known")
 
 
 def confusion(df: DataFrame, predicted: Column, truth: Column) -> DataFrame:

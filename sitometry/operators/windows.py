@@ -94,7 +94,8 @@ def asked(w: DataFrame, client: Callable[[str, str], str] | None, retries: int =
                         break
                     except Exception as e:
                         error = str(e)
-                        time.sleep(pause * (2**k + random.random()) if pause else 0)
+                        if pause and k + 1 < retries:
+                            time.sleep(pause * (2**k + random.random()))
                 answers.append(answer)
                 errors.append(error)
             b["answer"], b["error"] = answers, errors

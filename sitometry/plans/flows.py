@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numbers import binned, in_drachmas, in_litres, inferred_year, log10, to_float, unit_price
-from ..functions.text import by_prefix, cleaned, normalized, place
+from ..functions.text import by_prefix, cleaned, collapsed, normalized, place
 from ..operators import harvest, linking
 from ..sources import epidoc
 from ..vocab import GREEK, Profile
@@ -18,12 +18,14 @@ def harvested(spark: SparkSession, texts: str, headers: str, profile: Profile =
     return harvest.ranked(harvest.with_metadata(harvest.candidates(blocks, profile), epidoc.metadata(epidoc.read_xml(spark, headers))))
 
 
-def extracted(blocks: DataFrame, profile: Profile = GREEK, **options) -> tuple[DataFrame, DataFrame]:
-    """Linked and rejected mentions of blocks that hold valued numbers and money or the price word."""
-    norm = normalized("value_text")
-    good = blocks.filter(F.size("num_values") > 0).withColumn("_n", norm)
-    good = good.filter(F.col("_n").rlike(profile.grain) & (F.col("_n").rlike(profile.money) | F.col("_n").rlike(profile.priceword))).drop("_n")
-    m = linking.mentions(linking.events(good, profile), profile)
+def extracted(blocks: DataFrame, profile: Profile = GREEK, need_unit: bool = False, **options) -> tuple[DataFrame, DataFrame]:
+    """Linked and rejected mentions of blocks with a valued number whose raw text speaks of a commodity
+    and of money or the price word, and if asked of a unit."""
+    good = blocks.filter(F.size("num_values") > 0).withColumn("_n", normalized(collapsed(F.col("raw"))))
+    good = good.filter(F.col("_n").rlike(profile.grain) & (F.col("_n").rlike(profile.money) | F.col("_n").rlike(profile.priceword)))
+    if need_unit:
+        good = good.filter(F.col("_n").rlike(profile.unit))
+    m = linking.mentions(linking.events(good.drop("_n"), profile), profile)
     return linking.linked(m, profile, **options), linking.rejected(m)
 
 
