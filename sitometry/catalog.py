@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions import numbers, text
 from .operators import analysis, harvest, linking, recall, sampling, windows
+from .plans import flows
 from .vocab import PROSE
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -240,30 +241,120 @@ def nearest_event_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_id", "near.price_id", F.col("near.dist").cast("int").alias("dist"))
 
 
-@_query()
+_RUN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+"
+# from blocks b(ddb_id, block_no, raw): words with their place in letters and tokens, mentions, and their class from a window
+_MENTIONS = rf"""n AS (SELECT * FROM (SELECT ddb_id, block_no, {_NORM.format('raw')} AS norm, string_split(trim(regexp_replace(raw, '\s+', ' ', 'g')), ' ') AS written FROM b) WHERE regexp_matches(norm, '{_EDGE}(erin|tion)')),
+r AS (SELECT *, unnest(regexp_extract_all(norm, '{_RUN}')) AS w, unnest(range(1, len(regexp_extract_all(norm, '{_RUN}')) + 1)) AS i FROM n),
+t AS (SELECT *, sum(length(w)) OVER k - length(w) AS start, (sum(length(w) - length(replace(w, ' ', ''))) OVER k)::INTEGER AS tok,
+  lead(w, 2) OVER k AS w2 FROM r WINDOW k AS (PARTITION BY ddb_id, block_no ORDER BY i)),
+o AS (SELECT ddb_id, block_no, list(tok) AS offices FROM t WHERE starts_with(w, 'anreth') GROUP BY ALL),
+m AS (SELECT t.*, string_split(norm, ' ') AS tk FROM t LEFT JOIN o USING (ddb_id, block_no)
+  WHERE regexp_matches(w, '^(erin|tion)') AND w <> 'tioned' AND NOT regexp_matches(w, '^(tionre|tionth|erinth)') AND len(list_filter(coalesce(offices, []), lambda x: abs(x - tok) <= 10)) = 0),
+z AS (SELECT *, greatest(length(array_to_string(tk[1:least(tok + 20, len(tk) - 1) + 1], ' ')) - start, start - CASE WHEN tok > 20 THEN length(array_to_string(tk[1:tok - 20], ' ')) + 1 ELSE 0 END, 100) AS radius FROM m),
+y AS (SELECT *, substr(norm, greatest(start - radius, 0)::BIGINT + 1, (start + length(w) + radius - greatest(start - radius, 0))::BIGINT) AS win FROM z),
+v AS (SELECT *, list_filter([CASE WHEN regexp_matches(win, '{_EDGE}(edth|edan)') THEN 'TAX' END, CASE WHEN regexp_matches(win, '{_EDGE}lyed') THEN 'LOAN' END], lambda x: x IS NOT NULL) AS neg,
+  CASE WHEN regexp_matches(win, 'of\s+th') THEN 0.7::DOUBLE WHEN regexp_matches(win, '{_EDGE}(hand|hare)') THEN 0.5::DOUBLE ELSE 0::DOUBLE END AS pos, regexp_matches(win, '{_EDGE}ouan') AS weak FROM y),
+u AS (SELECT *, CASE WHEN weak AND pos > 0 THEN greatest(0.1::DOUBLE, pos - 0.4::DOUBLE) ELSE pos END AS strength FROM v),
+c AS (SELECT *, CASE WHEN pos > 0 AND (len(neg) = 0 OR strength >= 0.6::DOUBLE) THEN 'PRICE' WHEN len(neg) > 0 THEN neg[1] ELSE 'OTHER' END AS context FROM u)"""
+_REFUSED = "context NOT IN ('PRICE', 'OTHER') AND strength < 0.3::DOUBLE"
+
+
+def _written(low: str, high: str, most: int) -> str:
+    return f"left(trim(array_to_string(written[greatest({low} - 8, 0) + 1:least({high} + 8, len(written) - 1) + 1], ' ')), {most})"
+
+
+_REJECTED = f"""SELECT ddb_id, block_no, w AS form, context, CASE WHEN pos > 0 THEN printf('weak_positive(%.1f)+', strength) ELSE 'no_positive+' END || 'negative(' || array_to_string(neg, ',') || ')' AS reason,
+  {_written('tok', 'tok', 500)} AS context_window FROM c WHERE {_REFUSED}"""
+
+# an order told in words of the PROSE vocabulary: each item's commodity, quantity and price, with the words that the links depend on
+_STATED = """SELECT l_orderkey AS ddb_id, 0 AS block_no, string_agg(words, ' ' ORDER BY l_linenumber, words) AS raw FROM (SELECT l_orderkey, l_linenumber, concat_ws(' ', CASE l_linestatus WHEN 'O' THEN 'Erina' ELSE 'tionu' END, CASE WHEN l_tax > 0.075 THEN 'edthas' END, CASE WHEN l_tax < 0.005 THEN 'lyeda' END,
+  CASE WHEN l_returnflag = 'R' THEN 'of thing' END, CASE WHEN l_partkey % 6 = 0 THEN 'hande' END, CASE WHEN l_partkey % 17 = 0 THEN 'ouanu' END, floor(l_quantity)::BIGINT::VARCHAR, CASE WHEN l_partkey % 4 < 3 THEN 'onthas' ELSE 'aut' END,
+  CASE WHEN l_linenumber % 2 = 1 THEN 'kal' END, CASE WHEN l_suppkey % 5 = 0 THEN 'rethos,' END, floor(l_extendedprice)::BIGINT::VARCHAR, CASE WHEN l_partkey % 9 > 0 THEN 'andron.' END, CASE WHEN l_partkey % 7 = 0 THEN 'thehena' END, CASE WHEN l_partkey % 97 = 0 THEN 'anrethas' END) AS words
+  FROM lineitem) GROUP BY l_orderkey"""
+
+
+def _stated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col
+    when = lambda test, word: F.when(test, F.lit(word))
+    whole = lambda name: F.floor(name).cast("long").cast("string")
+    words = F.concat_ws(
+        " ", F.when(c("l_linestatus") == "O", "Erina").otherwise("tionu"), when(c("l_tax") > 0.075, "edthas"), when(c("l_tax") < 0.005, "lyeda"), when(c("l_returnflag") == "R", "of thing"), when(c("l_partkey") % 6 == 0, "hande"),
+        when(c("l_partkey") % 17 == 0, "ouanu"), whole("l_quantity"), F.when(c("l_partkey") % 4 < 3, "onthas").otherwise("aut"), when(c("l_linenumber") % 2 == 1, "kal"), when(c("l_suppkey") % 5 == 0, "rethos,"), whole("l_extendedprice"),
+        when(c("l_partkey") % 9 > 0, "andron."), when(c("l_partkey") % 7 == 0, "thehena"), when(c("l_partkey") % 97 == 0, "anrethas"),
+    )
+    items = _table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", words.alias("words")).alias("item"))
+    told = F.array_join(F.transform(F.array_sort(F.collect_list("item")), lambda x: x["words"]), " ")
+    return items.groupBy(c("l_orderkey").alias("ddb_id")).agg(told.alias("raw")).withColumns({"block_no": F.lit(0), "value_text": c("raw"), "num_values": F.array(F.lit("1"))})
+
+
+_BETWEEN = "len(list_filter(tk[least({0}, {1}) + 2:greatest({0}, {1})], lambda x: regexp_matches(x, '^(reth|thwh)'))) > 0"
+
+
+@_query(f"""WITH b AS ({_STATED}), {_MENTIONS},
+e AS (SELECT ddb_id, block_no, tok, CASE WHEN regexp_matches(w, '^[0-9]') THEN 0 ELSE 1 END AS kind, CASE WHEN regexp_matches(w, '^[0-9]') THEN w ELSE w2 END AS value, CASE WHEN regexp_matches(w, '^[0-9]') THEN w2 ELSE w END AS unit
+  FROM t WHERE regexp_matches(w, '^[0-9]+$') AND regexp_matches(w2, '^(inge|onth|andr|thes)') OR regexp_matches(w2, '^[0-9]+$') AND regexp_matches(w, '^(inge|onth|andr|thes)')),
+q AS (SELECT * FROM e WHERE regexp_matches(unit, '^(inge|onth)')), p AS (SELECT * FROM e WHERE regexp_matches(unit, '^(andr|thes)')
+  AND NOT EXISTS (SELECT 1 FROM q WHERE q.ddb_id = e.ddb_id AND q.block_no = e.block_no AND q.value = e.value AND abs(q.tok - e.tok) <= 3)),
+a AS (SELECT c.*, p.tok AS p_tok, p.value AS price, p.unit AS currency, count(*) FILTER (abs(p.tok - c.tok) <= 20) OVER k AS competing FROM c JOIN p USING (ddb_id, block_no) WHERE NOT ({_REFUSED}) AND abs(p.tok - c.tok) <= 80
+  WINDOW k AS (PARTITION BY c.ddb_id, c.block_no, c.start) QUALIFY row_number() OVER (PARTITION BY c.ddb_id, c.block_no, c.start ORDER BY abs(p.tok - c.tok), p.kind, p.tok) = 1),
+f AS (SELECT a.*, q.tok AS any_tok, q.value AS any_value FROM a LEFT JOIN q ON q.ddb_id = a.ddb_id AND q.block_no = a.block_no AND abs(q.tok - a.tok) <= 80
+  QUALIFY row_number() OVER (PARTITION BY a.ddb_id, a.block_no, a.start ORDER BY abs(q.tok - a.tok), q.kind, q.tok) = 1),
+h AS (SELECT *, CASE WHEN NOT ({_BETWEEN.format('tok', 'any_tok')}) THEN any_tok END AS q_tok, CASE WHEN NOT ({_BETWEEN.format('tok', 'any_tok')}) THEN any_value END AS qty, {_BETWEEN.format('tok', 'p_tok')} AS boundary FROM f),
+j AS (SELECT *, least(tok, p_tok, coalesce(q_tok, tok)) AS low, greatest(tok, p_tok, coalesce(q_tok, tok)) AS high,
+  30.0::DOUBLE * exp(-abs(p_tok - tok) / 12.0::DOUBLE) + 10.0::DOUBLE * CASE WHEN q_tok IS NULL THEN 0.3::DOUBLE ELSE exp(-abs(q_tok - tok) / 20.0::DOUBLE) END + 30.0::DOUBLE * strength AS base,
+  greatest(0.5::DOUBLE, 1.0::DOUBLE - CASE WHEN regexp_matches(norm, '{_EDGE}(inge|onth)') THEN 0.0::DOUBLE ELSE 0.15::DOUBLE END - CASE WHEN boundary THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END) * greatest(0.7::DOUBLE, 1.0::DOUBLE - 0.05::DOUBLE * greatest(0, competing - 1)) AS part FROM h),
+x AS (SELECT ddb_id, block_no, list(tok) AS spoken FROM t WHERE regexp_matches(w, 'thehe|ingre') GROUP BY ALL)
+SELECT ddb_id, start::INTEGER AS start, w AS form, context, price, currency, qty, abs(p_tok - tok)::INTEGER AS dist_gp, coalesce(abs(q_tok - tok), -1)::INTEGER AS dist_gq, competing::INTEGER AS competing, boundary, (high - low)::INTEGER AS span_toks,
+  len(list_filter(coalesce(spoken, []), lambda x: abs(x - p_tok) <= 8)) > 0 AS priceword_near, round(least(greatest(CASE WHEN strength < 0.1::DOUBLE THEN least(base * part, 40) ELSE base * part END, 0), 100), 6) AS score, {_written('low', 'high', 2000)} AS context_window
+FROM j LEFT JOIN x USING (ddb_id, block_no)""")
 def linked_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = harvest.text_blocks(harvest.sieved(_table(spark, sf_dir, "documents"), "text", PROSE), "doc_id", "text")
-    m = linking.mentions(linking.events(blocks, PROSE), PROSE)
-    return linking.linked(m, PROSE, least=0.0).select("ddb_id", "block_no", "grain.form", "price.value", "score")
+    linked, _ = flows.extracted(_stated(spark, sf_dir), PROSE, least=0.0)
+    names = ["dist_gp", "dist_gq", "competing", "boundary", "span_toks", "priceword_near"]
+    return linked.select("ddb_id", "grain.start", "grain.form", "class.context", F.col("price.value").alias("price"), F.col("price.unit").alias("currency"), F.col("qty.value").alias("qty"), *names, F.round("score", 6).alias("score"), "context_window")
+
+
+@_query(f"WITH b AS (SELECT * FROM ({_STATED}) WHERE regexp_matches(lower(raw), '{_EDGE}(andr|thes)|thehe|ingre')), {_MENTIONS} {_REJECTED}")
+def rejected_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, refused = flows.extracted(_stated(spark, sf_dir), PROSE)
+    return refused.select("ddb_id", "block_no", "grain.form", "class.context", "class.reason", "context_window")
 
 
-@_query()
+@_query(f"WITH b AS (SELECT doc_id AS ddb_id, block_no::INTEGER AS block_no, raw FROM ({_LINES})), {_MENTIONS} {_REJECTED}")
 def rejected_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = harvest.text_blocks(harvest.sieved(_table(spark, sf_dir, "documents"), "text", PROSE), "doc_id", "text")
     m = linking.mentions(linking.events(blocks, PROSE), PROSE)
     return linking.rejected(m).select("ddb_id", "block_no", "grain.form", "class.context", "class.reason", "context_window")
 
 
-@_query()
+_CUES = f"regexp_matches(cut, '{_EDGE}(andr|thes)') AS has_money, regexp_matches(cut, '{_EDGE}(inge|onth)') AS has_unit, regexp_matches(window_text, '[0-9]') AS has_number, regexp_matches(cut, 'thehe|ingre') AS has_priceword"
+
+
+@_query(f"""WITH n AS (SELECT doc_id AS ddb_id, text, {_NORM.format('text')} AS norm FROM documents),
+r AS (SELECT ddb_id, unnest(regexp_extract_all(norm, '{_RUN}')) AS w, unnest(range(1, len(regexp_extract_all(norm, '{_RUN}')) + 1)) AS i FROM n),
+t AS (SELECT ddb_id, w, (sum(length(w)) OVER (PARTITION BY ddb_id ORDER BY i) - length(w))::BIGINT AS start FROM r),
+f AS (SELECT * FROM t WHERE regexp_matches(w, '^(erin|tion)') QUALIFY row_number() OVER (PARTITION BY ddb_id, start // 50 ORDER BY start) = 1),
+c AS (SELECT ddb_id, w, start, trim(substr(text, greatest(start - 100, 0) + 1, start + length(w) + 100 - greatest(start - 100, 0))) AS window_text, substr(norm, greatest(start - 100, 0) + 1, start + length(w) + 100 - greatest(start - 100, 0)) AS cut FROM f JOIN n USING (ddb_id)),
+k AS (SELECT *, count(*) OVER (PARTITION BY ddb_id) > 20 AS many FROM (SELECT *, {_CUES} FROM c) WHERE has_number),
+o AS (SELECT *, row_number() OVER (PARTITION BY ddb_id ORDER BY many AND has_money DESC, many AND has_priceword DESC, many AND has_unit DESC, start) - 1 AS place FROM k)
+SELECT ddb_id, w AS grain_form, start::INTEGER AS char_offset, window_text, has_money, has_unit, has_number, has_priceword, place::INTEGER AS grain_index, NULL::VARCHAR AS error, NULL::BOOLEAN AS is_price FROM o WHERE place < 20""")
 def topk_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ddb_id"), "text")
-    return windows.judged(windows.asked(windows.top_windows(windows.windows(docs, PROSE)), None))
+    out = windows.judged(windows.asked(windows.top_windows(windows.windows(docs, PROSE)), None))
+    return out.select("ddb_id", "grain_form", "char_offset", "window_text", "has_money", "has_unit", "has_number", "has_priceword", "grain_index", "error", "is_price")
 
 
-@_query()
+_DRAW = "md5('42:' || o_orderkey), o_orderkey"
+
+
+@_query(f"""WITH r AS (SELECT o_orderkey, o_totalprice / 5000 AS score, CASE WHEN o_orderstatus = 'P' THEN 'yes' ELSE 'no' END AS ambiguous, CASE WHEN o_orderstatus = 'P' THEN 'ambiguous_yes' ELSE 'ambiguous_no' END AS "group" FROM orders),
+b AS (SELECT *, CASE WHEN score <= 10 THEN '00-10' ELSE printf('%02d-%02d', ((trunc(score)::BIGINT - 1) // 10 * 10 + 1)::INTEGER, ((trunc(score)::BIGINT - 1) // 10 * 10 + 10)::INTEGER) END AS bin FROM r WHERE score BETWEEN 0 AND 80),
+k AS (SELECT * FROM b WHERE bin <> '01-10'), p AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY bin, "group" ORDER BY {_DRAW}) <= 10),
+g AS (SELECT bin, count(*) AS got FROM p GROUP BY bin), f AS (SELECT k.*, coalesce(got, 0) AS got FROM k LEFT JOIN g USING (bin) WHERE o_orderkey NOT IN (SELECT o_orderkey FROM p)),
+s AS (SELECT * FROM p UNION ALL SELECT * EXCLUDE (got) FROM f QUALIFY row_number() OVER (PARTITION BY bin ORDER BY {_DRAW}) <= 20 - got)
+SELECT o_orderkey, round(score, 6) AS score, ambiguous, bin, "group" FROM s""")
 def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_totalprice") / 5000).alias("score"), F.when(F.col("o_orderstatus") == "P", "yes").otherwise("no").alias("ambiguous"))
-    return sampling.by_score_and_clarity(rows, 20, "o_orderkey", fill=True)
+    return sampling.by_score_and_clarity(rows, 20, "o_orderkey", fill=True).withColumn("score", F.round("score", 6))
 
 
 @_query("SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'B' ELSE 'A' END AS stratum FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id")
@@ -344,11 +435,18 @@ def extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analysis.extremes(_table(spark, sf_dir, "events"), "value", 25, ["event_id"]).select("event_id", "user_id", "value")
 
 
-@_query()
+_BARE = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<script\b.*?</script>', ' ', 'gis'), '<style\b.*?</style>', ' ', 'gis'), '</?(p|div|li|h[1-6]|tr|br|ul|ol|table|section|article|title|body|head)\b[^>]*>', chr(10), 'gis'), '<[^>]+>', '', 'gs')"
+_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+for _name, _sign in _ENTITIES:
+    _BARE = f"replace({_BARE}, '{_name}', chr({ord(_sign)}))"
+
+
+@_query(rf"""WITH p AS (SELECT page_id, string_split({_BARE}, chr(10)) AS lines FROM pages), l AS (SELECT page_id, unnest(lines) AS raw, unnest(range(len(lines))) AS block_no FROM p)
+SELECT page_id, block_no::INTEGER AS block_no, trim(regexp_replace(raw, '\s+', ' ', 'g')) AS raw FROM l WHERE trim(raw) <> ''""")
 def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text blocks of web pages: tags off, entities of the common kind read, one row a block."""
     html = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1>", " "), r"(?is)</?(p|div|li|h[1-6]|tr|br|ul|ol|table|section|article|title|body|head)\b[^>]*>", "\n")
     bare = F.regexp_replace(html, r"(?s)<[^>]+>", "")
-    for name, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+    for name, sign in _ENTITIES:
         bare = F.replace(bare, F.lit(name), F.lit(sign))
     return harvest.text_blocks(_table(spark, sf_dir, "pages").withColumn("bare", bare), "page_id", "bare").select(F.col("ddb_id").alias("page_id"), "block_no", text.collapsed(F.col("raw")).alias("raw"))

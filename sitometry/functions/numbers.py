@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -10,6 +11,12 @@ from pyspark.sql import functions as F
 from ..vocab import DRACHMA, LITRE
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it (also for each element
+    of an array, where a plain expression would be computed again)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def to_num(c: Column) -> Column:
     """A double, or NULL where the text is not a number."""
     return F.nanvl(c.try_cast("double"), F.lit(None).cast("double"))
@@ -24,7 +31,7 @@ def to_float(c: Column) -> Column:
 
 def shown(v: Column) -> Column:
     """A value with at most six decimals and no trailing zeros."""
-    return F.when(v == F.floor(v), F.format_string("%d", v.cast("long"))).otherwise(F.regexp_replace(F.format_string("%.6f", v), r"\.?0+$", ""))
+    return bound(v, lambda x: F.when(x == F.floor(x), F.format_string("%d", x.cast("long"))).otherwise(F.regexp_replace(F.format_string("%.6f", x), r"\.?0+$", "")))
 
 
 def int_and_fractions(whole: Column, fractions: Column) -> Column:

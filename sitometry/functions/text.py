@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..vocab import Profile
-from .numbers import first_true
+from .numbers import bound, first_true
 
 
 @F.pandas_udf(StringType())
@@ -47,23 +47,21 @@ def matches(text: Column, pattern: str, groups: int = 0) -> Column:
 
     The text is split at the matches; a match starts after all earlier pieces and matches.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), 0)
-    between = F.split(text, pattern, -1)
-    wholes = [F.regexp_extract_all(text, F.lit(pattern), k) for k in range(1, groups + 1)]
+    parts = [F.regexp_extract_all(text, F.lit(pattern), k).alias(f"w{k}") for k in range(groups + 1)]
 
-    def step(acc: Column, i: Column) -> Column:
-        start = acc["end"] + F.length(F.get(between, i))
-        return F.struct((start + F.length(F.get(found, i))).alias("end"), F.concat(acc["starts"], F.array(start)).alias("starts"))
+    def all_of(p: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            start = acc["end"] + F.length(F.get(p["between"], i))
+            return F.struct((start + F.length(F.get(p["w0"], i))).alias("end"), F.concat(acc["starts"], F.array(start)).alias("starts"))
 
-    none = F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("starts"))
+        def made(start: Column, i: Column) -> Column:
+            return F.struct(F.get(p["w0"], i).alias("found"), start.alias("start"), *[F.get(p[f"w{k}"], i).alias(f"g{k}") for k in range(1, groups + 1)])
 
-    def made(start: Column, i: Column) -> Column:
-        parts = [F.get(w, i).alias(f"g{k}") for k, w in enumerate(wholes, 1)]
-        return F.struct(F.get(found, i).alias("found"), start.alias("start"), *parts)
+        none = F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("starts"))
+        starts = F.aggregate(F.sequence(F.lit(0), F.size(p["w0"]) - 1), none, step, lambda acc: acc["starts"])
+        return F.when(F.size(p["w0"]) > 0, F.transform(starts, made)).otherwise(F.array())
 
-    count = F.size(found)
-    starts = F.aggregate(F.sequence(F.lit(0), count - 1), none, step, lambda acc: acc["starts"])
-    return F.when(count > 0, F.transform(starts, made)).otherwise(F.array())
+    return bound(F.struct(F.split(text, pattern, -1).alias("between"), *parts), all_of)
 
 
 def token_at(text: Column, start: Column) -> Column:

@@ -10,7 +10,7 @@ from ..functions.numbers import ambiguous_group, bin_labels, score_bin
 
 def drawn(df: DataFrame, strata: list[str], quota: Column | int, key: str, seed: int = 42) -> DataFrame:
     """The first ``quota`` rows of each stratum by a seeded hash of the key: the same on every run."""
-    order = Window.partitionBy(*strata).orderBy(F.xxhash64(F.lit(seed), key), key)
+    order = Window.partitionBy(*strata).orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key)
     return df.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= quota).drop("_n")
 
 
