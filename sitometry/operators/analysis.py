@@ -49,20 +49,53 @@ def year_range(df: DataFrame, year: str, first: float | None = None, last: float
     return df.filter(F.col(year) <= last) if last is not None else df
 
 
+#: How far in rank the bounds of a quantile lie from it, the precision of these bounds, and up to how many
+#: values a group's least and greatest value serve instead.
+MARGIN, PRECISION, FEW = 0.003, 10_000, 1000
+
+
+def quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float]) -> DataFrame:
+    """``keys, n, _q``: exact, interpolated quantiles of each group; ``n`` counts its values.
+
+    A sketch of bounded size gives two bounds around each quantile. What lies below is only counted, and
+    of the few values between the bounds each distinct one with its count is sorted, so no task holds
+    a group's values. Nulls are left out; a group without values has no row.
+    """
+    x = df.select(*[F.col(k).alias(f"_k{j}") for j, k in enumerate(keys)], F.col(value).cast("double").alias("_x")).filter("_x is not null")
+    names = [f"_k{j}" for j in range(len(keys))]
+    ends = [f(p) for p in probs for f in (lambda p: max(p - MARGIN, 0.0), lambda p: min(p + MARGIN, 1.0))]
+    near = x.groupBy(*names).agg(F.count(F.lit(1)).alias("n"), F.min("_x").alias("_least"), F.max("_x").alias("_most"), F.percentile_approx("_x", ends, PRECISION).alias("_ends"))
+    few = F.col("n") < FEW
+    bounds = [F.struct(F.lit(j).alias("j"), F.lit(p).alias("p"), F.when(few, F.col("_least")).otherwise(F.col("_ends")[2 * j]).alias("low"), F.when(few, F.col("_most")).otherwise(F.col("_ends")[2 * j + 1]).alias("high")) for j, p in enumerate(probs)]
+    near = near.select(*names, "n", F.array(*bounds).alias("_bounds"))
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in names]
+    # without keys the bounds are one row
+    both = x.alias("l").join(near.alias("r") if names else F.broadcast(near.alias("r")), same or None).select("l.*", "n", F.explode(F.filter("_bounds", lambda b: F.col("_x") <= b["high"])).alias("b"))
+    between = F.when(F.col("_x") >= F.col("b.low"), F.col("_x"))
+    counted = both.groupBy(*names, "n", F.col("b.j").alias("j"), F.col("b.p").alias("p"), between.alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    so_far = Window.partitionBy(*names, "j").orderBy(F.asc_nulls_first("v")).rowsBetween(Window.unboundedPreceding, 0)
+    at = F.col("p") * (F.col("n") - 1)
+    placed = counted.withColumns({"upto": F.sum("c").over(so_far), "at": at})
+    hit = lambda f: F.min(F.when(F.col("upto") > f("at"), F.col("v")))
+    each = placed.groupBy(*names, "n", "j", "at").agg(hit(F.floor).alias("a"), hit(F.ceil).alias("b"))
+    v = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise((F.ceil("at") - F.col("at")) * F.col("a") + (F.col("at") - F.floor("at")) * F.col("b"))
+    out = each.groupBy(*names, "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", v.alias("v")))), lambda s: s["v"]).alias("_q"))
+    return out.select(*[F.col(n).alias(k) for n, k in zip(names, keys)], "n", "_q")
+
+
 def _group_medians(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Each row with its group's median and median absolute deviation, by two small joins.
 
-    Medians come from aggregates, which combine equal values before they shuffle, so a group of
-    any size passes through; the rows themselves are not gathered by key.
+    The rows themselves are not gathered by key.
     """
     same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
 
     def joined(left: DataFrame, right: DataFrame, name: str) -> DataFrame:
-        return left.alias("l").join(right.alias("r"), same).select("l.*", f"r.{name}")
+        return left.alias("l").join(right.alias("r"), same, "left").select("l.*", f"r.{name}")
 
-    med = df.groupBy(*keys).agg(F.percentile(value, F.lit(0.5)).alias("_med"))
+    med = quantiles(df, keys, value, [0.5]).withColumn("_med", F.col("_q")[0])
     with_med = joined(df, med, "_med").withColumn("_dev", F.abs(F.col(value) - F.col("_med")))
-    mad = with_med.groupBy(*keys).agg(F.percentile("_dev", F.lit(0.5)).alias("_mad"))
+    mad = quantiles(with_med, keys, "_dev", [0.5]).withColumn("_mad", F.col("_q")[0])
     return joined(with_med, mad, "_mad")
 
 
@@ -82,8 +115,7 @@ def rolling_median(df: DataFrame, value: str, order: str, width: int, keys: list
 def trend(df: DataFrame, value: str, bin_col: str, keys: list[str] = [], width: int = 3) -> DataFrame:  # noqa: B006
     """Count, quartiles and smoothed median of each bin, by group. The windows run over bins."""
     good = df.filter(F.col(value).isNotNull() & F.col(bin_col).isNotNull())
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = good.groupBy(*keys, bin_col).agg(F.count(value).alias("n"), q.alias("_q"))
+    out = quantiles(good, [*keys, bin_col], value, [0.25, 0.5, 0.75])
     out = out.select(*keys, bin_col, "n", F.col("_q")[1].alias("median"), F.col("_q")[0].alias("q25"), F.col("_q")[2].alias("q75"))
     return out.withColumn("smooth", rolling_median(out, "median", bin_col, width, keys))
 
@@ -106,9 +138,9 @@ def robust_summary(df: DataFrame, keys: list[str], value: str, mad_z: float = 3.
     z = 0.6745 * F.abs(F.col("_v") - F.col("_med")) / F.nullif(F.col("_mad"), F.lit(0.0))
     kept = _group_medians(logs, keys, "_v").filter(F.coalesce(z <= mad_z, F.lit(True)))
     if winsor > 0:
-        edge = kept.groupBy(*keys).agg(F.percentile("_v", F.array(F.lit(winsor), F.lit(1 - winsor))).alias("_e"))
+        edge = quantiles(kept, keys, "_v", [winsor, 1 - winsor]).select(*keys, F.col("_q").alias("_e"))
         kept = kept.join(edge, keys).withColumn("_v", F.least(F.greatest("_v", F.col("_e")[0]), F.col("_e")[1]))
-    q = kept.groupBy(*keys).agg(F.count("_v").alias("n"), F.percentile("_v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
+    q = quantiles(kept, keys, "_v", [0.25, 0.5, 0.75])
     ten = lambda k: F.pow(F.lit(10.0), F.col("_q")[k])
     return q.filter(F.col("n") >= least).select(*keys, "n", ten(1).alias("median"), ten(0).alias("q25"), ten(2).alias("q75"))
 
@@ -130,7 +162,7 @@ def histogram(df: DataFrame, column: str, bins: int, logarithmic: bool = False,
     v = df.select(F.col(column).cast("double").alias("v")).filter("v is not null")
     if logarithmic:
         v = v.filter("v > 0")
-        cut = v.agg(F.percentile("v", F.lit(quantile)).alias("cut"))
+        cut = quantiles(v, [], "v", [quantile]).select(F.col("_q")[0].alias("cut"))
         v = v.join(F.broadcast(cut)).select(F.log10(F.least("v", "cut")).alias("v"))
     ends = v.agg(F.min("v").alias("low"), F.max("v").alias("high"))
     placed = v.join(F.broadcast(ends)).withColumn("bin", F.when(F.col("high") == F.col("low"), F.lit(0)).otherwise(F.least(F.floor((F.col("v") - F.col("low")) / ((F.col("high") - F.col("low")) / bins)), F.lit(bins - 1))).cast("int"))
@@ -154,8 +186,9 @@ def review_queue(df: DataFrame, n: int, tie: list[str], low_score: float = 25.0)
     """
     no = lambda c: F.coalesce(c, F.lit(False))
     c = F.col
-    cut = df.agg(F.percentile("price", F.lit(0.99)).alias("_cut"))
-    rows = df.join(F.broadcast(cut))
+    cut = quantiles(df, [], "price", [0.99]).select(F.col("_q")[0].alias("_cut"))
+    # one row, or none where there is no price
+    rows = df.join(F.broadcast(cut), how="left")
     bad_qty = c("qty").isNull() | (c("qty") <= 0)
     neg = F.coalesce(c("neg_signals"), F.lit("")) != ""
     # The reasons as they are shown, in their order, and their weights
