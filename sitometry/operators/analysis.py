@@ -42,6 +42,13 @@ def main_dataset(df: DataFrame, score: str, least: float, context: str | None =
     return df.filter(F.upper(context) == "PRICE") if context else df
 
 
+def only(df: DataFrame, **wanted: str) -> DataFrame:
+    """Rows whose columns have the given values, such as one commodity in one unit and currency."""
+    for column, v in wanted.items():
+        df = df.filter(F.col(column) == v)
+    return df
+
+
 def year_range(df: DataFrame, year: str, first: float | None = None, last: float | None = None) -> DataFrame:
     """Rows without a year go only where a bound is given."""
     if first is not None:

@@ -139,6 +139,14 @@ def linked(m: DataFrame, profile: Profile, window: int = 80, least: float = 25.0
     return k.withColumns({"candidate_rank": F.lit(1), "is_primary": F.lit("yes"), "ambiguous": F.lit("no")})
 
 
+def block_hits(blocks: DataFrame, profile: Profile) -> DataFrame:
+    """The distinct matches in each block's raw text, sorted: ``grain_hits, unit_hits, money_hits``."""
+    norm = F.col("_norm")
+    hits = lambda p: F.array_sort(F.array_distinct(F.regexp_extract_all(norm, F.lit(p), 0)))
+    found = blocks.withColumn("_norm", normalized(collapsed(F.col("raw"))))
+    return found.withColumns({"grain_hits": hits(profile.grain), "unit_hits": hits(profile.unit), "money_hits": hits(profile.money)}).drop("_norm")
+
+
 def distinct_values(blocks: DataFrame, column: str) -> DataFrame:
     """The distinct amounts of a block in the order first seen."""
     return blocks.withColumn(f"{column}_seen", F.array_distinct(F.transform(column, lambda e: F.concat_ws(" ", e["value"], e["unit"]))))

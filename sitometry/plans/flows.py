@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import binned, in_drachmas, in_litres, inferred_year, log10, to_float, unit_price
 from ..functions.text import by_prefix, cleaned, collapsed, normalized, place
-from ..operators import harvest, linking
+from ..operators import analysis, harvest, linking
 from ..sources import epidoc
 from ..vocab import GREEK, Profile
 
@@ -18,6 +18,14 @@ def harvested(spark: SparkSession, texts: str, headers: str, profile: Profile =
     return harvest.ranked(harvest.with_metadata(harvest.candidates(blocks, profile), epidoc.metadata(epidoc.read_xml(spark, headers))))
 
 
+#: The commodity, unit and currency of the main price series.
+MAIN_SERIES = {"grain": "wheat (pyros)", "unit": "artaba", "currency": "drachma"}
+
+
+def main_series(cleaned: DataFrame) -> DataFrame:
+    return analysis.only(cleaned, **MAIN_SERIES)
+
+
 def extracted(blocks: DataFrame, profile: Profile = GREEK, need_unit: bool = False, **options) -> tuple[DataFrame, DataFrame]:
     """Linked and rejected mentions of blocks with a valued number whose raw text speaks of a commodity
     and of money or the price word, and if asked of a unit."""

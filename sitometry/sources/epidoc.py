@@ -20,6 +20,15 @@ def read_xml(spark: SparkSession, root: str) -> DataFrame:
     return files.select(F.replace("path", F.lit("\\"), F.lit("/")).alias("path"), F.decode("content", "UTF-8").alias("xml"))
 
 
+def of_candidates(candidates: DataFrame, files: DataFrame, root: str, rel_path: str = "rel_path") -> DataFrame:
+    """The candidates with the ``path, xml`` of the file at their path below ``root``; both are NULL
+    where there is no file, which ``parsed`` reports as not ok."""
+    below = F.regexp_replace("path", "^[a-z]+:/*(?=/)", "")
+    start = "/" + root.split(":", 1)[-1].strip("/") + "/"
+    known = files.select(F.when(below.startswith(start), F.substring(below, len(start) + 1, 1 << 30)).alias("_rel"), "path", "xml")
+    return candidates.drop("path", "xml").join(known, F.replace(rel_path, F.lit("\\"), F.lit("/")) == F.col("_rel"), "left").drop("_rel")
+
+
 HEADER = ("ddb_id", "title", "place", "date_text", "date_when", "date_notbefore", "date_notafter")
 
 
