@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, imatch, jaccard, langid, licenses, packing, pii, quality, sharding
+from . import ann, bpe, imatch, jaccard, langid, lexical, licenses, packing, pii, quality, sharding
 from .common import table
 
 
@@ -62,6 +62,10 @@ def op10_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", *counts, F.sha2(listed("base").cast("binary"), 256).alias("base_sha256"), listed("spans").alias("spans"), added)
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(lexical.postings(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
 def _of(kind: str) -> Callable:
     return lambda s: s["kind"] == kind
 
@@ -69,9 +73,9 @@ def _of(kind: str) -> Callable:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_ngram_jaccard_join, op2_adaptive_scan_ann, op3_byte_cnn_language, op4_quality_scores, op5_bpe_round_trip, op6_license_scan, op7_hypergeometric_shards, op8_imatch, op9_packing, op10_skip_chain_pii)
+        for f in (op1_ngram_jaccard_join, op2_adaptive_scan_ann, op3_byte_cnn_language, op4_quality_scores, op5_bpe_round_trip, op6_license_scan, op7_hypergeometric_shards, op8_imatch, op9_packing, op10_skip_chain_pii, op13_ranked_search)
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_license_scan": licenses.sql()}
+    return {"op6_license_scan": licenses.sql(), "op13_ranked_search": lexical.sql()}
