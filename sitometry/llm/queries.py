@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, imatch, jaccard, langid, lexical, licenses, mining, packing, pii, quality, sharding
+from . import ann, bpe, imatch, jaccard, langid, lexical, licenses, mining, packing, pii, quality, sharding, superkmer
 from .common import table
 
 
@@ -62,6 +62,11 @@ def op10_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", *counts, F.sha2(listed("base").cast("binary"), 256).alias("base_sha256"), listed("spans").alias("spans"), added)
 
 
+def op11_super_kmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = superkmer.deduplicated(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -79,9 +84,9 @@ def _of(kind: str) -> Callable:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_ngram_jaccard_join, op2_adaptive_scan_ann, op3_byte_cnn_language, op4_quality_scores, op5_bpe_round_trip, op6_license_scan, op7_hypergeometric_shards, op8_imatch, op9_packing, op10_skip_chain_pii, op12_hard_negatives, op13_ranked_search)
+        for f in (op1_ngram_jaccard_join, op2_adaptive_scan_ann, op3_byte_cnn_language, op4_quality_scores, op5_bpe_round_trip, op6_license_scan, op7_hypergeometric_shards, op8_imatch, op9_packing, op10_skip_chain_pii, op11_super_kmer_dedup, op12_hard_negatives, op13_ranked_search)
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_license_scan": licenses.sql(), "op12_hard_negatives": mining.sql(), "op13_ranked_search": lexical.sql()}
+    return {"op6_license_scan": licenses.sql(), "op11_super_kmer_dedup": superkmer.sql(), "op12_hard_negatives": mining.sql(), "op13_ranked_search": lexical.sql()}
