@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import numbers, text
-from .operators import analysis, harvest, linking, recall, sampling, windows
+from .operators import analysis, harvest, linking, nearest, recall, sampling, windows
 from .plans import flows
 from .vocab import PROSE
 
@@ -230,15 +230,11 @@ p AS (SELECT a.event_id, b.event_id AS price_id, abs(a.pos - b.pos) AS dist, row
   FROM e a JOIN e b ON a.user_id = b.user_id AND abs(a.pos - b.pos) <= 80 AND a.event_type = 'view' AND b.event_type = 'purchase')
 SELECT event_id, price_id, dist::INTEGER AS dist FROM p WHERE k = 1""")
 def nearest_event_link(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nearest by position: the last purchase before, from either end, by two running windows."""
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = _table(spark, sf_dir, "events").withColumn("pos", F.row_number().over(order))
-    hit = F.when(F.col("event_type") == "purchase", F.struct("pos", "event_id"))
-    by_pos = Window.partitionBy("user_id").orderBy("pos")
-    e = e.withColumns({"before": F.last(hit, True).over(by_pos.rowsBetween(Window.unboundedPreceding, -1)), "after": F.last(hit, True).over(Window.partitionBy("user_id").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1))})
-    near = F.array_min(F.array_compact(F.transform(F.array("before", "after"), lambda s: F.when(s.isNotNull(), F.struct(F.abs(s["pos"] - F.col("pos")).alias("dist"), s["event_id"].alias("price_id"))))))
-    out = e.filter("event_type = 'view'").withColumn("near", near).filter("near.dist <= 80")
-    return out.select("event_id", "near.price_id", F.col("near.dist").cast("int").alias("dist"))
+    e = _table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", F.row_number().over(order).alias("pos"))
+    side = lambda kind: e.filter(F.col("event_type") == kind).drop("event_type")
+    out = nearest.nearest(side("view"), side("purchase"), ["user_id"], 80, "pos", "event_id").filter("distance is not null")
+    return out.select("event_id", F.col("event.event_id").alias("price_id"), F.col("distance").cast("int").alias("dist"))
 
 
 _RUN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+"
