@@ -283,14 +283,14 @@ def _stated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.groupBy(c("l_orderkey").alias("ddb_id")).agg(told.alias("raw")).withColumns({"block_no": F.lit(0), "value_text": c("raw"), "num_values": F.array(F.lit("1"))})
 
 
+_EVENTS = """e AS (SELECT ddb_id, block_no, tok, CASE WHEN regexp_matches(w, '^[0-9]') THEN 0 ELSE 1 END AS kind, CASE WHEN regexp_matches(w, '^[0-9]') THEN w ELSE w2 END AS value, CASE WHEN regexp_matches(w, '^[0-9]') THEN w2 ELSE w END AS unit
+  FROM t WHERE regexp_matches(w, '^[0-9]+$') AND regexp_matches(w2, '^(inge|onth|andr|thes)') OR regexp_matches(w2, '^[0-9]+$') AND regexp_matches(w, '^(inge|onth|andr|thes)')),
+q AS (SELECT * FROM e WHERE regexp_matches(unit, '^(inge|onth)')), p AS (SELECT * FROM e WHERE regexp_matches(unit, '^(andr|thes)')
+  AND NOT EXISTS (SELECT 1 FROM q WHERE q.ddb_id = e.ddb_id AND q.block_no = e.block_no AND q.value = e.value AND abs(q.tok - e.tok) <= 3))"""
 _BETWEEN = "len(list_filter(tk[least({0}, {1}) + 2:greatest({0}, {1})], lambda x: regexp_matches(x, '^(reth|thwh)'))) > 0"
 
 
-@_query(f"""WITH b AS ({_STATED}), {_MENTIONS},
-e AS (SELECT ddb_id, block_no, tok, CASE WHEN regexp_matches(w, '^[0-9]') THEN 0 ELSE 1 END AS kind, CASE WHEN regexp_matches(w, '^[0-9]') THEN w ELSE w2 END AS value, CASE WHEN regexp_matches(w, '^[0-9]') THEN w2 ELSE w END AS unit
-  FROM t WHERE regexp_matches(w, '^[0-9]+$') AND regexp_matches(w2, '^(inge|onth|andr|thes)') OR regexp_matches(w2, '^[0-9]+$') AND regexp_matches(w, '^(inge|onth|andr|thes)')),
-q AS (SELECT * FROM e WHERE regexp_matches(unit, '^(inge|onth)')), p AS (SELECT * FROM e WHERE regexp_matches(unit, '^(andr|thes)')
-  AND NOT EXISTS (SELECT 1 FROM q WHERE q.ddb_id = e.ddb_id AND q.block_no = e.block_no AND q.value = e.value AND abs(q.tok - e.tok) <= 3)),
+@_query(f"""WITH b AS ({_STATED}), {_MENTIONS}, {_EVENTS},
 a AS (SELECT c.*, p.tok AS p_tok, p.value AS price, p.unit AS currency, count(*) FILTER (abs(p.tok - c.tok) <= 20) OVER k AS competing FROM c JOIN p USING (ddb_id, block_no) WHERE NOT ({_REFUSED}) AND abs(p.tok - c.tok) <= 80
   WINDOW k AS (PARTITION BY c.ddb_id, c.block_no, c.start) QUALIFY row_number() OVER (PARTITION BY c.ddb_id, c.block_no, c.start ORDER BY abs(p.tok - c.tok), p.kind, p.tok) = 1),
 f AS (SELECT a.*, q.tok AS any_tok, q.value AS any_value FROM a LEFT JOIN q ON q.ddb_id = a.ddb_id AND q.block_no = a.block_no AND abs(q.tok - a.tok) <= 80
@@ -309,6 +309,35 @@ def linked_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked.select("ddb_id", "grain.start", "grain.form", "class.context", F.col("price.value").alias("price"), F.col("price.unit").alias("currency"), F.col("qty.value").alias("qty"), *names, F.round("score", 6).alias("score"), "context_window")
 
 
+# every price near a mention is a candidate; the blocks' candidates are gone through one by one, from the best down
+_CANDIDATES = f"""WITH RECURSIVE b AS ({_STATED}), {_MENTIONS}, {_EVENTS},
+g AS (SELECT *, row_number() OVER (PARTITION BY ddb_id, block_no ORDER BY start)::INTEGER AS gi FROM c),
+f AS (SELECT g.*, q.tok AS any_tok, q.value || ' ' || q.unit AS any_qty FROM g LEFT JOIN q ON q.ddb_id = g.ddb_id AND q.block_no = g.block_no AND abs(q.tok - g.tok) <= 80 WHERE NOT ({_REFUSED})
+  QUALIFY row_number() OVER (PARTITION BY g.ddb_id, g.block_no, gi ORDER BY abs(q.tok - g.tok), q.kind, q.tok) = 1),
+h AS (SELECT *, CASE WHEN NOT ({_BETWEEN.format('tok', 'any_tok')}) THEN any_tok END AS q_tok, CASE WHEN NOT ({_BETWEEN.format('tok', 'any_tok')}) THEN any_qty END AS qty FROM f),
+j AS (SELECT h.*, p.tok AS p_tok, p.value || ' ' || p.unit AS price, count(*) FILTER (abs(p.tok - h.tok) <= 20) OVER (PARTITION BY h.ddb_id, h.block_no, gi) AS competing, abs(p.tok - h.tok) AS dist,
+  greatest(h.tok, p.tok, coalesce(q_tok, h.tok)) - least(h.tok, p.tok, coalesce(q_tok, h.tok)) AS span, {_BETWEEN.format('h.tok', 'p.tok')} AS boundary, p.kind FROM h JOIN p USING (ddb_id, block_no) WHERE abs(p.tok - h.tok) <= 80),
+raw AS (SELECT *, 30.0::DOUBLE * exp(-dist / 12.0::DOUBLE) + 10.0::DOUBLE * CASE WHEN q_tok IS NULL THEN 0.3::DOUBLE ELSE exp(-abs(q_tok - tok) / 20.0::DOUBLE) END + 30.0::DOUBLE * strength AS base,
+  greatest(0.5::DOUBLE, 1.0::DOUBLE - CASE WHEN qty IS NOT NULL OR regexp_matches(norm, '{_EDGE}(inge|onth)') THEN 0.0::DOUBLE ELSE 0.15::DOUBLE END - CASE WHEN boundary THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END) * greatest(0.7::DOUBLE, 1.0::DOUBLE - 0.05::DOUBLE * greatest(0, competing - 1)) AS part FROM j),
+s AS (SELECT *, least(greatest(CASE WHEN strength < 0.1::DOUBLE THEN least(base * part, 40) ELSE base * part END, 0), 100) AS score FROM raw),
+k AS (SELECT *, row_number() OVER w AS rank, lead(score) OVER w AS next_score, lead(price) OVER w AS next_price FROM s WINDOW w AS (PARTITION BY ddb_id, gi ORDER BY score DESC, qty IS NULL, span, dist, p_tok, kind)),
+d AS (SELECT *, coalesce(score - next_score < 8, false) AS doubt, score >= 50 AND dist <= 12 AND span <= 18 AS strong, row_number() OVER (PARTITION BY ddb_id ORDER BY score DESC, qty IS NULL, span, dist, p_tok, gi, rank) AS step FROM k),
+a(ddb_id, step, got, used, how) AS (SELECT DISTINCT ddb_id, 0::BIGINT, []::INTEGER[], []::BIGINT[], NULL::VARCHAR FROM d UNION ALL
+  SELECT d.ddb_id, d.step, CASE WHEN x.how IS NULL THEN got ELSE list_append(got, gi) END, CASE WHEN x.how = 'taken' THEN list_append(used, p_tok) ELSE used END, x.how FROM a JOIN d ON d.ddb_id = a.ddb_id AND d.step = a.step + 1,
+  LATERAL (SELECT CASE WHEN list_contains(got, gi) THEN NULL WHEN NOT list_contains(used, p_tok) THEN 'taken' WHEN strong THEN 'reused' END AS how) x),
+l AS (SELECT d.*, coalesce(how, CASE WHEN rank = 1 AND NOT coalesce(bool_or(how IS NOT NULL) OVER (PARTITION BY d.ddb_id, gi), false) THEN CASE WHEN score >= 40 THEN 'fallback' ELSE 'default' END END) AS assignment FROM d LEFT JOIN a ON a.ddb_id = d.ddb_id AND a.step = d.step)"""
+
+
+@_query(f"""{_CANDIDATES}
+SELECT ddb_id, gi AS grain_index, rank::INTEGER AS candidate_rank, price, coalesce(qty, '') AS qty, round(score, 6) AS score, CASE WHEN doubt THEN 'yes' ELSE 'no' END AS ambiguous, CASE WHEN doubt THEN next_price ELSE '' END AS alt_price,
+  CASE WHEN assignment IS NULL THEN 'no' ELSE 'yes' END AS is_primary, coalesce(assignment, '') AS assignment FROM l WHERE rank <= 3 OR assignment IS NOT NULL""")
+def assigned_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to three candidates for each mention of an order, and the one that the greedy choice gives it."""
+    out = flows.candidate_links(_stated(spark, sf_dir), PROSE, least=0.0, top=3)
+    shown = lambda c: F.coalesce(F.concat_ws(" ", f"{c}.value", f"{c}.unit"), F.lit(""))
+    return out.select("ddb_id", "grain_index", "candidate_rank", shown("price").alias("price"), shown("qty").alias("qty"), F.round("score", 6).alias("score"), "ambiguous", F.coalesce("alt_price", F.lit("")).alias("alt_price"), "is_primary", F.coalesce("assignment", F.lit("")).alias("assignment"))
+
+
 @_query(f"WITH b AS (SELECT * FROM ({_STATED}) WHERE regexp_matches(lower(raw), '{_EDGE}(andr|thes)|thehe|ingre')), {_MENTIONS} {_REJECTED}")
 def rejected_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, refused = flows.extracted(_stated(spark, sf_dir), PROSE)

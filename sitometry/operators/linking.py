@@ -102,18 +102,19 @@ def score(strength: Column, d_price: Column, d_qty: Column, has_unit: Column, bo
 
 def rejected(m: DataFrame) -> DataFrame:
     """Mentions with negative evidence and hardly any positive one, with wider context."""
-    gone = m.filter(_refused())
+    gone = m.filter(refused())
     return gone.withColumn("context_window", F.left(token_window(F.col("value_tokens"), F.col("grain.tok") - 8, F.col("grain.tok") + 8), F.lit(500)))
 
 
-def _refused() -> Column:
+def refused() -> Column:
+    """Negative evidence and hardly any positive one."""
     return ~F.col("class.context").isin("PRICE", "OTHER") & (F.col("class.strength") < F.lit(0.3))
 
 
 def linked(m: DataFrame, profile: Profile, window: int = 80, least: float = 25.0) -> DataFrame:
     """Each accepted mention with its nearest price and quantity, distances and score."""
     tok = F.col("grain.tok")
-    k = m.filter(~_refused()).withColumn("price", _nearest(F.col("prices"), tok, window)).filter("price is not null")
+    k = m.filter(~refused()).withColumn("price", _nearest(F.col("prices"), tok, window)).filter("price is not null")
 
     def boundary(a: Column, b: Column) -> Column:
         low, high = F.least(a, b), F.greatest(a, b)

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import binned, in_drachmas, in_litres, inferred_year, log10, to_float, unit_price
 from ..functions.text import by_prefix, cleaned, collapsed, normalized, place
-from ..operators import analysis, harvest, linking
+from ..operators import analysis, candidates, harvest, linking
+from ..operators.candidates import Choice
 from ..sources import epidoc
+from ..sources.scratch import stored
 from ..vocab import GREEK, Profile
 
 
@@ -26,17 +28,33 @@ def main_series(cleaned: DataFrame) -> DataFrame:
     return analysis.only(cleaned, **MAIN_SERIES)
 
 
-def extracted(blocks: DataFrame, profile: Profile = GREEK, need_unit: bool = False, **options) -> tuple[DataFrame, DataFrame]:
-    """Linked and rejected mentions of blocks with a valued number whose raw text speaks of a commodity
-    and of money or the price word, and if asked of a unit."""
+def gated(blocks: DataFrame, profile: Profile, need_unit: bool = False) -> DataFrame:
+    """Blocks with a valued number whose raw text speaks of a commodity and of money or the price word, and
+    if asked of a unit."""
     good = blocks.filter(F.size("num_values") > 0).withColumn("_n", normalized(collapsed(F.col("raw"))))
     good = good.filter(F.col("_n").rlike(profile.grain) & (F.col("_n").rlike(profile.money) | F.col("_n").rlike(profile.priceword)))
-    if need_unit:
-        good = good.filter(F.col("_n").rlike(profile.unit))
-    m = linking.mentions(linking.events(good.drop("_n"), profile), profile)
+    return (good.filter(F.col("_n").rlike(profile.unit)) if need_unit else good).drop("_n")
+
+
+def extracted(blocks: DataFrame, profile: Profile = GREEK, need_unit: bool = False, **options) -> tuple[DataFrame, DataFrame]:
+    """Linked and rejected mentions of the gated blocks."""
+    m = linking.mentions(linking.events(gated(blocks, profile, need_unit), profile), profile)
     return linking.linked(m, profile, **options), linking.rejected(m)
 
 
+def candidate_links(blocks: DataFrame, profile: Profile = GREEK, need_unit: bool = False, window: int = 80, least: float = 25.0, choice: Choice = Choice(), top: int = 1, primary: str = "also") -> DataFrame:
+    """The candidates of each mention, with one of them primary: prices are shared out within a block.
+
+    The events are stored once; mentions, prices and quantities are read from there.
+    """
+    doc = F.col("path") if "path" in blocks.columns else F.col("ddb_id").cast("string")
+    found = stored(linking.events(gated(blocks, profile, need_unit), profile).withColumn("doc", doc), "events")
+    mentions = candidates.accepted(linking.mentions(found, profile), profile)
+    sides = [candidates.long_events(found, c, profile) for c in ("prices", "qtys")]
+    ranked = stored(candidates.ranked(mentions, *sides, window, least, choice), "candidates")
+    return candidates.emitted(candidates.assigned(ranked, choice), top, primary)
+
+
 def cleaned_rows(rows: DataFrame, profile: Profile = GREEK, width: int = 25) -> DataFrame:
     """Canonical names, numbers, years, bins and standard prices of linked rows.
 
