@@ -26,9 +26,11 @@ from .shingles import _BASE, _UNBASE, Shingler, _mixed, _numbers, _powers
 #: Words of a minimiser, and how many of its bits order it (the others tell its place).
 MER, PLACE_BITS = 5, 28
 #: Bytes of text cut at a time, of strings in a bucket, about, and of a text's key.
-CHUNK_BYTES, BUCKET_BYTES, KEY = 8 << 20, 16 << 20, 12
+CHUNK_BYTES, BUCKET_BYTES, KEY = 6 << 20, 12 << 20, 12
 #: Counts are kept for so many classes of minimisers; a bucket is split when it has so many times the mean.
 CELLS, HOT = 1 << 14, 3
+#: Buckets in a task, about, and how many texts may have more copies than their share of a join allows.
+BUCKETS_A_TASK, COPIED = 4, 10_000
 #: Texts that a task remembers, to send no text more than twice.
 REMEMBERED = 200_000
 #: How hard the strings are compressed.
@@ -234,7 +236,9 @@ def repeated(texts: DataFrame, width: int = 35) -> DataFrame:
             yield pd.DataFrame(rows, columns=["bucket", "part", "parts", "strings", "length", "heads", "held"])
 
     packed = texts.mapInPandas(dealt, "bucket long, part long, parts long, strings binary, length long, heads binary, held long")
-    found = stored(packed.groupBy("bucket", "part").applyInPandas(_counter(width), FOUND), "counted")
+    # as many tasks as the buckets ask for: what one reads does not grow with the input
+    spread = packed.repartition(max(buckets(texts.sparkSession), n // BUCKETS_A_TASK), "bucket", "part")
+    found = stored(spread.groupBy("bucket", "part").applyInPandas(_counter(width), FOUND), "counted")
     # windows of split buckets: one string of each from each part
     open_ = found.filter("window is not null")
     all_parts = open_.groupBy("window").agg(F.sum("n").alias("total")).filter("total > 1")
@@ -254,15 +258,22 @@ def deduplicated(docs: DataFrame, width: int = 35) -> DataFrame:
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("key", F.substring(F.unhex(F.md5("text")), 1, KEY))
     runs = repeated(rows.select("key", "text"), width).groupBy("key").agg(F.collect_set(F.struct("low", "high")).alias("runs"))
-    met = rows.join(runs, "key", "left").select("doc_id", "text", F.col("runs.low").alias("low"), F.col("runs.high").alias("high"))
+    # every window of a copied text repeats: texts with very many copies (at most COPIED of them) and null ones are spread and meet no runs
+    many = rows.filter("key is not null").groupBy("key").count().filter(F.col("count") > max(1000, rows.count() // COPIED))
+    rows = rows.join(F.broadcast(many.select("key", F.lit(True).alias("whole"))), "key", "left")
+    alone = F.concat(F.coalesce("key", F.lit(b"")), F.monotonically_increasing_id().cast("string").cast("binary"))
+    rows = rows.withColumn("key", F.when(F.col("whole") | F.col("key").isNull(), alone).otherwise(F.col("key")))
+    met = rows.join(runs, "key", "left").select("doc_id", "text", "whole", F.col("runs.low").alias("low"), F.col("runs.high").alias("high"))
 
     def removed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             texts, sizes, gone = [], [], []
-            for text, low, high in zip(b["text"], b["low"], b["high"]):
+            for text, whole, low, high in zip(b["text"], b["whole"], b["low"], b["high"]):
                 words = (text or "").encode("utf-8", "surrogatepass").split()
                 steps = np.zeros(len(words) + 1, np.int64)
-                if low is not None:
+                if whole is True and len(words) >= width:
+                    steps[0] = 1
+                elif low is not None:
                     np.add.at(steps, np.asarray(low, np.int64), 1)
                     np.add.at(steps, np.asarray(high, np.int64) + 1, -1)
                 kept = np.cumsum(steps[:-1]) == 0

@@ -47,6 +47,11 @@ def test_against_brute_force(spark, monkeypatch, seed, width, hot, chunk):
     assert kept(spark, rows, width) == brute(rows, width)
 
 
+def test_texts_with_very_many_copies(spark, monkeypatch):
+    rows = [(k, "a b c d e") for k in range(1100)] + [(2000 + k, "a b") for k in range(1100)] + [(5000, "x a b c"), (5001, "b c x d")] + [(6000 + k, None) for k in range(9)]
+    assert kept(spark, rows, 3) == brute(rows, 3)
+
+
 def test_empty_tables(spark):
     assert kept(spark, [], 35) == []
     assert kept(spark, [(1, None), (None, "")], 35) == brute([(1, None), (None, "")], 35)
