@@ -25,8 +25,10 @@ from .shingles import _BASE, _UNBASE, Shingler, _mixed, _numbers, _powers
 
 #: Words of a minimiser, and how many of its bits order it (the others tell its place).
 MER, PLACE_BITS = 5, 28
+#: Bytes hashed at a time.
+SLICE = 1 << 20
 #: Bytes of text cut at a time, of strings in a bucket, about, and of a text's key.
-CHUNK_BYTES, BUCKET_BYTES, KEY = 6 << 20, 12 << 20, 12
+CHUNK_BYTES, BUCKET_BYTES, KEY = 8 << 20, 16 << 20, 12
 #: Counts are kept for so many classes of minimisers; a bucket is split when it has so many times the mean.
 CELLS, HOT = 1 << 14, 3
 #: Buckets in a task, about, and how many texts may have more copies than their share of a join allows.
@@ -44,13 +46,25 @@ def _shingler() -> Shingler:
     return Shingler(_numbers(11, 256))
 
 
+def _hashed(shingler: Shingler, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and first byte of each word, about a megabyte of words at a time."""
+    hashes, starts, at = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], 0
+    while at < len(data):
+        end = data.find(b" ", at + SLICE) + 1 or len(data)
+        h, start = shingler.words(data[at:end])
+        hashes.append(h)
+        starts.append(start + at)
+        at = end
+    return np.concatenate(hashes), np.concatenate(starts)
+
+
 class Cut:
     """The super-k-mers of a few texts: the text of each, its first window, how many, and its minimiser."""
 
     def __init__(self, texts: list[str], width: int, shingler: Shingler) -> None:
         parts = [b" ".join(t.encode("utf-8", "surrogatepass").split()) for t in texts]
         self.data = b" ".join(parts) + b" "
-        words, self.start = shingler.words(self.data)
+        words, self.start = _hashed(shingler, self.data)
         self.end = np.append(self.start[1:], len(self.data)) - 1
         bounds = np.cumsum([0, *(len(p) + 1 for p in parts)])
         self.first_word = np.searchsorted(self.start, bounds)
@@ -129,7 +143,7 @@ def counted(strings: bytes, count: np.ndarray, width: int, shingler: Shingler) -
     """For each window of super-k-mers (one a line): how many equal it and the first of these, and the
     bytes it covers in the returned text."""
     data = strings + b"\n" + bytes(8)
-    words, start = shingler.words(data[:-8])
+    words, start = _hashed(shingler, data[:-8])
     end = np.append(start[1:], len(data) - 8) - 1
     heads = np.concatenate(([0], np.cumsum(count + width - 1)[:-1]))
     first = np.repeat(heads - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())

@@ -43,6 +43,7 @@ def test_against_brute_force(spark, monkeypatch, seed, width, hot, chunk):
     """Also with every bucket split, and with texts cut in small chunks."""
     monkeypatch.setattr(superkmer, "HOT", hot)
     monkeypatch.setattr(superkmer, "CHUNK_BYTES", chunk)
+    monkeypatch.setattr(superkmer, "SLICE", chunk // 8)
     rows = corpus(seed, width)
     assert kept(spark, rows, width) == brute(rows, width)
 
