@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions import numbers, text
 from .operators import analysis, harvest, linking, nearest, recall, sampling, windows
-from .plans import flows
+from .plans import flows, statements
 from .vocab import PROSE
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -280,7 +280,7 @@ def _stated(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     items = _table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", words.alias("words")).alias("item"))
     told = F.array_join(F.transform(F.array_sort(F.collect_list("item")), lambda x: x["words"]), " ")
-    return items.groupBy(c("l_orderkey").alias("ddb_id")).agg(told.alias("raw")).withColumns({"block_no": F.lit(0), "value_text": c("raw"), "num_values": F.array(F.lit("1"))})
+    return items.groupBy(c("l_orderkey").alias("ddb_id")).agg(told.alias("raw"), F.count(F.lit(1)).alias("lines")).withColumns({"block_no": F.lit(0), "value_text": c("raw"), "num_values": F.array(F.lit("1"))})
 
 
 _EVENTS = """e AS (SELECT ddb_id, block_no, tok, CASE WHEN regexp_matches(w, '^[0-9]') THEN 0 ELSE 1 END AS kind, CASE WHEN regexp_matches(w, '^[0-9]') THEN w ELSE w2 END AS value, CASE WHEN regexp_matches(w, '^[0-9]') THEN w2 ELSE w END AS unit
@@ -290,16 +290,19 @@ q AS (SELECT * FROM e WHERE regexp_matches(unit, '^(inge|onth)')), p AS (SELECT
 _BETWEEN = "len(list_filter(tk[least({0}, {1}) + 2:greatest({0}, {1})], lambda x: regexp_matches(x, '^(reth|thwh)'))) > 0"
 
 
-@_query(f"""WITH b AS ({_STATED}), {_MENTIONS}, {_EVENTS},
-a AS (SELECT c.*, p.tok AS p_tok, p.value AS price, p.unit AS currency, count(*) FILTER (abs(p.tok - c.tok) <= 20) OVER k AS competing FROM c JOIN p USING (ddb_id, block_no) WHERE NOT ({_REFUSED}) AND abs(p.tok - c.tok) <= 80
+_LINKED = f"""a AS (SELECT c.*, p.tok AS p_tok, p.value AS price, p.unit AS currency, count(*) FILTER (abs(p.tok - c.tok) <= 20) OVER k AS competing FROM c JOIN p USING (ddb_id, block_no) WHERE NOT ({_REFUSED}) AND abs(p.tok - c.tok) <= 80
   WINDOW k AS (PARTITION BY c.ddb_id, c.block_no, c.start) QUALIFY row_number() OVER (PARTITION BY c.ddb_id, c.block_no, c.start ORDER BY abs(p.tok - c.tok), p.kind, p.tok) = 1),
-f AS (SELECT a.*, q.tok AS any_tok, q.value AS any_value FROM a LEFT JOIN q ON q.ddb_id = a.ddb_id AND q.block_no = a.block_no AND abs(q.tok - a.tok) <= 80
+f AS (SELECT a.*, q.tok AS any_tok, q.value AS any_value, q.unit AS any_unit FROM a LEFT JOIN q ON q.ddb_id = a.ddb_id AND q.block_no = a.block_no AND abs(q.tok - a.tok) <= 80
   QUALIFY row_number() OVER (PARTITION BY a.ddb_id, a.block_no, a.start ORDER BY abs(q.tok - a.tok), q.kind, q.tok) = 1),
-h AS (SELECT *, CASE WHEN NOT ({_BETWEEN.format('tok', 'any_tok')}) THEN any_tok END AS q_tok, CASE WHEN NOT ({_BETWEEN.format('tok', 'any_tok')}) THEN any_value END AS qty, {_BETWEEN.format('tok', 'p_tok')} AS boundary FROM f),
+h AS (SELECT *, CASE WHEN NOT ({_BETWEEN.format('tok', 'any_tok')}) THEN any_tok END AS q_tok, CASE WHEN NOT ({_BETWEEN.format('tok', 'any_tok')}) THEN any_value END AS qty, CASE WHEN NOT ({_BETWEEN.format('tok', 'any_tok')}) THEN any_unit END AS qty_unit, {_BETWEEN.format('tok', 'p_tok')} AS boundary FROM f),
 j AS (SELECT *, least(tok, p_tok, coalesce(q_tok, tok)) AS low, greatest(tok, p_tok, coalesce(q_tok, tok)) AS high,
   30.0::DOUBLE * exp(-abs(p_tok - tok) / 12.0::DOUBLE) + 10.0::DOUBLE * CASE WHEN q_tok IS NULL THEN 0.3::DOUBLE ELSE exp(-abs(q_tok - tok) / 20.0::DOUBLE) END + 30.0::DOUBLE * strength AS base,
   greatest(0.5::DOUBLE, 1.0::DOUBLE - CASE WHEN regexp_matches(norm, '{_EDGE}(inge|onth)') THEN 0.0::DOUBLE ELSE 0.15::DOUBLE END - CASE WHEN boundary THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END) * greatest(0.7::DOUBLE, 1.0::DOUBLE - 0.05::DOUBLE * greatest(0, competing - 1)) AS part FROM h),
-x AS (SELECT ddb_id, block_no, list(tok) AS spoken FROM t WHERE regexp_matches(w, 'thehe|ingre') GROUP BY ALL)
+x AS (SELECT ddb_id, block_no, list(tok) AS spoken FROM t WHERE regexp_matches(w, 'thehe|ingre') GROUP BY ALL)"""
+
+
+@_query(f"""WITH b AS ({_STATED}), {_MENTIONS}, {_EVENTS},
+{_LINKED}
 SELECT ddb_id, start::INTEGER AS start, w AS form, context, price, currency, qty, abs(p_tok - tok)::INTEGER AS dist_gp, coalesce(abs(q_tok - tok), -1)::INTEGER AS dist_gq, competing::INTEGER AS competing, boundary, (high - low)::INTEGER AS span_toks,
   len(list_filter(coalesce(spoken, []), lambda x: abs(x - p_tok) <= 8)) > 0 AS priceword_near, round(least(greatest(CASE WHEN strength < 0.1::DOUBLE THEN least(base * part, 40) ELSE base * part END, 0), 100), 6) AS score, {_written('low', 'high', 2000)} AS context_window
 FROM j LEFT JOIN x USING (ddb_id, block_no)""")
@@ -338,6 +341,58 @@ def assigned_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("ddb_id", "grain_index", "candidate_rank", shown("price").alias("price"), shown("qty").alias("qty"), F.round("score", 6).alias("score"), "ambiguous", F.coalesce("alt_price", F.lit("")).alias("alt_price"), "is_primary", F.coalesce("assignment", F.lit("")).alias("assignment"))
 
 
+# four orders are the blocks of a document, numbered where they pass the gate; an order of one item has no number
+_TOLD = f"""meta AS (SELECT o_orderkey // 4 AS ddb_id, o_orderpriority AS title, o_orderstatus AS place, strftime(o_orderdate, '%Y-%m-%d') AS date_when FROM orders WHERE o_orderkey % 4 = 0),
+b AS (SELECT *, row_number() OVER (PARTITION BY ddb_id ORDER BY block_no)::INTEGER AS mention_id FROM (SELECT s.ddb_id // 4 AS ddb_id, (s.ddb_id % 4)::INTEGER AS block_no, raw, n AS lines FROM ({_STATED}) s JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY ALL) ON l_orderkey = s.ddb_id)
+  WHERE lines >= 2 AND regexp_matches(lower(raw), '{_EDGE}(erin|tion)') AND regexp_matches(lower(raw), '{_EDGE}(andr|thes)|thehe|ingre')), {_MENTIONS}, {_EVENTS}"""
+_META = """coalesce(title, '') AS "Title", coalesce(place, '') AS "Place", '' AS "Date_Text", coalesce(date_when, '') AS "Date_When", '' AS "Date_NotBefore", '' AS "Date_NotAfter\""""
+_CLASS = """context AS "Context_Type", round(strength, 2) AS "Signal_Strength", array_to_string(neg, ',') AS "Neg_Signals\""""
+
+
+def _told(spark: SparkSession, sf_dir: str) -> statements.Tables:
+    c = F.col
+    n = c("lines").cast("string")
+    blocks = _stated(spark, sf_dir).select(F.expr("ddb_id div 4").alias("ddb_id"), (c("ddb_id") % 4).cast("int").alias("block_no"), F.lit("ab").alias("tag"), "raw", "value_text", F.when(c("lines") >= 2, F.array(n)).otherwise(F.array().cast("array<string>")).alias("num_values"), F.array(F.concat(F.lit("n"), n)).alias("num_texts"))
+    none = [F.lit("").alias(x) for x in ("date_text", "date_notbefore", "date_notafter")]
+    about = _table(spark, sf_dir, "orders").filter("o_orderkey % 4 = 0").select(F.expr("o_orderkey div 4").alias("ddb_id"), c("o_orderpriority").alias("title"), c("o_orderstatus").alias("place"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date_when"), *none)
+    return statements.statements(blocks, PROSE, about)
+
+
+@_query(f"""WITH {_TOLD}, {_LINKED}, i AS (SELECT ddb_id, block_no, start, row_number() OVER (PARTITION BY ddb_id, block_no ORDER BY start)::INTEGER AS gi FROM c)
+SELECT j.ddb_id::VARCHAR AS "DDB_ID", mention_id AS "Mention_ID", gi AS "Grain_Index", 1 AS "Candidate_Rank", 'yes' AS "Is_Primary", 'ab' AS "Block_Tag", {_META}, w AS "Grain_Form", coalesce(qty, '') AS "Qty_Value", coalesce(qty_unit, '') AS "Qty_Unit", price AS "Price_Value", currency AS "Price_Cur",
+  round(least(greatest(CASE WHEN strength < 0.1::DOUBLE THEN least(base * part, 40) ELSE base * part END, 0), 100), 2) AS "Score", abs(p_tok - tok)::INTEGER AS "Dist_GP", coalesce(abs(q_tok - tok), -1)::INTEGER AS "Dist_GQ", (high - low)::INTEGER AS "Span_Toks", 0 AS "Lines_Crossed",
+  CASE WHEN len(list_filter(coalesce(spoken, []), lambda x: abs(x - p_tok) <= 8)) > 0 THEN 'yes' ELSE 'no' END AS "Priceword_Near", CASE WHEN strength > 0 THEN 'yes' ELSE 'no' END AS "Pos_Signal_Near", 'no' AS "Ambiguous", '' AS "AltScore", '' AS "Alt_Qty", '' AS "Alt_Price",
+  {_written('low', 'high', 2000)} AS "Context_Window", {_CLASS}, concat_ws(',', CASE WHEN regexp_matches(win, 'of\\s+th') THEN 'receipt_price' END, CASE WHEN regexp_matches(win, '{_EDGE}(hand|hare)') THEN 'sale_verb' END) AS "Signal_Type",
+  CASE WHEN context IN ('PRICE', 'OTHER') THEN '' ELSE printf('weak_positive(%.1f)+', strength) || 'negative(' || array_to_string(neg, ',') || ')' END AS "Rejection_Reason"
+FROM j JOIN i USING (ddb_id, block_no, start) JOIN (SELECT ddb_id, block_no, mention_id FROM b) USING (ddb_id, block_no) LEFT JOIN x USING (ddb_id, block_no) LEFT JOIN meta USING (ddb_id)
+WHERE least(greatest(CASE WHEN strength < 0.1::DOUBLE THEN least(base * part, 40) ELSE base * part END, 0), 100) >= 25""")
+def linked_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _told(spark, sf_dir).linked
+
+
+def _listed(events: str) -> str:
+    return f"(SELECT ddb_id, block_no, string_agg(item, ';' ORDER BY kind, tok) AS items FROM (SELECT *, value || ' ' || unit AS item FROM e WHERE regexp_matches(unit, '^({events})') QUALIFY row_number() OVER (PARTITION BY ddb_id, block_no, item ORDER BY kind, tok) = 1) GROUP BY ALL)"
+
+
+def _hits(stems: str) -> str:
+    return rf"array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(norm, '[\p{{L}}\p{{N}}_]+'), lambda x: regexp_matches(x, '^({stems})')))), ';')"
+
+
+@_query(f"""WITH {_TOLD}
+SELECT ddb_id::VARCHAR AS "DDB_ID", mention_id AS "Mention_ID", 'ab' AS "Block_Tag", {_META}, {_hits('erin|tion')} AS "Grain_Hits", {_hits('inge|onth')} AS "Unit_Hits", {_hits('andr|thes')} AS "Money_Hits", CASE WHEN regexp_matches(norm, 'thehe|ingre') THEN 'yes' ELSE 'no' END AS "Priceword_Hit",
+  'num:' || lines AS "Number_Hit", 'num_tag' AS "Number_Type", lines::VARCHAR AS "Num_Tag_Values", 'n' || lines AS "Num_Tag_Texts", coalesce(qs.items, '') AS "Quantities", coalesce(ps.items, '') AS "Prices", left(raw, 2000) AS "Raw_Block", left(raw, 2000) AS "Value_Block"
+FROM b JOIN n USING (ddb_id, block_no) LEFT JOIN {_listed('inge|onth')} qs USING (ddb_id, block_no) LEFT JOIN {_listed('andr|thes')} ps USING (ddb_id, block_no) LEFT JOIN meta USING (ddb_id)""")
+def mention_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _told(spark, sf_dir).mentions
+
+
+@_query(f"""WITH {_TOLD}
+SELECT ddb_id::VARCHAR AS "DDB_ID", mention_id AS "Mention_ID", w AS "Grain_Form", {_CLASS}, CASE WHEN pos > 0 THEN printf('weak_positive(%.1f)+', strength) ELSE 'no_positive+' END || 'negative(' || array_to_string(neg, ',') || ')' AS "Rejection_Reason", {_written('tok', 'tok', 500)} AS "Context_Window"
+FROM c JOIN (SELECT ddb_id, block_no, mention_id FROM b) USING (ddb_id, block_no) WHERE {_REFUSED} AND EXISTS (SELECT 1 FROM p WHERE p.ddb_id = c.ddb_id AND p.block_no = c.block_no)""")
+def rejected_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _told(spark, sf_dir).rejected
+
+
 @_query(f"WITH b AS (SELECT * FROM ({_STATED}) WHERE regexp_matches(lower(raw), '{_EDGE}(andr|thes)|thehe|ingre')), {_MENTIONS} {_REJECTED}")
 def rejected_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, refused = flows.extracted(_stated(spark, sf_dir), PROSE)

@@ -37,23 +37,26 @@ def _amounts(text: Column, unit: str) -> Column:
     )
 
 
-def events(blocks: DataFrame, profile: Profile) -> DataFrame:
+def events(blocks: DataFrame, profile: Profile, every_block: bool = False) -> DataFrame:
     """``grains, qtys, prices, pricewords`` of each block, with token positions.
 
     Commodity words within compounds, false stems, verb forms and near an office word are dropped;
-    so is a price that repeats a quantity's value within three tokens.
+    so is a price that repeats a quantity's value within three tokens. Blocks without a commodity are left out, unless
+    ``every_block``; ``amounts`` then also holds the prices dropped.
     """
-    b = blocks.withColumn("norm", normalized("value_text")).filter(F.col("norm").rlike(profile.grain))
+    b = blocks.withColumn("norm", normalized("value_text"))
+    b = b if every_block else b.filter(F.col("norm").rlike(profile.grain))
     # windows for readers show the text as it was written; the gate's unit word is looked for in the raw text
     b = b.withColumns({"tokens": F.split("norm", " "), "value_tokens": F.split(collapsed(F.col("value_text")), " "), "has_unit": normalized("raw").rlike(profile.unit)})
     norm = F.col("norm")
     near = F.transform(matches(norm, profile.near_admin), lambda m: token_at(norm, m["start"]))
     b = b.withColumns({"_near": near, "_grains": F.transform(matches(norm, profile.grain), lambda m: F.struct(token_at(norm, m["start"]).alias("tok"), m["found"].alias("form"), m["start"].alias("start")))})
     keep = lambda g: ~g["form"].rlike(profile.blocked_form) & ~g["form"].rlike("^" + profile.admin_compound) & ~g["form"].rlike("^" + profile.false_grain) & ~F.exists("_near", lambda t: F.abs(g["tok"] - t) <= 10)
-    b = b.withColumn("grains", F.filter("_grains", keep)).filter(F.size("grains") > 0)
-    b = b.withColumns({"qtys": _amounts(norm, profile.unit_core), "_prices": _amounts(norm, profile.money_core), "pricewords": F.transform(matches(norm, profile.priceword), lambda m: token_at(norm, m["start"]))})
+    b = b.withColumn("grains", F.filter("_grains", keep))
+    b = b if every_block else b.filter(F.size("grains") > 0)
+    b = b.withColumns({"qtys": _amounts(norm, profile.unit_core), "amounts": _amounts(norm, profile.money_core), "pricewords": F.transform(matches(norm, profile.priceword), lambda m: token_at(norm, m["start"]))})
     same = lambda p: F.exists("qtys", lambda q: (q["value"] == p["value"]) & (F.abs(q["tok"] - p["tok"]) <= 3))
-    return b.withColumn("prices", F.filter("_prices", lambda p: ~same(p))).drop("_near", "_grains", "_prices")
+    return b.withColumn("prices", F.filter("amounts", lambda p: ~same(p))).drop("_near", "_grains", *([] if every_block else ["amounts"]))
 
 
 def classified(window: Column, profile: Profile) -> Column:
@@ -141,11 +144,11 @@ def linked(m: DataFrame, profile: Profile, window: int = 80, least: float = 25.0
 
 
 def block_hits(blocks: DataFrame, profile: Profile) -> DataFrame:
-    """The distinct matches in each block's raw text, sorted: ``grain_hits, unit_hits, money_hits``."""
+    """The distinct matches in each block's raw text, sorted: ``grain_hits, unit_hits, money_hits``; and ``priceword_hit``."""
     norm = F.col("_norm")
     hits = lambda p: F.array_sort(F.array_distinct(F.regexp_extract_all(norm, F.lit(p), 0)))
     found = blocks.withColumn("_norm", normalized(collapsed(F.col("raw"))))
-    return found.withColumns({"grain_hits": hits(profile.grain), "unit_hits": hits(profile.unit), "money_hits": hits(profile.money)}).drop("_norm")
+    return found.withColumns({"grain_hits": hits(profile.grain), "unit_hits": hits(profile.unit), "money_hits": hits(profile.money), "priceword_hit": norm.rlike(profile.priceword)}).drop("_norm")
 
 
 def distinct_values(blocks: DataFrame, column: str) -> DataFrame:

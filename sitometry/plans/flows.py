@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numbers import binned, in_drachmas, in_litres, inferred_year, log10, to_float, unit_price
@@ -36,6 +36,11 @@ def gated(blocks: DataFrame, profile: Profile, need_unit: bool = False) -> DataF
     return (good.filter(F.col("_n").rlike(profile.unit)) if need_unit else good).drop("_n")
 
 
+def doc_key(blocks: DataFrame) -> Column:
+    """What tells a block's document: its path where it has one, since two files may carry one id."""
+    return (F.col("path") if "path" in blocks.columns else F.col("ddb_id")).cast("string")
+
+
 def extracted(blocks: DataFrame, profile: Profile = GREEK, need_unit: bool = False, **options) -> tuple[DataFrame, DataFrame]:
     """Linked and rejected mentions of the gated blocks."""
     m = linking.mentions(linking.events(gated(blocks, profile, need_unit), profile), profile)
@@ -47,8 +52,7 @@ def candidate_links(blocks: DataFrame, profile: Profile = GREEK, need_unit: bool
 
     The events are stored once; mentions, prices and quantities are read from there.
     """
-    doc = F.col("path") if "path" in blocks.columns else F.col("ddb_id").cast("string")
-    found = stored(linking.events(gated(blocks, profile, need_unit), profile).withColumn("doc", doc), "events")
+    found = stored(linking.events(gated(blocks, profile, need_unit), profile).withColumn("doc", doc_key(blocks)), "events")
     mentions = candidates.accepted(linking.mentions(found, profile), profile)
     sides = [candidates.long_events(found, c, profile) for c in ("prices", "qtys")]
     ranked = stored(candidates.ranked(mentions, *sides, window, least, choice), "candidates")
