@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import quantile
+from .quantile import quantiles
+
 
 def best_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row for each key: the first by ``order``."""
@@ -56,61 +59,12 @@ def year_range(df: DataFrame, year: str, first: float | None = None, last: float
     return df.filter(F.col(year) <= last) if last is not None else df
 
 
-#: How far in rank the bounds of a quantile lie from it, the precision of these bounds, and up to how many
-#: values a group's least and greatest value serve instead.
-MARGIN, PRECISION, FEW = 0.003, 10_000, 1000
-
-
-def quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float]) -> DataFrame:
-    """``keys, n, _q``: exact, interpolated quantiles of each group; ``n`` counts its values.
-
-    A sketch of bounded size gives two bounds around each quantile. What lies below is only counted, and
-    of the few values between the bounds each distinct one with its count is sorted, so no task holds
-    a group's values. Nulls are left out; a group without values has no row.
-    """
-    x = df.select(*[F.col(k).alias(f"_k{j}") for j, k in enumerate(keys)], F.col(value).cast("double").alias("_x")).filter("_x is not null")
-    names = [f"_k{j}" for j in range(len(keys))]
-    ends = [f(p) for p in probs for f in (lambda p: max(p - MARGIN, 0.0), lambda p: min(p + MARGIN, 1.0))]
-    near = x.groupBy(*names).agg(F.count(F.lit(1)).alias("n"), F.min("_x").alias("_least"), F.max("_x").alias("_most"), F.percentile_approx("_x", ends, PRECISION).alias("_ends"))
-    few = F.col("n") < FEW
-    bounds = [F.struct(F.lit(j).alias("j"), F.lit(p).alias("p"), F.when(few, F.col("_least")).otherwise(F.col("_ends")[2 * j]).alias("low"), F.when(few, F.col("_most")).otherwise(F.col("_ends")[2 * j + 1]).alias("high")) for j, p in enumerate(probs)]
-    near = near.select(*names, "n", F.array(*bounds).alias("_bounds"))
-    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in names]
-    # without keys the bounds are one row
-    both = x.alias("l").join(near.alias("r") if names else F.broadcast(near.alias("r")), same or None).select("l.*", "n", F.explode(F.filter("_bounds", lambda b: F.col("_x") <= b["high"])).alias("b"))
-    between = F.when(F.col("_x") >= F.col("b.low"), F.col("_x"))
-    counted = both.groupBy(*names, "n", F.col("b.j").alias("j"), F.col("b.p").alias("p"), between.alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    so_far = Window.partitionBy(*names, "j").orderBy(F.asc_nulls_first("v")).rowsBetween(Window.unboundedPreceding, 0)
-    at = F.col("p") * (F.col("n") - 1)
-    placed = counted.withColumns({"upto": F.sum("c").over(so_far), "at": at})
-    hit = lambda f: F.min(F.when(F.col("upto") > f("at"), F.col("v")))
-    each = placed.groupBy(*names, "n", "j", "at").agg(hit(F.floor).alias("a"), hit(F.ceil).alias("b"))
-    v = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise((F.ceil("at") - F.col("at")) * F.col("a") + (F.col("at") - F.floor("at")) * F.col("b"))
-    out = each.groupBy(*names, "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", v.alias("v")))), lambda s: s["v"]).alias("_q"))
-    return out.select(*[F.col(n).alias(k) for n, k in zip(names, keys)], "n", "_q")
-
-
-def _group_medians(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Each row with its group's median and median absolute deviation, by two small joins.
-
-    The rows themselves are not gathered by key.
-    """
-    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
-
-    def joined(left: DataFrame, right: DataFrame, name: str) -> DataFrame:
-        return left.alias("l").join(right.alias("r"), same, "left").select("l.*", f"r.{name}")
-
-    med = quantiles(df, keys, value, [0.5]).withColumn("_med", F.col("_q")[0])
-    with_med = joined(df, med, "_med").withColumn("_dev", F.abs(F.col(value) - F.col("_med")))
-    mad = quantiles(with_med, keys, "_dev", [0.5]).withColumn("_mad", F.col("_q")[0])
-    return joined(with_med, mad, "_mad")
-
-
 def robust_outliers(df: DataFrame, keys: list[str], value: str, limit: float = 4.0) -> DataFrame:
     """``robust_z = 0.6745 (x - median) / MAD`` within groups (NULL where MAD is 0), and the flag."""
-    z = 0.6745 * (F.col(value) - F.col("_med")) / F.nullif(F.col("_mad"), F.lit(0.0))
-    out = _group_medians(df, keys, value).withColumn("robust_z", z)
-    return out.withColumn("outlier", F.coalesce(F.abs("robust_z") >= limit, F.lit(False))).drop("_med", "_mad", "_dev")
+    x, names = quantile.values(df, keys, value)
+    rows = quantile.matched(df, quantile.medians(x, names), keys, names, "left")
+    out = rows.withColumn("robust_z", quantile.z_score(F.col(value)))
+    return out.withColumn("outlier", F.coalesce(F.abs("robust_z") >= limit, F.lit(False))).drop("_med", "_mad")
 
 
 def rolling_median(df: DataFrame, value: str, order: str, width: int, keys: list[str] = []) -> Column:  # noqa: B006
@@ -141,15 +95,16 @@ def robust_summary(df: DataFrame, keys: list[str], value: str, mad_z: float = 3.
 
     Bins with fewer than ``least`` values after the trim are left out.
     """
-    logs = df.filter(F.col(value) > 0).withColumn("_v", F.log10(value))
-    z = 0.6745 * F.abs(F.col("_v") - F.col("_med")) / F.nullif(F.col("_mad"), F.lit(0.0))
-    kept = _group_medians(logs, keys, "_v").filter(F.coalesce(z <= mad_z, F.lit(True)))
+    x, names = quantile.values(df.filter(F.col(value) > 0).withColumn("_v", F.log10(value)), keys, "_v")
+    spread = quantile.matched(x, quantile.medians(x, names), names, names)
+    kept = spread.filter(F.coalesce(F.abs(quantile.z_score(F.col("_x"))) <= mad_z, F.lit(True))).select(*names, "_x")
     if winsor > 0:
-        edge = quantiles(kept, keys, "_v", [winsor, 1 - winsor]).select(*keys, F.col("_q").alias("_e"))
-        kept = kept.join(edge, keys).withColumn("_v", F.least(F.greatest("_v", F.col("_e")[0]), F.col("_e")[1]))
-    q = quantiles(kept, keys, "_v", [0.25, 0.5, 0.75])
+        edge = quantile.sized(quantile.of_values(kept, names, [winsor, 1 - winsor]).select(*names, F.col("_q").alias("_e")), "edges")
+        clipped = F.least(F.greatest(F.col("_x"), F.col("_e")[0]), F.col("_e")[1])
+        kept = quantile.matched(kept, edge, names, names).select(*names, clipped.alias("_x"))
+    q = quantile.of_values(kept, names, [0.25, 0.5, 0.75]).filter(F.col("n") >= least)
     ten = lambda k: F.pow(F.lit(10.0), F.col("_q")[k])
-    return q.filter(F.col("n") >= least).select(*keys, "n", ten(1).alias("median"), ten(0).alias("q25"), ten(2).alias("q75"))
+    return q.select(*[F.col(n).alias(k) for n, k in zip(names, keys)], "n", ten(1).alias("median"), ten(0).alias("q25"), ten(2).alias("q75"))
 
 
 def top_groups(df: DataFrame, key: str, n: int) -> DataFrame:
