@@ -423,6 +423,17 @@ def topk_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("ddb_id", "grain_form", "char_offset", "window_text", "has_money", "has_unit", "has_number", "has_priceword", "grain_index", "error", "is_price")
 
 
+@_query(f"""WITH r AS (SELECT doc_id AS ddb_id, text, unnest(regexp_extract_all(text, '{_RUN}')) AS w, unnest(range(1, len(regexp_extract_all(text, '{_RUN}')) + 1)) AS i FROM documents),
+k AS (SELECT *, regexp_replace(replace(strip_accents(lower(w)), 'ß', 'ss'), '\\s+', ' ', 'g') AS nw FROM r),
+t AS (SELECT *, sum(length(w)) OVER o - length(w) AS written, sum(length(nw)) OVER o - length(nw) - CASE WHEN regexp_matches(text, '^\\s') THEN 1 ELSE 0 END AS start FROM k WINDOW o AS (PARTITION BY ddb_id ORDER BY i)),
+f AS (SELECT * FROM t WHERE regexp_matches(nw, '^(erin|tion)') QUALIFY row_number() OVER (PARTITION BY ddb_id, start // 50 ORDER BY start) = 1)
+SELECT ddb_id, nw AS grain_form, start::INTEGER AS char_offset, trim(substr(text, greatest(written - 100, 0)::BIGINT + 1, (written + length(w) + 100 - greatest(written - 100, 0))::BIGINT)) AS window_text FROM f""")
+def aligned_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows cut where the words are written, also behind letters that normalisation lengthens."""
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ddb_id"), "text")
+    return windows.windows(docs, PROSE, need_number=False, fixed=True).select("ddb_id", "grain_form", "char_offset", "window_text")
+
+
 _DRAW = "md5('42:' || o_orderkey), o_orderkey"
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.aligned import written_tokens
 from ..functions.numbers import clamp, int_and_fractions, prox, shown
 from ..functions.text import collapsed, matches, normalized, token_at, token_window
 from ..vocab import Profile
@@ -37,17 +38,18 @@ def _amounts(text: Column, unit: str) -> Column:
     )
 
 
-def events(blocks: DataFrame, profile: Profile, every_block: bool = False) -> DataFrame:
+def events(blocks: DataFrame, profile: Profile, every_block: bool = False, fixed: bool = False) -> DataFrame:
     """``grains, qtys, prices, pricewords`` of each block, with token positions.
 
     Commodity words within compounds, false stems, verb forms and near an office word are dropped;
     so is a price that repeats a quantity's value within three tokens. Blocks without a commodity are left out, unless
-    ``every_block``; ``amounts`` then also holds the prices dropped.
+    ``every_block``; ``amounts`` then also holds the prices dropped. Windows for readers count written tokens, which
+    drift where normalisation joins or parts words; ``fixed``: they show what is written at the normalised ones.
     """
     b = blocks.withColumn("norm", normalized("value_text"))
     b = b if every_block else b.filter(F.col("norm").rlike(profile.grain))
     # windows for readers show the text as it was written; the gate's unit word is looked for in the raw text
-    b = b.withColumns({"tokens": F.split("norm", " "), "value_tokens": F.split(collapsed(F.col("value_text")), " "), "has_unit": normalized("raw").rlike(profile.unit)})
+    b = b.withColumns({"tokens": F.split("norm", " "), "value_tokens": written_tokens("value_text") if fixed else F.split(collapsed(F.col("value_text")), " "), "has_unit": normalized("raw").rlike(profile.unit)})
     norm = F.col("norm")
     near = F.transform(matches(norm, profile.near_admin), lambda m: token_at(norm, m["start"]))
     b = b.withColumns({"_near": near, "_grains": F.transform(matches(norm, profile.grain), lambda m: F.struct(token_at(norm, m["start"]).alias("tok"), m["found"].alias("form"), m["start"].alias("start")))})

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.aligned import normalized_with_map, written_place
 from ..functions.text import json_object, matches, normalized
 from ..vocab import Profile
 
@@ -30,21 +31,29 @@ def joined_text(blocks: DataFrame, text: str = "bar_text") -> DataFrame:
     return good.groupBy("ddb_id").agg(F.array_join(parts, " ||| ").alias("text"))
 
 
-def windows(docs: DataFrame, profile: Profile, width: int = 200, need_number: bool = True) -> DataFrame:
+def windows(docs: DataFrame, profile: Profile, width: int = 200, need_number: bool = True, fixed: bool = False) -> DataFrame:
     """Windows of ``docs(ddb_id, text)`` around commodity words, at most one for each 50 characters.
 
-    A word's place is that in normalised text; the window is cut from the original at that place. A
+    A word's place is that in normalised text; the window is cut from the original at that place, which
+    misses the word where normalisation changes lengths. ``fixed``: at the place where the word is written. A
     window without a number still takes its place's turn.
     """
     half = width // 2
-    d = docs.withColumn("_norm", normalized("text")).filter(F.col("_norm").rlike(profile.grain))
+    if fixed:
+        d = docs.withColumn("_map", normalized_with_map("text")).select("*", F.col("_map.norm").alias("_norm"), F.col("_map.breaks").alias("_breaks")).filter(F.col("_norm").rlike(profile.grain))
+    else:
+        d = docs.withColumn("_norm", normalized("text")).filter(F.col("_norm").rlike(profile.grain))
     w = d.withColumn("m", F.explode(matches(F.col("_norm"), profile.grain)))
     w = w.withColumn("char_offset", F.col("m.start")).withColumn("bucket", F.floor(F.col("char_offset") / 50))
     first = Window.partitionBy("ddb_id", "bucket").orderBy("char_offset")
     w = w.withColumn("_n", F.row_number().over(first)).filter("_n = 1")
     low = F.greatest(F.col("char_offset") - half, F.lit(0))
     size = F.col("char_offset") + F.length("m.found") + half - low
-    w = w.withColumns({"window_text": F.trim(F.substring("text", low + 1, size)), "_w": F.substring("_norm", low + 1, size)})
+    w = w.withColumns({"_low": low, "_size": size})
+    if fixed:
+        first_letter, last_letter = (written_place(F.col("_breaks"), c) for c in (F.col("char_offset"), F.col("char_offset") + F.length("m.found") - 1))
+        w = w.withColumn("_low", F.greatest(first_letter - half, F.lit(0))).withColumn("_size", last_letter + 1 + half - F.col("_low"))
+    w = w.withColumns({"window_text": F.trim(F.substring("text", F.col("_low") + 1, F.col("_size"))), "_w": F.substring("_norm", low + 1, size)})
     w = w.select("ddb_id", F.col("m.found").alias("grain_form"), "char_offset", "window_text", F.col("_w").rlike(profile.money).alias("has_money"), F.col("_w").rlike(profile.unit).alias("has_unit"), F.col("window_text").rlike("[0-9]").alias("has_number"), F.col("_w").rlike(profile.priceword).alias("has_priceword"))
     return w.filter("has_number") if need_number else w
 
