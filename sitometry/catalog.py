@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import numbers, text
-from .operators import analysis, harvest, linking, nearest, recall, sampling, windows
+from .operators import analysis, funnel, harvest, linking, nearest, recall, sampling, windows
 from .plans import flows, statements
 from .vocab import PROSE
 
@@ -194,6 +194,22 @@ def harvest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("ddb_id").alias("doc_id"), "block_match_count", "priceword_hit", "score")
 
 
+@_query(f"""WITH {_HARVEST}, k AS (SELECT doc_id, bool_or(m) AS m, bool_or(p) AS p, bool_or(u) AS u FROM h WHERE m OR p GROUP BY doc_id),
+c AS (SELECT 0 AS step, 'documents' AS stage, 'rows' AS measure, count(*) AS n, count(*) AS total FROM documents UNION ALL SELECT 0, 'documents', 'with_digit', count(*) FILTER (regexp_matches(text, '[0-9]')), count(*) FROM documents
+  UNION ALL SELECT 1, 'blocks', 'rows', count(*), (SELECT count(*) FROM documents) FROM b UNION ALL SELECT 2, 'gated', 'rows', count(*), (SELECT count(*) FROM documents) FROM h WHERE m OR p
+  UNION ALL SELECT 2, 'gated', 'with_money', count(*) FILTER (m), count(*) FROM h WHERE m OR p UNION ALL SELECT 2, 'gated', 'with_unit', count(*) FILTER (u), count(*) FROM h WHERE m OR p
+  UNION ALL SELECT 3, 'candidates', 'rows', count(*), (SELECT count(*) FROM documents) FROM k UNION ALL SELECT 3, 'candidates', 'scored_2', count(*) FILTER (m::INTEGER + p::INTEGER + u::INTEGER >= 2), count(*) FROM k)
+SELECT step, stage, measure, n, round(n / nullif(total, 0)::DOUBLE, 6) AS share FROM c""")
+def harvest_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents, blocks, gated blocks and candidates there are, counted while the harvest runs."""
+    f = funnel.Funnel()
+    docs = f.watched(_table(spark, sf_dir, "documents"), "documents", with_digit=F.col("text").rlike("[0-9]"))
+    blocks = f.watched(harvest.text_blocks(docs, "doc_id", "text"), "blocks")
+    gated = f.watched(harvest.gated_blocks(blocks, PROSE), "gated", with_money=F.col("has_money"), with_unit=F.col("has_unit"))
+    f.watched(harvest.gathered(gated, PROSE), "candidates", scored_2=F.col("score") >= 2).write.format("noop").mode("overwrite").save()
+    return f.table(spark).withColumn("share", F.round("share", 6))
+
+
 @_query(rf"""WITH d AS (SELECT doc_id, {_NORM.format('text')} AS norm FROM documents),
 w AS (SELECT doc_id, norm, unnest(range(1, len(string_split(norm, ' ')) + 1)) AS i FROM d), t AS (SELECT doc_id, i - 1 AS tok, string_split(norm, ' ')[i] AS word FROM w)
 SELECT doc_id, tok::INTEGER AS tok, word FROM t WHERE regexp_matches(word, '^(inge|onth)')""")

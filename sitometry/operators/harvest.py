@@ -50,7 +50,11 @@ def candidates(blocks: DataFrame, profile: Profile, snippets: int = 3, width: in
 
     Stems are collected, not words. The aggregate combines before its shuffle.
     """
-    g = gated_blocks(blocks, profile, **flags)
+    return gathered(gated_blocks(blocks, profile, **flags), profile, snippets, width)
+
+
+def gathered(g: DataFrame, profile: Profile, snippets: int = 3, width: int = 300) -> DataFrame:
+    """The candidate documents of gated blocks."""
     stem = lambda p: F.array_distinct(F.regexp_extract_all("norm", F.lit(p), 1))
     g = g.withColumns({"grain": stem(profile.grain), "unit": stem(profile.unit), "money": stem(profile.money), "snip": F.left("raw", F.lit(width))})
     union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c))))

@@ -8,11 +8,12 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.aligned import normalized_with_map, written_place
 from ..functions.text import json_object, matches, normalized
+from ..sources.scratch import stored
 from ..vocab import Profile
 
 ANSWER = "is_price boolean, price_value double, price_unit string, qty_value double, qty_unit string, confidence double, reason string"
@@ -114,6 +115,64 @@ def asked(w: DataFrame, client: Callable[[str, str], str] | None, retries: int =
     return out.mapInPandas(run, schema)
 
 
+def answered(w: DataFrame, client: Callable[[str, str], str], path: str, retries: int = 5, pause: float = 1.0, wave: int = 1000) -> DataFrame:
+    """Each window with its ``answer``, ``error`` and ``asked``, by way of a table of answers at ``path``.
+
+    A window is told by the digest of its prompt. Windows with a stored answer or error are not asked again,
+    and equal ones are asked once. The others go out in waves of about ``wave`` windows; each wave's answers are
+    appended before the next one starts, so a run that fails loses at most the wave it is in, and a plan that is
+    evaluated twice reads the table. A rate limit ends the calls of its task at once and all calls after the wave: what
+    was not asked has ``asked`` false, and another run takes it up.
+    """
+    spark = w.sparkSession
+    rows = prompted(w).withColumn("digest", F.sha2("prompt", 256))
+    shape = "digest string, answer string, error string"
+    _ready(spark, path, shape)
+    known = spark.read.schema(shape).parquet(path)
+    todo = rows.select("digest", "prompt").dropDuplicates(["digest"]).join(known, "digest", "left_anti")
+    waves = max(1, -(-todo.count() // wave))
+    todo = stored(todo.withColumn("wave", F.pmod(F.xxhash64("digest"), F.lit(waves)).cast("int")), "prompts")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stopped = False
+        for b in batches:
+            said = []
+            for prompt in b["prompt"]:
+                answer, error, stopped = (None, None, True) if stopped else _called(client, prompt, retries, pause)
+                said.append((answer, error, stopped))
+            b["answer"], b["error"], b["left"] = zip(*said) if said else ([], [], [])
+            yield b[["digest", "answer", "error", "left"]]
+
+    for k in range(waves):
+        left = Observation()
+        out = todo.filter(F.col("wave") == k).repartition(spark.sparkContext.defaultParallelism).mapInPandas(run, f"{shape}, left boolean")
+        out.observe(left, F.count_if(F.col("left")).alias("left")).filter("not left").drop("left").write.mode("append").parquet(path)
+        if left.get["left"]:
+            break
+    now = spark.read.schema(shape).parquet(path).withColumn("asked", F.lit(True))
+    return rows.join(now, "digest", "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
+
+
+def _ready(spark: SparkSession, path: str, shape: str) -> None:
+    """An empty table where there is none."""
+    spark.createDataFrame([], shape).write.mode("append").parquet(path)
+
+
+def _called(client: Callable[[str, str], str], prompt: str, retries: int, pause: float) -> tuple[str | None, str | None, bool]:
+    """Answer, error and whether the client must stop; failures are tried again with growing pauses."""
+    error = None
+    for k in range(retries):
+        try:
+            return client(SYSTEM, prompt), None, False
+        except RateLimit:
+            return None, None, True
+        except Exception as e:
+            error = str(e)
+            if pause and k + 1 < retries:
+                time.sleep(pause * (2**k + random.random()))
+    return None, error, False
+
+
 def judged(answers: DataFrame) -> DataFrame:
     """Answers parsed by ``ANSWER``'s keys; one that is no JSON object is an error and no price."""
     parsed = answers.withColumn("_j", F.from_json(json_object(F.col("answer")), ANSWER))
