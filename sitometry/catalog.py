@@ -464,6 +464,35 @@ def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.by_score_and_clarity(rows, 20, "o_orderkey", fill=True).withColumn("score", F.round("score", 6))
 
 
+# a document's rule row is told by its label: the first one that is not toxic
+_SHEET = ("Human_Commodity", "Human_Qty", "Human_Unit", "Human_Price", "Human_Currency", "Human_Notes", "RB_Qty_Value", "RB_Qty_Unit", "RB_Price_Value", "RB_Price_Cur", "RB_Context_Type", "RB_Signal_Type", "RB_Signal_Strength", "RB_Neg_Signals",
+  "LLM_Is_Price", "LLM_Confidence", "LLM_Commodity", "LLM_Qty", "LLM_Unit", "LLM_Price", "LLM_Currency", "LLM_Reasoning", "Title", "Date_NotBefore", "Date_NotAfter")
+
+
+@_query(f"""WITH n AS (SELECT doc_id AS ddb_id, text, lang, {_NORM.format('text')} AS norm FROM documents),
+r AS (SELECT ddb_id, unnest(regexp_extract_all(norm, '{_RUN}')) AS w, unnest(range(1, len(regexp_extract_all(norm, '{_RUN}')) + 1)) AS i FROM n),
+t AS (SELECT ddb_id, w, (sum(length(w)) OVER (PARTITION BY ddb_id ORDER BY i) - length(w))::BIGINT AS start FROM r),
+f AS (SELECT * FROM t WHERE regexp_matches(w, '^(erin|tion)') QUALIFY row_number() OVER (PARTITION BY ddb_id, start // 50 ORDER BY start) = 1),
+c AS (SELECT ddb_id, lang, w, start, ddb_id || ':' || start AS key, trim(substr(text, greatest(start - 100, 0) + 1, start + length(w) + 100 - greatest(start - 100, 0))) AS window_text, substr(norm, greatest(start - 100, 0) + 1, start + length(w) + 100 - greatest(start - 100, 0)) AS cut FROM f JOIN n USING (ddb_id)),
+k AS (SELECT *, {_CUES}, CASE WHEN ddb_id IN (SELECT doc_id FROM labels) THEN 'A' ELSE 'B' END AS stratum FROM c),
+s AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY stratum, has_money ORDER BY md5('42:' || key), key) <= CASE WHEN stratum = 'A' THEN CASE WHEN has_money THEN 25 ELSE 11 END ELSE CASE WHEN has_money THEN 16 ELSE 8 END END),
+l AS (SELECT doc_id AS ddb_id, min(quality) FILTER (toxic = 0) AS score, bool_or(doc_id % 2 = 0) AS labelled FROM labels GROUP BY ALL)
+SELECT row_number() OVER (ORDER BY stratum, key)::INTEGER AS "Sample_ID", stratum AS "Sample_Stratum", ddb_id AS "DDB_ID", lang AS "Place", w AS "Grain_Form", window_text AS "Context_Window", has_money AS "Has_Money_Cue", has_unit AS "Has_Unit_Cue", has_number AS "Has_Number",
+  CASE WHEN coalesce(labelled, false) AND starts_with(w, 'erin') THEN 'TP' ELSE '' END AS "Human_Label", CASE WHEN score IS NULL THEN '' ELSE 'f' || score END AS "RB_Grain_Form", coalesce(score::VARCHAR, '') AS "RB_Score", CASE WHEN score IS NULL THEN '' ELSE 'no' END AS "RB_Priceword_Near",
+  {', '.join(f"'' AS " + chr(34) + x + chr(34) for x in _SHEET)} FROM s LEFT JOIN l USING (ddb_id)""")
+def gold_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixty windows by the quotas, in the annotator's sheet."""
+    c = F.col
+    docs = _table(spark, sf_dir, "documents").select(c("doc_id").alias("ddb_id"), "text", c("lang").alias("place"))
+    labels = _table(spark, sf_dir, "labels")
+    w = windows.windows(docs.drop("place"), PROSE, need_number=False).withColumn("key", F.concat_ws(":", "ddb_id", "char_offset"))
+    sample = sampling.gold_sample(w, labels.select(c("doc_id").alias("ddb_id")), 60, "key").join(docs.select("ddb_id", "place"), "ddb_id")
+    rules = {"Grain_Form": F.concat(F.lit("f"), c("quality")), "Score": c("quality"), "Priceword_Near": F.lit("no")}
+    linked = labels.select(c("doc_id").alias("DDB_ID"), F.when(c("toxic") == 0, "yes").otherwise("no").alias("Is_Primary"), *[rules.get(x, F.lit(None)).alias(x) for x in sampling.BY_RULES])
+    known = labels.filter("doc_id % 2 = 0").select(c("doc_id").alias("ddb_id"), F.lit("erinx").alias("label_form"), F.lit("TP").alias("label"), F.lit(1).alias("priority")).distinct()
+    return sampling.gold_sheet(sample, linked, known, "key", ["Score"])
+
+
 @_query("SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'B' ELSE 'A' END AS stratum FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id")
 def semi_anti_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents").select("doc_id"), _table(spark, sf_dir, "labels").select("doc_id").distinct()
