@@ -6,7 +6,7 @@ import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 TEI = "{http://www.tei-c.org/ns/1.0}"
@@ -14,10 +14,19 @@ BLOCK_TAGS = tuple(TEI + t for t in ("ab", "p", "seg", "l"))
 BLOCKS = "array<struct<div_no:int,block_no:int,tag:string,raw:string,value_text:string,bar_text:string,num_tags:int,num_values:array<string>,num_texts:array<string>>>"
 
 
-def read_xml(spark: SparkSession, root: str) -> DataFrame:
-    """``path, xml`` of every ``*.xml`` below a folder, by any file system Spark reads."""
+def read_files(spark: SparkSession, root: str) -> DataFrame:
+    """``path, content`` of every ``*.xml`` below a folder, by any file system Spark reads."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.xml").load(root)
-    return files.select(F.replace("path", F.lit("\\"), F.lit("/")).alias("path"), F.decode("content", "UTF-8").alias("xml"))
+    return files.select(F.replace("path", F.lit("\\"), F.lit("/")).alias("path"), "content")
+
+
+def decoded(content: str) -> Column:
+    return F.decode(content, "UTF-8")
+
+
+def read_xml(spark: SparkSession, root: str) -> DataFrame:
+    """``path, xml`` of every ``*.xml`` below a folder."""
+    return read_files(spark, root).select("path", decoded("content").alias("xml"))
 
 
 def of_candidates(candidates: DataFrame, files: DataFrame, root: str, rel_path: str = "rel_path") -> DataFrame:
@@ -113,15 +122,17 @@ def parse(xml: str, commentary: bool = False) -> tuple[str, list[dict]] | None:
     return (_ident(root), blocks)
 
 
-def parsed(files: DataFrame, commentary: bool = False) -> DataFrame:
-    """``path, ok, ddb_id, blocks`` of ``files(path, xml)``: one pass, a bad file is a row not ok."""
+def parsed(files: DataFrame, commentary: bool = False, also: list[str] = []) -> DataFrame:  # noqa: B006
+    """``path, ok, ddb_id, blocks`` of ``files(path, xml)``, and the columns of text ``also``: one pass, a bad file is a
+    row not ok."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             found = [parse(x or "", commentary) for x in b["xml"]]
-            yield pd.DataFrame({"path": b["path"], "ok": [f is not None for f in found], "ddb_id": [f[0] if f else None for f in found], "blocks": [f[1] if f else [] for f in found]})
+            yield pd.DataFrame({"path": b["path"], **{c: b[c] for c in also}, "ok": [f is not None for f in found], "ddb_id": [f[0] if f else None for f in found], "blocks": [f[1] if f else [] for f in found]})
 
-    return files.select("path", "xml").mapInPandas(run, f"path string, ok boolean, ddb_id string, blocks {BLOCKS}")
+    kinds = "".join(f"{c} string, " for c in also)
+    return files.select("path", "xml", *also).mapInPandas(run, f"path string, {kinds}ok boolean, ddb_id string, blocks {BLOCKS}")
 
 
 def blocks_of(documents: DataFrame) -> DataFrame:

@@ -19,10 +19,20 @@ def new_files(spark: SparkSession, root: str) -> DataFrame:
 
 
 def harvest_new(spark: SparkSession, root: str, out: str, checkpoint: str, profile: Profile = GREEK) -> StreamingQuery:
-    """Appends the candidates among the files that came since the last run, then stops."""
+    """Writes the candidates among the files that came since the last run, then stops.
 
-    def write(batch: DataFrame, _: int) -> None:
+    Each batch has its own folder, which a batch that is delivered again writes over.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
         blocks = epidoc.blocks_of(epidoc.parsed(batch))
-        harvest.candidates(blocks, profile).write.mode("append").parquet(out)
+        harvest.candidates(blocks, profile).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return new_files(spark, root).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest(spark: SparkSession, out: str) -> DataFrame:
+    """Of candidates with one id those of the last batch: a file that was changed came again."""
+    rows = spark.read.parquet(out)
+    last = rows.groupBy("ddb_id").agg(F.max("batch").alias("batch"))
+    return rows.join(last, ["ddb_id", "batch"], "left_semi").drop("batch")
