@@ -129,7 +129,7 @@ def tiering(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _REASONS = (
     ("ambiguous", "l_returnflag = 'A'", 3.0), ("low_score(<25)", "l_quantity < 25", 2.5), ("missing_or_bad_qty", "l_partkey % 7 = 0 OR l_partkey % 11 = 0", 2.0),
-    ("wide_span(>=60)", "l_suppkey % 80 >= 60", 1.5), ("far_grain_price(>=35)", "l_partkey % 50 >= 35", 1.2), ("no_priceword_near", "l_linestatus <> 'O'", 1.0),
+    ("wide_span(>=60)", "l_suppkey % 80 >= 60", 1.5), ("far_grain_price(>=35)", "l_partkey % 50 >= 35", 1.2), ("no_priceword_near", "l_linestatus <> 'O' AND l_partkey % 13 > 0", 1.0),
     ("weak_signal(<0.5)", "l_discount * 10 < 0.5", 0.0), ("has_negative_signals", "l_tax >= 0.05", 1.5), ("group_outlier_raw_unitprice", "l_quantity > 45", 2.0),
     ("group_outlier_std_price_per_liter", "l_linenumber = 5", 2.0), ("unitprice_top1pct", "price >= cut", 0.0),
 )
@@ -145,7 +145,7 @@ def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.select(
         "l_orderkey", "l_linenumber", c("l_quantity").alias("score"), numbers.unit_price(c("l_extendedprice"), c("l_quantity")).alias("price"), (c("l_returnflag") == "A").alias("ambiguous"),
         F.when(c("l_partkey") % 7 == 0, None).when(c("l_partkey") % 11 == 0, 0.0).otherwise(1.0).alias("qty"), (c("l_suppkey") % 80).alias("span"), (c("l_partkey") % 50).alias("dist"),
-        (c("l_linestatus") == "O").alias("priceword"), (c("l_discount") * 10).alias("strength"), F.when(c("l_tax") >= 0.05, "TAX").otherwise("").alias("neg_signals"),
+        F.when(c("l_partkey") % 13 > 0, c("l_linestatus") == "O").alias("priceword"), (c("l_discount") * 10).alias("strength"), F.when(c("l_tax") >= 0.05, "TAX").otherwise("").alias("neg_signals"),
         (c("l_quantity") > 45).alias("outlier_raw"), (c("l_linenumber") == 5).alias("outlier_std"),
     )
     return analysis.review_queue(rows, 600, ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", "reasons", F.round("priority", 6).alias("priority"))

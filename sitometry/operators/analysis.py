@@ -143,7 +143,7 @@ def review_queue(df: DataFrame, n: int, tie: list[str], low_score: float = 25.0)
     """Rows with a reason for review, the weightiest first.
 
     Columns: ambiguous, score, qty, span, dist, priceword, outlier_raw, outlier_std, strength,
-    neg_signals, price. A missing strength is no reason but counts as 0 in the weight; being among
+    neg_signals, price. A missing strength is no reason but counts as 0 in the weight, and a missing price word is neither; being among
     the dearest hundredth is a reason without weight.
     """
     no = lambda c: F.coalesce(c, F.lit(False))
@@ -160,7 +160,7 @@ def review_queue(df: DataFrame, n: int, tie: list[str], low_score: float = 25.0)
         ("missing_or_bad_qty", bad_qty, 2.0),
         ("wide_span(>=60)", no(c("span") >= 60), 1.5),
         ("far_grain_price(>=35)", no(c("dist") >= 35), 1.2),
-        ("no_priceword_near", ~no(c("priceword")), 1.0),
+        ("no_priceword_near", no(~c("priceword")), 1.0),
         ("weak_signal(<0.5)", no(c("strength") < 0.5), 0.0),
         ("has_negative_signals", neg, 1.5),
         ("group_outlier_raw_unitprice", no(c("outlier_raw")), 2.0),
