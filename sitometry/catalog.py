@@ -164,6 +164,67 @@ def convert_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("l_orderkey", "l_linenumber", "unit", "currency", F.round(numbers.in_litres(F.col("l_quantity"), F.col("unit")), 6).alias("litres"), F.round(numbers.in_drachmas(F.col("l_extendedprice"), F.col("currency")), 6).alias("drachmas"))
 
 
+# the line items as linked rows in Greek: names to be made canonical, amounts and dates in their written forms
+_GRAIN = (("ECONOMY", "πυροῦ", "wheat (pyros)"), ("SMALL", "Κριθῶν", "barley (krithē)"), ("MEDIUM", "σίτου", "grain (sitos)"), ("PROMO", "ὀλύρας", "emmer (olyra)"), ("STANDARD", "Ἄλλο  τι", "αλλο τι"))
+_COIN = (("A", "ὀβολοί", "obol", "1.0::DOUBLE / 6.0::DOUBLE"), ("N", "δραχμὰς", "drachma", "1.0::DOUBLE"), ("R", "Μνᾶς", "mina", "100.0::DOUBLE"))
+
+
+@_query(f"""WITH r AS (SELECT l_orderkey, l_linenumber, CASE p_type {' '.join(f"WHEN '{k}' THEN '{v}'" for k, _, v in _GRAIN)} ELSE '' END AS grain, CASE l_linestatus WHEN 'O' THEN 'artaba' ELSE 'choenix' END AS unit, CASE l_returnflag {' '.join(f"WHEN '{k}' THEN '{v}'" for k, _, v, _ in _COIN)} END AS currency,
+  CASE s_nationkey % 4 WHEN 0 THEN 'Oxyrhynchite' WHEN 1 THEN 'Arsinoite' ELSE 'Unknown' END AS place_canon, CASE l_linenumber % 3 WHEN 0 THEN floor(l_quantity) / 4 WHEN 1 THEN floor(l_quantity) END AS qty, floor(l_extendedprice) AS price,
+  CASE l_returnflag {' '.join(f"WHEN '{k}' THEN {v}" for k, _, _, v in _COIN)} END AS factor, (year(l_shipdate) - 1900)::DOUBLE AS y, l_suppkey FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey),
+d AS (SELECT *, CASE WHEN l_linenumber % 2 = 1 THEN y WHEN l_suppkey % 5 = 0 THEN -y ELSE (-y + y + 3) / 2 END AS year, CASE WHEN qty > 0 THEN price / qty END AS unit_price_raw, price * factor AS price_drachma, qty * CASE unit WHEN 'artaba' THEN 38.8::DOUBLE ELSE 1.08::DOUBLE END AS qty_litres FROM r),
+l AS (SELECT *, CASE WHEN qty_litres > 0 THEN price_drachma / qty_litres END AS per FROM d)
+SELECT l_orderkey, l_linenumber, grain, unit, currency, place_canon, year, (floor(year / 25) * 25)::INTEGER AS year_bin, round(unit_price_raw, 6) AS unit_price_raw, round(price_drachma, 6) AS price_drachma, round(qty_litres, 6) AS qty_litres, round(per, 6) AS price_per_litre, round(per * 38.8::DOUBLE, 3) AS price_per_artaba,
+  round(CASE WHEN per > 0 THEN log10(per) END, 6) AS log10_price_per_litre, 'a' || chr(10) || ' b c' AS context_window FROM l""")
+def canonicalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Linked rows cleaned: canonical names, numbers, years, bins and standard prices."""
+    c = F.col
+    parts = _table(spark, sf_dir, "part").select(c("p_partkey").alias("l_partkey"), "p_type")
+    at = _table(spark, sf_dir, "supplier").select(c("s_suppkey").alias("l_suppkey"), "s_nationkey")
+    rows = _table(spark, sf_dir, "lineitem").join(parts, "l_partkey").join(at, "l_suppkey")
+    whole = F.floor("l_quantity").cast("long").cast("string")
+    year = F.format_string("%04d", F.year("l_shipdate") - 1900)
+    later = F.format_string("%04d", F.year("l_shipdate") - 1897)
+    odd, open_ = c("l_linenumber") % 2 == 1, c("l_suppkey") % 5 == 0
+    rows = rows.select(
+        "l_orderkey", "l_linenumber", numbers.first_true([(c("p_type") == k, F.lit(v)) for k, v, _ in _GRAIN], F.lit(None)).alias("grain_form"), F.when(c("l_linestatus") == "O", "Ἀρτάβας").otherwise("χοίνικας").alias("qty_unit"),
+        numbers.first_true([(c("l_returnflag") == k, F.lit(v)) for k, v, _, _ in _COIN], F.lit(None)).alias("price_cur"), F.when(c("s_nationkey") % 4 == 0, "Oxyrhynchos").when(c("s_nationkey") % 4 == 1, "nome of Arsinoe").when(c("s_nationkey") % 4 == 3, "Rome").alias("place"),
+        F.when(c("l_linenumber") % 3 == 0, F.concat(whole, F.lit("/4"))).when(c("l_linenumber") % 3 == 1, whole).otherwise("x").alias("qty_value"), F.floor("l_extendedprice").cast("long").cast("string").alias("price_value"),
+        F.when(odd, F.concat(year, F.lit("-05-06"))).otherwise("").alias("date_when"), F.when(~odd, F.concat(F.lit("-"), year)).alias("date_notbefore"), F.when(~odd & ~open_, later).alias("date_notafter"), F.lit(" a\r\n b \t c ").alias("context_window"),
+    )
+    out = flows.cleaned_rows(rows)
+    rounded = [F.round(x, 6).alias(x) for x in ("unit_price_raw", "price_drachma", "qty_litres", "price_per_litre", "log10_price_per_litre")]
+    rounded.append(F.round("price_per_artaba", 3).alias("price_per_artaba"))  # up to 10^9: doubles hold no more
+    return out.select("l_orderkey", "l_linenumber", "grain", "unit", "currency", "place_canon", "year", "year_bin", *rounded, "context_window")
+
+
+# the parts are a list of printed references, the suppliers what was found
+_REFERENCES = """e AS (SELECT p_partkey AS entry, p_partkey // 5 AS k, CASE p_partkey % 5 WHEN 0 THEN ['bgu;1;' || p_partkey // 5] WHEN 1 THEN ['p.oxy;2;' || p_partkey // 5] WHEN 2 THEN ['p.sarap;;' || p_partkey // 5] WHEN 3 THEN ['unknown ' || p_partkey // 5] ELSE ['p.ryl;2;' || p_partkey // 5, 'p.ryl;2;' || (p_partkey // 5 + 1)] END AS ids FROM part),
+c AS (SELECT DISTINCT left(id, length(id) - i) AS id FROM (SELECT 'bgu;1;' || s_suppkey AS id FROM supplier UNION ALL SELECT 'p.ryl;2;' || s_suppkey FROM supplier), range(0, 4) r(i)), l AS (SELECT DISTINCT left(id, length(id) - i) AS id FROM (SELECT 'p.oxy;2;' || s_suppkey || '9' AS id FROM supplier), range(0, 4) r(i)),
+m AS (SELECT entry, array_to_string(ids, '; ') AS ids, list_has_any(ids, (SELECT list(id) FROM c)) AS in_candidates, list_has_any(ids, (SELECT list(id) FROM l)) AS in_linked FROM e)"""
+
+
+def _references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.expr("p_partkey div 5").cast("string")
+    told = F.when(F.col("p_partkey") % 5 == 0, F.concat(F.lit("BGU I "), k)).when(F.col("p_partkey") % 5 == 1, F.concat(F.lit("P. Oxy. 2."), k, F.lit(" recto"))).when(F.col("p_partkey") % 5 == 2, F.concat(F.lit("P.Sarap. "), k, F.lit(" (late)")))
+    told = told.when(F.col("p_partkey") % 5 == 3, F.concat(F.lit("Unknown "), k)).otherwise(F.concat(F.lit("P.Ryl. 2."), k, F.lit(",  "), F.expr("p_partkey div 5 + 1").cast("string")))
+    entries = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("entry"), told.alias("source"))
+    found = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("s"))
+    named = lambda first, last="": found.select(F.concat(F.lit(first), "s", F.lit(last)).alias("id"))
+    return recall.recall_report(entries, {"candidates": named("bgu;1;").union(named("p.ryl;2;")), "linked": named("p.oxy;2;", "9")})
+
+
+@_query(f"WITH {_REFERENCES} SELECT * FROM m")
+def recall_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _references(spark, sf_dir).select("entry", F.array_join("ids", "; ").alias("ids"), "in_candidates", "in_linked")
+
+
+@_query(f"WITH {_REFERENCES} SELECT count(*) AS entries, round(avg(in_candidates::INTEGER), 6) AS recall_candidates, round(avg(in_linked::INTEGER), 6) AS recall_linked FROM m")
+def recall_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = recall.recall_summary(_references(spark, sf_dir))
+    return out.select("entries", F.round("recall_candidates", 6).alias("recall_candidates"), F.round("recall_linked", 6).alias("recall_linked"))
+
+
 _NORM = "trim(regexp_replace(replace(strip_accents(lower({0})), 'ß', 'ss'), '\\s+', ' ', 'g'))"
 
 
