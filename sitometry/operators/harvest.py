@@ -16,12 +16,12 @@ def text_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def sieved(docs: DataFrame, text_col: str, profile: Profile) -> DataFrame:
-    """Only texts that could hold a commodity, by a pattern on raw text, before any Python runs.
+    """Only texts that could hold a commodity, by patterns on raw text, before any Python runs.
 
-    Use it for text that needs no normalisation (plain ASCII vocabularies): the stems are matched
-    without regard to case.
+    Plain ASCII text is normalised by letter case and blanks alone, so the stems are looked for as they stand; text with
+    any other character passes, since normalisation may make a stem of it.
     """
-    return docs.filter(F.col(text_col).rlike("(?i)" + profile.grain))
+    return docs.filter(F.col(text_col).rlike("(?i)" + profile.grain) | F.col(text_col).rlike(r"[^\x00-\x7F]"))
 
 
 def number_kind(raw: Column, norm: Column, num_tags: Column, profile: Profile) -> Column:
