@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbers import passing
 from ..vocab import Profile
 from .linking import refused, score
 from .nearest import nearest, within
@@ -61,7 +62,7 @@ def long_events(found: DataFrame, column: str, profile: Profile) -> DataFrame:
 
 def accepted(m: DataFrame, profile: Profile) -> DataFrame:
     """The mentions that are not refused, numbered from 1 within their block as found, without the block's arrays."""
-    rows = m.filter(~refused()).withColumns({"stops": _stops(profile), "grain_index": F.array_position("grains", F.col("grain")).cast("int"), "tok": F.col("grain.tok")})
+    rows = passing(m, ~refused()).withColumns({"stops": _stops(profile), "grain_index": F.array_position("grains", F.col("grain")).cast("int"), "tok": F.col("grain.tok")})
     rows = rows.withColumns(_counts(F.col("tok")))
     return rows.select(*MENTION, "ddb_id", "tok", F.col("grain.form").alias("form"), F.col("grain.start").alias("start"), "class", "has_unit", "stops_before", "stops_upto")
 
@@ -83,7 +84,7 @@ def ranked(mentions: DataFrame, prices: DataFrame, qtys: DataFrame, window: int
     pairs = pairs.withColumns({"dist_gp": F.col("distance"), "dist_gq": F.coalesce(d_qty, F.lit(-1)), "boundary": _between("", "price."), "low_tok": F.least(tok, F.col("price.tok"), q_tok), "high_tok": F.greatest(tok, F.col("price.tok"), q_tok)})
     pairs = pairs.withColumns({"span_toks": F.col("high_tok") - F.col("low_tok"), "priceword_near": F.col("price.priceword_near")})
     value = score(F.col("class.strength"), F.col("dist_gp"), d_qty, F.col("has_unit") | F.col("qty").isNotNull(), F.col("boundary"), F.col("competing"))
-    pairs = pairs.withColumn("score", value).filter(F.col("score") >= least)
+    pairs = passing(pairs.withColumn("score", value), F.col("score") >= least)
     best = each.orderBy(F.desc("score"), F.desc(F.col("qty").isNotNull()), "span_toks", "dist_gp", "price.tok", "price.seq")
     following = lambda c: F.lead(c).over(best)
     out = pairs.withColumns({"candidate_rank": F.row_number().over(best), "_score": following("score"), "_price": following(_shown("price")), "_qty": following(_shown("qty"))})
