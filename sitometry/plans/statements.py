@@ -32,15 +32,19 @@ class Tables(NamedTuple):
     rejected: DataFrame
 
 
-def statements(blocks: DataFrame, profile: Profile = GREEK, metadata: DataFrame | None = None, need_unit: bool = False, window: int = 80, least: float = 25.0, several: bool = False, choice: Choice = Choice(), top: int = 1, primary: str = "also", keep: int = 2000) -> Tables:
+def statements(blocks: DataFrame, profile: Profile = GREEK, metadata: DataFrame | None = None, need_unit: bool = False, window: int = 80, least: float = 25.0, several: bool = False, choice: Choice = Choice(), top: int = 1, primary: str = "also", keep: int = 2000, store: bool = True) -> Tables:
     """``linked`` (34 columns), ``mentions`` (21) and ``rejected`` (8) of ``blocks``.
 
     Gated blocks are numbered through their document; a block without events keeps its number and its row in ``mentions``. Links
     and refusals come from blocks with a commodity and a price. ``several``: each mention with its candidates, one of them
     primary; else one row a mention. ``metadata`` has a row for each ``ddb_id``; what is missing is the empty text.
-    The blocks are normalised and searched once: what was found is stored, and the three tables read it.
+    The blocks are normalised and searched once: what was found is stored, and the three tables read it. Without
+    ``store`` each table searches the blocks itself, for what it needs, and nothing is written: for callers of one table.
     """
-    parse = stored(_parsed(blocks, profile, metadata, need_unit), "statements")
+    parse = _parsed(blocks, profile, metadata, need_unit)
+    if store or several:
+        # the tokens are cut again from their texts, which is quicker than to store them
+        parse = stored(parse.drop("tokens", "value_tokens"), "statements").withColumns(linking.tokens_of(fixed=False))
     with_price = parse.filter((F.size("grains") > 0) & (F.size("prices") > 0))
     m = linking.mentions(with_price, profile)
     index = F.array_position("grains", F.col("grain")).cast("int")
@@ -61,14 +65,15 @@ def _parsed(blocks: DataFrame, profile: Profile, metadata: DataFrame | None, nee
     g = gated(blocks, profile, need_unit).withColumn("doc", doc_key(blocks))
     place = [c for c in ("div_no", "block_no") if c in g.columns]
     g = g.withColumn("mention_id", F.row_number().over(Window.partitionBy("doc").orderBy(*place)))
-    found = linking.block_hits(linking.events(g, profile, every_block=True), profile)
-    for c in ("qtys", "amounts"):
-        found = linking.distinct_values(found, c)
     about = {c: F.lit("") for c in METADATA}
     if metadata is not None:
+        # joined before the events are found: a shuffle of the blocks carries their texts alone
         known = metadata.select(F.col("ddb_id").alias("_id"), *[F.col(c).alias(f"_{c}") for c in METADATA.values()])
-        found = found.join(known, F.col("ddb_id") == F.col("_id"), "left")
+        g = g.join(known, F.col("ddb_id") == F.col("_id"), "left")
         about = {name: F.coalesce(F.col(f"_{c}"), F.lit("")) for name, c in METADATA.items()}
+    found = linking.events(linking.block_hits(g, profile), profile, every_block=True)
+    for c in ("qtys", "amounts"):
+        found = linking.distinct_values(found, c)
     kept = ["ddb_id", "mention_id", "raw", "value_text", "num_values", "num_texts", "priceword_hit", "grain_hits", "unit_hits", "money_hits", "qtys_seen", "amounts_seen", "norm", "tokens", "value_tokens", "has_unit", "grains", "qtys", "prices", "pricewords"]
     tag = F.col("tag") if "tag" in found.columns else F.lit("")
     return found.withColumns({**about, "tag": tag}).select(*KEYS, "tag", *METADATA, *kept)

@@ -3,6 +3,8 @@
 import pytest
 
 from sitometry import catalog
+from sitometry.operators import linking
+from sitometry.vocab import GREEK
 
 DATA = "/root/testdata/sf0.001"
 
@@ -12,3 +14,14 @@ def test_windows_are_searched_once_for_each_class(spark, name):
     plan = catalog.queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("lyed(") + plan.count("(lyed)") <= 2
     assert not [line for line in plan.splitlines() if "Filter " in line and "lyed" in line]
+
+
+def test_amounts_are_searched_once(spark):
+    """Six patterns find quantities: four with fractions, two without; prices and lists of what was seen read what they found."""
+    rows = [("d", 0, "τιμης πυρου αρταβαι 3 δραχμαι 8", "τιμης πυρου αρταβαι 3 δραχμαι 8")]
+    found = linking.events(spark.createDataFrame(rows, "ddb_id string, block_no int, raw string, value_text string"), GREEK, every_block=True)
+    found = linking.distinct_values(linking.distinct_values(found, "qtys"), "amounts")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(GREEK.unit_core) == 6 and plan.count(GREEK.money_core) == 6
+    assert plan.count(GREEK.near_admin) == 1
+    assert [(e["value"], e["unit"]) for e in found.first()["prices"]] == [("8", "δραχμαι")]

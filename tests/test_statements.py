@@ -56,3 +56,12 @@ def test_debug_amounts_keep_what_links_drop(spark):
 def test_nothing_passes_the_gate(spark, blocks):
     t = statements.statements(blocks.filter(F.lit(False)), GREEK, several=True, choice=Choice())
     assert [x.count() for x in t] == [0, 0, 0]
+
+
+def test_one_table_without_a_store(spark, blocks, monkeypatch):
+    """The same rows, and nothing is written for them."""
+    want = statements.statements(blocks, GREEK)
+    monkeypatch.setattr(statements, "stored", lambda *_: pytest.fail("written"))
+    got = statements.statements(blocks, GREEK, store=False)
+    for a, b in zip(got, want):
+        assert a.dtypes == b.dtypes and sorted(a.collect(), key=str) == sorted(b.collect(), key=str) and b.count() > 0
