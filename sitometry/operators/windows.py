@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.aligned import normalized_with_map, written_place
+from ..functions.numbers import held
 from ..functions.text import json_object, matches, normalized
 from ..sources.scratch import stored
 from ..vocab import Profile
@@ -44,10 +45,11 @@ def windows(docs: DataFrame, profile: Profile, width: int = 200, need_number: bo
         d = docs.withColumn("_map", normalized_with_map("text")).select("*", F.col("_map.norm").alias("_norm"), F.col("_map.breaks").alias("_breaks")).filter(F.col("_norm").rlike(profile.grain))
     else:
         d = docs.withColumn("_norm", normalized("text")).filter(F.col("_norm").rlike(profile.grain))
-    w = d.withColumn("m", F.explode(matches(F.col("_norm"), profile.grain)))
+    # a document's own list of words is thinned before it is spread: what is cut and shuffled is one narrow row a window
+    found = held(d, _found=matches(F.col("_norm"), profile.grain))
+    apart = lambda m, i: (i == 0) | (F.floor(m["start"] / 50) != F.floor(F.get("_found", i - 1)["start"] / 50))
+    w = found.withColumn("m", F.explode(F.filter("_found", apart)))
     w = w.withColumn("char_offset", F.col("m.start")).withColumn("bucket", F.floor(F.col("char_offset") / 50))
-    first = Window.partitionBy("ddb_id", "bucket").orderBy("char_offset")
-    w = w.withColumn("_n", F.row_number().over(first)).filter("_n = 1")
     low = F.greatest(F.col("char_offset") - half, F.lit(0))
     size = F.col("char_offset") + F.length("m.found") + half - low
     w = w.withColumns({"_low": low, "_size": size})
@@ -55,7 +57,10 @@ def windows(docs: DataFrame, profile: Profile, width: int = 200, need_number: bo
         first_letter, last_letter = (written_place(F.col("_breaks"), c) for c in (F.col("char_offset"), F.col("char_offset") + F.length("m.found") - 1))
         w = w.withColumn("_low", F.greatest(first_letter - half, F.lit(0))).withColumn("_size", last_letter + 1 + half - F.col("_low"))
     w = w.withColumns({"window_text": F.trim(F.substring("text", F.col("_low") + 1, F.col("_size"))), "_w": F.substring("_norm", low + 1, size)})
-    w = w.select("ddb_id", F.col("m.found").alias("grain_form"), "char_offset", "window_text", F.col("_w").rlike(profile.money).alias("has_money"), F.col("_w").rlike(profile.unit).alias("has_unit"), F.col("window_text").rlike("[0-9]").alias("has_number"), F.col("_w").rlike(profile.priceword).alias("has_priceword"))
+    w = w.select("ddb_id", "bucket", F.col("m.found").alias("grain_form"), "char_offset", "window_text", F.col("_w").rlike(profile.money).alias("has_money"), F.col("_w").rlike(profile.unit).alias("has_unit"), F.col("window_text").rlike("[0-9]").alias("has_number"), F.col("_w").rlike(profile.priceword).alias("has_priceword"))
+    # rows that repeat an id share their places
+    first = Window.partitionBy("ddb_id", "bucket").orderBy("char_offset")
+    w = w.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n", "bucket")
     return w.filter("has_number") if need_number else w
 
 

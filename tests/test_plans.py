@@ -3,7 +3,7 @@
 import pytest
 
 from sitometry import catalog
-from sitometry.operators import linking
+from sitometry.operators import linking, windows
 from sitometry.vocab import GREEK
 
 DATA = "/root/testdata/sf0.001"
@@ -25,3 +25,15 @@ def test_amounts_are_searched_once(spark):
     assert plan.count(GREEK.unit_core) == 6 and plan.count(GREEK.money_core) == 6
     assert plan.count(GREEK.near_admin) == 1
     assert [(e["value"], e["unit"]) for e in found.first()["prices"]] == [("8", "δραχμαι")]
+
+
+def test_windows_are_shuffled_without_their_texts(spark):
+    docs = spark.createDataFrame([("d", "πυρου 1 πυρου 2 " + "α " * 30 + "σιτου 3"), ("d", "α κριθησ 4")], "ddb_id string, text string")
+    found = windows.windows(docs, GREEK)
+    plan, sorted_columns = found._jdf.queryExecution().optimizedPlan(), []
+    while plan.children().size():
+        plan = plan.children().apply(0)
+        if plan.nodeName() == "Window":
+            sorted_columns.append({c.split("#")[0] for c in plan.children().apply(0).output().mkString(" ").split()})
+    assert sorted_columns and not any(c & {"text", "_norm"} for c in sorted_columns)
+    assert sorted((r["grain_form"], r["char_offset"]) for r in found.collect()) == [("πυρου", 0), ("σιτου", 76)]
