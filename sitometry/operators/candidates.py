@@ -1,7 +1,7 @@
 """Several candidates a mention: ranking, doubt, and a choice that does not give one price to many mentions.
 
-A mention's candidates are the prices near it, each with the mention's nearest quantity. They come from joins of long event
-tables, so that no row holds the events of a block. Prices are shared out in a block from the best
+A mention's candidates are the prices near it, each with the mention's nearest quantity. Prices come from a join of long event
+tables; the quantity from such a join too, or from the list in the mention's block. Prices are shared out in a block from the best
 candidate down; only mentions that reach a common stretch of prices contend, and each such segment is
 folded by itself.
 """
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import passing
 from ..vocab import Profile
-from .linking import refused, score
+from .linking import nearest_of, refused, score
 from .nearest import nearest, within
 
 #: A block: the document, by its path where it has one, and the block's number in it.
@@ -35,11 +35,16 @@ class Choice:
     doubt: float = 8.0
 
 
-def _stops(profile: Profile) -> Column:
+def stops(profile: Profile) -> Column:
     """Places of the boundary words among a block's tokens."""
     return F.array_compact(F.transform("tokens", lambda t, i: F.when(t.rlike(f"^{profile.boundary}"), i)))
 
 
+def _stops_of(df: DataFrame, profile: Profile) -> Column:
+    """The column ``stops`` where the blocks have it, else looked for."""
+    return F.col("stops") if "stops" in df.columns else stops(profile)
+
+
 def _counts(tok: Column) -> dict[str, Column]:
     """How many boundary words stand before a token, and up to it: their difference between two tokens
     tells what lies strictly between them."""
@@ -55,27 +60,36 @@ def _between(a: str, b: str) -> Column:
 def long_events(found: DataFrame, column: str, profile: Profile) -> DataFrame:
     """``tok, seq, value, unit`` of each event in a column of ``linking.events``, with the boundary words
     before it and, within eight tokens, the price word."""
-    rows = found.select(*KEYS, _stops(profile).alias("stops"), "pricewords", F.explode(column).alias("e"))
+    rows = found.select(*KEYS, _stops_of(found, profile).alias("stops"), "pricewords", F.explode(column).alias("e"))
     near = F.exists("pricewords", lambda t: F.abs(t - F.col("e.tok")) <= 8)
     return rows.withColumns(_counts(F.col("e.tok"))).select(*KEYS, "e.*", "stops_before", "stops_upto", near.alias("priceword_near"))
 
 
-def accepted(m: DataFrame, profile: Profile) -> DataFrame:
-    """The mentions that are not refused, numbered from 1 within their block as found, without the block's arrays."""
-    rows = passing(m, ~refused()).withColumns({"stops": _stops(profile), "grain_index": F.array_position("grains", F.col("grain")).cast("int"), "tok": F.col("grain.tok")})
-    rows = rows.withColumns(_counts(F.col("tok")))
-    return rows.select(*MENTION, "ddb_id", "tok", F.col("grain.form").alias("form"), F.col("grain.start").alias("start"), "class", "has_unit", "stops_before", "stops_upto")
+def accepted(m: DataFrame, profile: Profile, window: int | None = None) -> DataFrame:
+    """The mentions that are not refused, numbered from 1 within their block as found, without the block's arrays.
+
+    ``window``: each with its nearest quantity from the block's list, NULL behind a boundary word; ``ranked`` then joins none.
+    """
+    rows = passing(m, ~refused()).withColumns({"stops": _stops_of(m, profile), "grain_index": F.array_position("grains", F.col("grain")).cast("int"), "tok": F.col("grain.tok")})
+    rows, qty = rows.withColumns(_counts(F.col("tok"))), []
+    if window is not None:
+        rows = rows.withColumn("_qty", nearest_of(F.col("qtys"), F.col("tok"), window))
+        low, high = F.least("tok", "_qty.tok"), F.greatest("tok", "_qty.tok")
+        qty = [F.when(~F.exists("stops", lambda s: (s > low) & (s < high)), F.col("_qty")).alias("qty")]
+    return rows.select(*MENTION, "ddb_id", "tok", *qty, F.col("grain.form").alias("form"), F.col("grain.start").alias("start"), "class", "has_unit", "stops_before", "stops_upto")
 
 
-def ranked(mentions: DataFrame, prices: DataFrame, qtys: DataFrame, window: int = 80, least: float = 25.0, choice: Choice = Choice()) -> DataFrame:
+def ranked(mentions: DataFrame, prices: DataFrame, qtys: DataFrame | None, window: int = 80, least: float = 25.0, choice: Choice = Choice()) -> DataFrame:
     """Each mention's candidates of at least ``least``: ``candidate_rank`` from 1, ``price``, ``qty``, distances and ``score``.
 
     The better score comes first, then a candidate with a quantity, the shorter span, the nearer price
     and the earlier one. A candidate is ``ambiguous`` when the next one's score comes closer than
     ``choice.doubt``, which ``alt_score, alt_qty, alt_price`` then tell.
     """
-    m = nearest(mentions, qtys, KEYS, window, name="qty").drop("distance")
-    m = m.withColumn("qty", F.when(~_between("", "qty."), F.col("qty")))
+    m = mentions
+    if "qty" not in mentions.columns:
+        m = nearest(mentions, qtys, KEYS, window, name="qty").drop("distance")
+        m = m.withColumn("qty", F.when(~_between("", "qty."), F.col("qty")))
     pairs = within(m, prices, KEYS, max(window, 20), name="price")
     each = Window.partitionBy(*MENTION)
     pairs = pairs.withColumn("competing", F.count_if(F.col("distance") <= 20).over(each).cast("int")).filter(F.col("distance") <= window)

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sitometry.operators import candidates
+from sitometry.operators import candidates, linking
 from sitometry.plans import flows
 from sitometry.vocab import GREEK
 
@@ -88,3 +88,16 @@ def test_the_last_boundary_and_the_same_id_in_two_files(spark):
     b = blocks(spark, "κριθησ δραχμαι 5").withColumn("path", F.lit("b"))
     got = flows.candidate_links(a.unionByName(b), GREEK, least=0.0, top=9).collect()
     assert sorted((r["doc"], r["form"], r["price"]["value"]) for r in got) == [("a", "πυρου", "3"), ("b", "κριθησ", "5")]
+
+
+def test_quantities_of_the_block_equal_joined_ones(spark):
+    """Near and far ones, ties, and boundary words between."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["πυρου", "κριθησ", "αρταβαι 3", "4 αρταβων", "δραχμαι 8", "δραχμαι 9", "λοιπον", "α", "β"]) for _ in range(60)) for _ in range(6)]
+    found = linking.events(flows.gated(blocks(spark, *texts), GREEK), GREEK).withColumn("doc", F.col("ddb_id"))
+    m, qtys = linking.mentions(found, GREEK), candidates.long_events(found, "qtys", GREEK)
+    prices = candidates.long_events(found, "prices", GREEK)
+    told = lambda df: sorted((r["block_no"], r["grain_index"], r["candidate_rank"], r["price"]["tok"], r["qty"] and (r["qty"]["tok"], r["qty"]["value"]), round(r["score"], 9), r["alt_qty"]) for r in df.collect())
+    for window in (3, 80):
+        joined = told(candidates.ranked(candidates.accepted(m, GREEK), prices, qtys, window, 0.0))
+        assert joined == told(candidates.ranked(candidates.accepted(m, GREEK, window), prices, None, window, 0.0)) and any(r[4] for r in joined)
