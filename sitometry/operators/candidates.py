@@ -13,9 +13,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import passing
+from ..functions.numbers import held, passing
 from ..vocab import Profile
-from .linking import nearest_of, refused, score
+from .linking import distances, nearest_of, refused, score
 from .nearest import nearest, within
 
 #: A block: the document, by its path where it has one, and the block's number in it.
@@ -73,7 +73,8 @@ def accepted(m: DataFrame, profile: Profile, window: int | None = None) -> DataF
     rows = passing(m, ~refused()).withColumns({"stops": _stops_of(m, profile), "grain_index": F.array_position("grains", F.col("grain")).cast("int"), "tok": F.col("grain.tok")})
     rows, qty = rows.withColumns(_counts(F.col("tok"))), []
     if window is not None:
-        rows = rows.withColumn("_qty", nearest_of(F.col("qtys"), F.col("tok"), window))
+        rows = held(rows, _away=distances("qtys", F.col("tok")))
+        rows = rows.withColumn("_qty", nearest_of(F.col("qtys"), F.col("_away"), window))
         low, high = F.least("tok", "_qty.tok"), F.greatest("tok", "_qty.tok")
         qty = [F.when(~F.exists("stops", lambda s: (s > low) & (s < high)), F.col("_qty")).alias("qty")]
     return rows.select(*MENTION, "ddb_id", "tok", *qty, F.col("grain.form").alias("form"), F.col("grain.start").alias("start"), "class", "has_unit", "stops_before", "stops_upto")

@@ -7,6 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbers import passing
 from ..functions.text import token_window
 from ..operators import candidates, linking
 from ..operators.candidates import KEYS, Choice
@@ -45,7 +46,7 @@ def statements(blocks: DataFrame, profile: Profile = GREEK, metadata: DataFrame
     if store or several:
         # the tokens are cut again from their texts, which is quicker than to store them
         parse = stored(parse.drop("tokens", "value_tokens"), "statements").withColumns(linking.tokens_of(fixed=False))
-    with_price = parse.filter((F.size("grains") > 0) & (F.size("prices") > 0))
+    with_price = passing(parse, (F.size("grains") > 0) & (F.size("prices") > 0))
     m = linking.mentions(with_price, profile)
     index = F.array_position("grains", F.col("grain")).cast("int")
     if several:
@@ -57,14 +58,26 @@ def statements(blocks: DataFrame, profile: Profile = GREEK, metadata: DataFrame
         rows = rows.withColumn("context_window", token_window(F.col("value_tokens"), F.col("low_tok") - 8, F.col("high_tok") + 8))
     else:
         rows = linking.linked(m.withColumn("grain_index", index), profile, window, least).withColumns({"grain_form": F.col("grain.form"), **{c: F.lit("") for c in ("alt_score", "alt_qty", "alt_price")}})
-    return Tables(_linked(rows, keep), _mentions(parse, keep), _rejected(linking.rejected(m)))
+    gone = m if store or several else _refused(_numbered(blocks, profile, need_unit), profile)
+    return Tables(_linked(rows, keep), _mentions(parse, keep), _rejected(linking.rejected(gone)))
 
 
-def _parsed(blocks: DataFrame, profile: Profile, metadata: DataFrame | None, need_unit: bool) -> DataFrame:
-    """Each gated block with its number in the document, its hits and its events."""
+def _refused(numbered: DataFrame, profile: Profile) -> DataFrame:
+    """The refused mentions of blocks with a price: amounts are looked for only where a mention is refused."""
+    gone = passing(linking.mentions(linking.commodities(numbered, profile, every_block=True), profile), linking.refused())
+    return passing(linking.with_amounts(gone, profile), F.size("prices") > 0)
+
+
+def _numbered(blocks: DataFrame, profile: Profile, need_unit: bool) -> DataFrame:
+    """The gated blocks, numbered through their document."""
     g = gated(blocks, profile, need_unit).withColumn("doc", doc_key(blocks))
     place = [c for c in ("div_no", "block_no") if c in g.columns]
-    g = g.withColumn("mention_id", F.row_number().over(Window.partitionBy("doc").orderBy(*place)))
+    return g.withColumn("mention_id", F.row_number().over(Window.partitionBy("doc").orderBy(*place)))
+
+
+def _parsed(blocks: DataFrame, profile: Profile, metadata: DataFrame | None, need_unit: bool) -> DataFrame:
+    """Each gated block with its number in the document, its hits and its events."""
+    g = _numbered(blocks, profile, need_unit)
     about = {c: F.lit("") for c in METADATA}
     if metadata is not None:
         # joined before the events are found: a shuffle of the blocks carries their texts alone
@@ -74,7 +87,7 @@ def _parsed(blocks: DataFrame, profile: Profile, metadata: DataFrame | None, nee
     found = linking.events(linking.block_hits(g, profile), profile, every_block=True)
     for c in ("qtys", "amounts"):
         found = linking.distinct_values(found, c)
-    kept = ["ddb_id", "mention_id", "raw", "value_text", "num_values", "num_texts", "priceword_hit", "grain_hits", "unit_hits", "money_hits", "qtys_seen", "amounts_seen", "norm", "tokens", "value_tokens", "has_unit", "grains", "qtys", "prices", "pricewords"]
+    kept = ["ddb_id", "mention_id", "raw", "value_text", "num_values", "num_texts", "priceword_hit", "grain_hits", "unit_hits", "money_hits", "qtys_seen", "amounts_seen", "norm", "tokens", "value_tokens", "has_unit", "grains", "stops", "qtys", "prices", "pricewords"]
     tag = F.col("tag") if "tag" in found.columns else F.lit("")
     return found.withColumns({**about, "tag": tag}).select(*KEYS, "tag", *METADATA, *kept)
 

@@ -2,7 +2,10 @@
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from sitometry import catalog
+from sitometry.functions import text
 from sitometry.operators import linking, windows
 from sitometry.vocab import GREEK
 
@@ -37,3 +40,22 @@ def test_windows_are_shuffled_without_their_texts(spark):
             sorted_columns.append({c.split("#")[0] for c in plan.children().apply(0).output().mkString(" ").split()})
     assert sorted_columns and not any(c & {"text", "_norm"} for c in sorted_columns)
     assert sorted((r["grain_form"], r["char_offset"]) for r in found.collect()) == [("πυρου", 0), ("σιτου", 76)]
+
+
+def test_events_at_count_blanks_as_token_at_does(spark):
+    """Tokens and places of a search are those of ``matches``, also with groups, at the text's ends and without a match."""
+    words = spark.createDataFrame([("πυρου a  3 δραχμαι\tb δραχμαι 4",), ("",), ("a b",), ("3 δραχμαι",), ("δραχμαι 3 δραχμαι 3",)], "s string")
+    c, pattern = F.col("s"), r"([0-9]+) (δραχμ\S*)"
+    shape = "struct<found:string,tok:int,start:int,k:int,unit:string>"
+    got = words.select(text.events_at(c, pattern, shape, lambda m, tok, start, k: F.struct(m[0].alias("found"), tok.alias("tok"), start.alias("start"), k.alias("k"), m[2].alias("unit")), 2))
+    want = words.select(F.transform(text.matches(c, pattern, 2), lambda m, k: F.struct(m["found"], text.token_at(c, m["start"]), m["start"], k, m["g2"])))
+    assert [[tuple(x) for x in r[0]] for r in got.collect()] == [[tuple(x) for x in r[0]] for r in want.collect()]
+
+
+@pytest.mark.parametrize("name", ["linked_table", "rejected_table"])
+def test_classes_are_compiled_and_amounts_kept_for_refused_mentions(spark, name):
+    """The class patterns stand outside of lambdas; the refused table joins no metadata and looks for amounts above the mentions."""
+    plan = catalog.queries()[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "lyed" in line and "lambda" in line]
+    if name == "rejected_table":
+        assert "Join" not in plan and plan.index("(?:andr|thes)") < plan.index("lyed")
