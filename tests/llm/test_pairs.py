@@ -90,6 +90,16 @@ def test_linked_nodes_are_not_paired_under_a_hub():
     assert list(jaccard._runs(32, 75, 32)(iter(only))) == []
 
 
+def test_copies_found_by_many_tasks_make_no_long_run():
+    """A node that 40 tasks found and another of the same token are one pair, however the rows of a token come."""
+    nodes = [5] * 20 + [9] + [5] * 20 + [9]
+    n = len(nodes)
+    cols = [np.array([7] * n + [8, 8]), np.array([*nodes, 1, 2]), np.full(n + 2, 60), np.full(n + 2, 5), np.zeros(n + 2, int), np.zeros(n + 2, int)]
+    batches = [jaccard._batch(jaccard._POSTING, *[c[a:z] for c in cols]) for a, z in ((0, 10), (10, 30), (30, n + 2))]
+    made = [r for b in jaccard._runs(32, 75, 32, False)(iter(batches)) for r in b.to_pylist()]
+    assert sorted((r["hot"], r["a"], r["b"], r["shared"]) for r in made) == [(False, 1, 2, 1), (False, 5, 9, 1)]
+
+
 @pytest.mark.parametrize("percent", [60, 85])
 def test_other_thresholds(spark, monkeypatch, percent):
     monkeypatch.setattr(jaccard, "RUN", 8)
