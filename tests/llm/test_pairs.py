@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sitometry.llm import ann, jaccard
+from sitometry.llm import ann, common, jaccard
 from sitometry.llm.components import components
 
 
@@ -184,3 +184,34 @@ def test_few_or_no_vectors(spark):
     two = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<float>")
     assert [(r["query_id"], r["vec_id"]) for r in ann.search(two, F.col("vec_id") == 0).collect()] == [(0, 1)]
     assert ann.search(two.filter("vec_id > 9"), F.lit(True)).count() == 0
+
+
+def test_among_lets_every_key_pass_and_few_others(spark):
+    rows, keys = spark.range(50_000).withColumn("text", F.lit("x")), spark.range(0, 50_000, 50)
+    got = {r["id"] for r in common.among(rows, "id", keys).select("id").collect()}
+    assert set(range(0, 50_000, 50)) <= got and len(got) < 8_000
+    assert common.among(rows, "id", keys.filter("id < 0")).count() == 0
+
+
+def test_texts_of_no_pair_are_not_shuffled(spark):
+    """Whatever the size of the pairs' table: without broadcast joins, most of the texts stay where they are read."""
+    words = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(400)), lambda k: F.substring(F.sha2(F.concat_ws("-", F.when(F.col("id") < 8, F.lit(0)).otherwise(F.col("id")), k).cast("binary"), 256), 1, 12)), " ")
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(words, F.when(F.col("id") < 8, F.concat(F.lit(" e"), "id")).otherwise(F.lit(""))).alias("text"))
+    store = spark.sparkContext._jsc.sc().statusStore()
+    none = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+
+    def written():
+        x = store.stageList(None, False, False, none, spark._jvm.java.util.ArrayList())
+        return {s.stageId(): s.shuffleWriteBytes() for s in map(x.apply, range(x.size()))}
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    before = written()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = {r["doc_id"]: r["component_id"] for r in jaccard.similar(docs).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert out == {k: 0 if k < 8 else k for k in range(400)}
+    # the table of counts and the postings are shuffled in any case: no stage but theirs writes a fifth of the texts' bytes
+    sizes = sorted((b for k, b in written().items() if k not in before), reverse=True)
+    assert sum(b > 400 * 400 * 13 // 5 for b in sizes) <= 1, sizes[:6]
