@@ -1,6 +1,8 @@
 import random
 import re
+from collections import Counter
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -215,3 +217,30 @@ def test_texts_of_no_pair_are_not_shuffled(spark):
     # the table of counts and the postings are shuffled in any case: no stage but theirs writes a fifth of the texts' bytes
     sizes = sorted((b for k, b in written().items() if k not in before), reverse=True)
     assert sum(b > 400 * 400 * 13 // 5 for b in sizes) <= 1, sizes[:6]
+
+
+def test_stored_leaves_no_shuffle_files(spark):
+    """They go when the table is written, not when the driver next collects its garbage; the session's setting stays."""
+    blocks = [Path(str(f)) for f in spark._jsc.sc().env().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {f for b in blocks for f in b.rglob("shuffle_*.data")}
+    before, setting = files(), spark.conf.get(common.SHUFFLES_GO, "false")
+    got = common.stored(spark.range(2000).repartition(5, "id").groupBy((F.col("id") % 7).alias("k")).count(), "left")
+    assert not files() - before and spark.conf.get(common.SHUFFLES_GO, "false") == setting
+    assert got.count() == 7
+    common.removed(got)
+    assert not Path(got.inputFiles()[0].removeprefix("file://")).exists()
+
+
+def test_only_repeated_prefix_tokens_are_shuffled(spark):
+    """Tokens that one node alone has in its prefix make no pair; every one that two nodes have is posted."""
+    rng = random.Random(5)
+    texts = [" ".join(f"u{rng.randint(0, 10**9)}" for _ in range(80)) for _ in range(200)]
+    texts += [texts[0].replace(texts[0].split()[40], "other"), " ".join(texts[1].split()[:78])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    table = spark.sparkContext.broadcast(np.ones(1 << 10, np.uint32).tobytes())
+    prefixes = common.stored(docs.select("text").mapInArrow(jaccard._prefixes(table, 75), "node long, n int, common int, tokens binary"), "prefixes")
+    all_ = [(t, r["node"]) for r in prefixes.collect() for t in np.frombuffer(bytes(r["tokens"]), np.int64).tolist()]
+    times = Counter(t for t, _ in all_)
+    posted = {(r["token"], r["node"]) for r in prefixes.mapInArrow(jaccard._postings(jaccard._repeated(prefixes, len(all_))), "token long, node long, n int, common int").collect()}
+    assert {x for x in all_ if times[x[0]] > 1} <= posted <= set(all_)
+    assert max(times.values()) == 2 and len(posted) < 0.1 * len(all_)
