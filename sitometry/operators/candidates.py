@@ -1,9 +1,9 @@
 """Several candidates a mention: ranking, doubt, and a choice that does not give one price to many mentions.
 
-A mention's candidates are the prices near it, each with the mention's nearest quantity. Prices come from a join of long event
-tables; the quantity from such a join too, or from the list in the mention's block. Prices are shared out in a block from the best
+A mention's candidates are the prices near it, each with the mention's nearest quantity. Both come from joins of long event
+tables or from the lists in the mention's block. Prices are shared out in a block from the best
 candidate down; only mentions that reach a common stretch of prices contend, and each such segment is
-folded by itself.
+folded by itself, its candidates a list in one row. Where the rows are dealt by block, nothing here is shuffled.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from .nearest import nearest, within
 #: A block: the document, by its path where it has one, and the block's number in it.
 KEYS = ["doc", "block_no"]
 MENTION = [*KEYS, "grain_index"]
+#: The block's arrays from which a mention's prices are taken.
+LISTS = ("prices", "pricewords", "stops")
 
 
 @dataclass(frozen=True)
@@ -65,10 +67,11 @@ def long_events(found: DataFrame, column: str, profile: Profile) -> DataFrame:
     return rows.withColumns(_counts(F.col("e.tok"))).select(*KEYS, "e.*", "stops_before", "stops_upto", near.alias("priceword_near"))
 
 
-def accepted(m: DataFrame, profile: Profile, window: int | None = None) -> DataFrame:
+def accepted(m: DataFrame, profile: Profile, window: int | None = None, listed: bool = False) -> DataFrame:
     """The mentions that are not refused, numbered from 1 within their block as found, without the block's arrays.
 
     ``window``: each with its nearest quantity from the block's list, NULL behind a boundary word; ``ranked`` then joins none.
+    ``listed``: each with the block's prices, for ``ranked`` to take them from there.
     """
     rows = passing(m, ~refused()).withColumns({"stops": _stops_of(m, profile), "grain_index": F.array_position("grains", F.col("grain")).cast("int"), "tok": F.col("grain.tok")})
     rows, qty = rows.withColumns(_counts(F.col("tok"))), []
@@ -77,10 +80,19 @@ def accepted(m: DataFrame, profile: Profile, window: int | None = None) -> DataF
         rows = rows.withColumn("_qty", nearest_of(F.col("qtys"), F.col("_away"), window))
         low, high = F.least("tok", "_qty.tok"), F.greatest("tok", "_qty.tok")
         qty = [F.when(~F.exists("stops", lambda s: (s > low) & (s < high)), F.col("_qty")).alias("qty")]
-    return rows.select(*MENTION, "ddb_id", "tok", *qty, F.col("grain.form").alias("form"), F.col("grain.start").alias("start"), "class", "has_unit", "stops_before", "stops_upto")
+    return rows.select(*MENTION, "ddb_id", "tok", *qty, *(LISTS if listed else ()), F.col("grain.form").alias("form"), F.col("grain.start").alias("start"), "class", "has_unit", "stops_before", "stops_upto")
 
 
-def ranked(mentions: DataFrame, prices: DataFrame, qtys: DataFrame | None, window: int = 80, least: float = 25.0, choice: Choice = Choice()) -> DataFrame:
+def _listed(mentions: DataFrame, window: int) -> DataFrame:
+    """Each mention with every price of its block's list within the window, as ``within`` pairs them, and how many are ``competing``."""
+    away = distances("prices", F.col("tok"))
+    m = mentions.withColumns({"competing": F.size(F.filter(away, lambda d: d <= 20)), "_e": F.explode(F.filter("prices", lambda p: F.abs(p["tok"] - F.col("tok")) <= window))})
+    near = F.exists("pricewords", lambda t: F.abs(t - F.col("_e.tok")) <= 8)
+    price = F.struct("_e.*", *[v.alias(k) for k, v in _counts(F.col("_e.tok")).items()], near.alias("priceword_near"))
+    return m.withColumns({"price": price, "distance": F.abs(F.col("tok") - F.col("_e.tok"))}).drop("_e", *LISTS)
+
+
+def ranked(mentions: DataFrame, prices: DataFrame | None, qtys: DataFrame | None, window: int = 80, least: float = 25.0, choice: Choice = Choice()) -> DataFrame:
     """Each mention's candidates of at least ``least``: ``candidate_rank`` from 1, ``price``, ``qty``, distances and ``score``.
 
     The better score comes first, then a candidate with a quantity, the shorter span, the nearer price
@@ -91,9 +103,12 @@ def ranked(mentions: DataFrame, prices: DataFrame, qtys: DataFrame | None, windo
     if "qty" not in mentions.columns:
         m = nearest(mentions, qtys, KEYS, window, name="qty").drop("distance")
         m = m.withColumn("qty", F.when(~_between("", "qty."), F.col("qty")))
-    pairs = within(m, prices, KEYS, max(window, 20), name="price")
     each = Window.partitionBy(*MENTION)
-    pairs = pairs.withColumn("competing", F.count_if(F.col("distance") <= 20).over(each).cast("int")).filter(F.col("distance") <= window)
+    if prices is None:
+        pairs = _listed(m, window)
+    else:
+        pairs = within(m, prices, KEYS, max(window, 20), name="price")
+        pairs = pairs.withColumn("competing", F.count_if(F.col("distance") <= 20).over(each).cast("int")).filter(F.col("distance") <= window)
     tok, q_tok = F.col("tok"), F.coalesce(F.col("qty.tok"), F.col("tok"))
     d_qty = F.abs(F.col("qty.tok") - tok)
     pairs = pairs.withColumns({"dist_gp": F.col("distance"), "dist_gq": F.coalesce(d_qty, F.lit(-1)), "boundary": _between("", "price."), "low_tok": F.least(tok, F.col("price.tok"), q_tok), "high_tok": F.greatest(tok, F.col("price.tok"), q_tok)})
@@ -122,12 +137,14 @@ def assigned(candidates: DataFrame, choice: Choice = Choice()) -> DataFrame:
     as ``default``.
     """
     price, strong = F.col("price.tok"), (F.col("score") >= choice.reuse_score) & (F.col("dist_gp") <= choice.reuse_distance) & (F.col("span_toks") <= choice.reuse_span)
-    reach = candidates.groupBy(*MENTION).agg(F.min("price.tok").alias("low"), F.max("price.tok").alias("high"))
-    along = Window.partitionBy(*KEYS).orderBy("low", "grain_index")
-    so_far = F.max("high").over(along.rowsBetween(Window.unboundedPreceding, -1))
-    segments = reach.withColumn("_new", F.coalesce(F.col("low") > so_far, F.lit(False)).cast("int")).withColumn("segment", F.sum("_new").over(along)).select(*MENTION, "segment")
-    one = F.struct((-F.col("score")).alias("a"), F.col("qty").isNull().alias("b"), F.col("span_toks").alias("c"), F.col("dist_gp").alias("d"), price.alias("price"), F.col("grain_index").alias("mention"), F.col("candidate_rank").alias("rank"), strong.alias("strong"))
-    lists = candidates.select(*MENTION, one.alias("one")).join(segments, MENTION).groupBy(*KEYS, "segment").agg(F.array_sort(F.collect_list("one")).alias("all"))
+    each, along = Window.partitionBy(*MENTION), Window.partitionBy(*KEYS).orderBy("_low", "grain_index")
+    reach = candidates.withColumns({"_low": F.min("price.tok").over(each), "_high": F.max("price.tok").over(each)})
+    # a mention's first row may open a segment: to the next ones its own reach is known
+    so_far = F.max("_high").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    parts = reach.withColumn("_new", F.coalesce(F.col("_low") > so_far, F.lit(False)).cast("int")).withColumn("_segment", F.sum("_new").over(along))
+    row = F.struct(*candidates.columns).alias("row")
+    one = F.struct((-F.col("score")).alias("a"), F.col("qty").isNull().alias("b"), F.col("span_toks").alias("c"), F.col("dist_gp").alias("d"), price.alias("price"), F.col("grain_index").alias("mention"), F.col("candidate_rank").alias("rank"), strong.alias("strong"), row)
+    lists = parts.groupBy(*KEYS, "_segment").agg(F.array_sort(F.collect_list(one)).alias("all"))
     none = F.struct(F.array().cast("array<struct<grain_index:int,candidate_rank:int,assignment:string>>").alias("got"), F.array().cast("array<int>").alias("used"))
 
     def step(state: Column, x: Column) -> Column:
@@ -137,11 +154,12 @@ def assigned(candidates: DataFrame, choice: Choice = Choice()) -> DataFrame:
         got = F.when(takes, F.array_append(state["got"], row)).otherwise(state["got"])
         return F.struct(got.alias("got"), F.when(takes & free, F.array_append(state["used"], x["price"])).otherwise(state["used"]).alias("used"))
 
-    got = lists.select(*KEYS, F.inline(F.aggregate("all", none, step, lambda s: s["got"])))
-    out = candidates.join(got, [*MENTION, "candidate_rank"], "left")
-    has = F.max(F.col("assignment").isNotNull()).over(Window.partitionBy(*MENTION))
-    left_over = F.when(~has & (F.col("candidate_rank") == 1), F.when(F.col("score") >= choice.fallback_score, "fallback").otherwise("default"))
-    out = out.withColumn("assignment", F.coalesce("assignment", left_over))
+    got = held(lists, got=F.aggregate("all", none, step, lambda s: s["got"]))
+    mine = lambda x: F.get(F.filter("got", lambda g: g["grain_index"] == x["mention"]), F.lit(0))
+    out = got.select("got", F.explode("all").alias("x")).withColumn("_mine", mine(F.col("x")))
+    left_over = F.when(F.col("_mine").isNull() & (F.col("x.rank") == 1), F.when(F.col("x.row.score") >= choice.fallback_score, "fallback").otherwise("default"))
+    own = F.when(F.col("_mine.candidate_rank") == F.col("x.rank"), F.col("_mine.assignment"))
+    out = out.select("x.row.*", F.coalesce(own, left_over).alias("assignment"))
     return out.withColumn("is_primary", F.when(F.col("assignment").isNotNull(), "yes").otherwise("no"))
 
 

@@ -101,3 +101,24 @@ def test_quantities_of_the_block_equal_joined_ones(spark):
     for window in (3, 80):
         joined = told(candidates.ranked(candidates.accepted(m, GREEK), prices, qtys, window, 0.0))
         assert joined == told(candidates.ranked(candidates.accepted(m, GREEK, window), prices, None, window, 0.0)) and any(r[4] for r in joined)
+
+
+def test_a_block_is_dealt_once_and_nothing_else_is_shuffled(spark):
+    """Neither candidates nor mentions are moved, and nothing is stored; blocks of one constant number are no exception."""
+    for found in (blocks(spark, "πυρου αρταβαι 3 δραχμαι 40"), blocks(spark, "πυρου αρταβαι 3 δραχμαι 40").withColumn("block_no", F.lit(0))):
+        out = flows.candidate_links(found, GREEK, least=0.0, top=9)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan and "Scan parquet" not in plan
+        assert out.count() == 1
+
+
+def test_listed_prices_give_the_joined_candidates(spark):
+    rng = random.Random(11)
+    texts = [" ".join(rng.choice(["πυρου", "κριθης", "αρταβαι 3", "δραχμαι 40", "δραχμαι 7", "τιμη", "και"]) for _ in range(60)) for _ in range(12)]
+    found = linking.events(flows.gated(blocks(spark, *texts), GREEK), GREEK).withColumn("doc", F.col("ddb_id"))
+    m, prices = linking.mentions(found, GREEK), candidates.long_events(found, "prices", GREEK)
+    for window in (7, 30):
+        joined = candidates.ranked(candidates.accepted(m, GREEK, window), prices, None, window, 0.0)
+        listed = candidates.ranked(candidates.accepted(m, GREEK, window, listed=True), None, None, window, 0.0)
+        told = lambda df: sorted(map(str, df.select(sorted(df.columns)).collect()))
+        assert told(joined) == told(listed) and joined.count() > 100
