@@ -21,6 +21,8 @@ from .nearest import nearest, within
 #: A block: the document, by its path where it has one, and the block's number in it.
 KEYS = ["doc", "block_no"]
 MENTION = [*KEYS, "grain_index"]
+#: What ``assigned`` reads.
+CHOICE = [*MENTION, "candidate_rank", "score", "span_toks", "dist_gp", "price", "qty"]
 #: The block's arrays from which a mention's prices are taken.
 LISTS = ("prices", "pricewords", "stops")
 

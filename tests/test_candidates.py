@@ -122,3 +122,13 @@ def test_listed_prices_give_the_joined_candidates(spark):
         listed = candidates.ranked(candidates.accepted(m, GREEK, window, listed=True), None, None, window, 0.0)
         told = lambda df: sorted(map(str, df.select(sorted(df.columns)).collect()))
         assert told(joined) == told(listed) and joined.count() > 100
+
+
+def test_kept_columns_and_stated_parts(spark):
+    """Columns that nobody wants are not carried through the choice, and the blocks' parts are not joined by their size."""
+    found = blocks(spark, "πυρου αρταβαι 3 δραχμαι 40 κριθης δραχμαι 7", "πυρου δραχμαι 3")
+    whole, kept = flows.candidate_links(found, GREEK, least=0.0, top=9), flows.candidate_links(found, GREEK, least=0.0, top=9, keep=["ambiguous"])
+    assert set(kept.columns) == {*candidates.CHOICE, "ambiguous", "assignment", "is_primary"} < set(whole.columns)
+    told = lambda df: sorted(map(str, df.select(kept.columns).collect()))
+    assert told(whole) == told(kept) and kept.count() > 2
+    assert "REPARTITION_BY_NUM" in kept._jdf.queryExecution().executedPlan().toString()
